@@ -54,7 +54,7 @@ def imports(code: Column) -> Column:
     found = F.arrays_zip(*[F.regexp_extract_all(code, F.lit(IMPORT_LINE), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)])
 
     def of(hit):
-        module, names, plain = hit["0"], hit["1"], hit["2"]
+        module, names, plain = hit["g1"], hit["g2"], hit["g3"]
         prefixed = F.transform(_listed(names), lambda n: F.concat(module, F.lit("."), n))
         return F.when(module != "", prefixed).otherwise(_listed(plain))
     return F.flatten(F.transform(found, of))

@@ -21,6 +21,11 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def after_first(items: Column) -> Column:
+    """All items but the first."""
+    return F.filter(items, lambda item, i: i > 0)
+
+
 def words(text: Column) -> Column:
     """Pieces between white space."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

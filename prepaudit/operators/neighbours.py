@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepaudit.functions.hashing import digest
-from prepaudit.operators.distributed import running_total, scalars, settle
+from prepaudit.operators.distributed import running_total, settle
 
 DIGITS = 6
 SALTS = 64
@@ -73,9 +73,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int =
     key_type = df.schema[key].dataType.simpleString()
     folded = settle(_folded(df, key, vector, want))
 
-    centre = folded.select(vector_to_array(Summarizer.mean(array_to_vector("__v"))).alias("c"))
-    centre = scalars(centre)["c"]
-    gaps = F.zip_with("__v", centre, lambda a, b: (a - b) * (a - b))
+    centre = folded.select(vector_to_array(Summarizer.mean(array_to_vector("__v")))).first()[0] or []
+    gaps = F.zip_with("__v", F.array(*[F.lit(x) for x in centre]), lambda a, b: (a - b) * (a - b))
     measured = folded.withColumn("d", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)))
     placed = running_total(measured, [], ["d", "rep"], place=F.lit(1).cast("bigint"))
     placed = settle(placed.withColumn("block", F.floor((F.col("place") - 1) / F.lit(block_rows))).drop("place"))
@@ -105,9 +104,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int =
     asked = first.join(last, "rep").filter(F.col("last") > F.col("first")).select("rep", F.explode(targets).alias("target"))
     asked = asked.join(placed.select("rep", "__v", "block"), "rep").filter(F.col("target") != F.col("block"))
     asked = settle(asked)
-    pairs = asked.select("target", "block").distinct()
-    candidates = placed.select(F.col("block").alias("target"), "rep", "__v", "members").join(pairs, "target")
-    other = asked.groupBy("target", "block").cogroup(candidates.groupBy("target", "block")).applyInPandas(
+    pairs = asked.select(F.col("target").alias("of"), F.col("block").alias("by")).distinct()
+    points = placed.select(F.col("block").alias("of"), F.col("rep").alias("point"), F.col("__v").alias("__p"), "members")
+    candidates = points.join(pairs, "of").select("of", "by", "point", F.col("__p").alias("__v"), F.col("members"))
+    other = asked.groupBy("target", "block").cogroup(candidates.groupBy("of", "by")).applyInPandas(
         lambda queries, points: _found(queries, points, want), found_type)
 
     merged = own.unionByName(other).select("rep", F.inline(F.arrays_zip("distances", "ids")))

@@ -18,10 +18,12 @@ def group_counts(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str, digits: int | None = 2, by: Sequence[str] = ()) -> DataFrame:
-    """Share of each value among the non-null ones; the window runs over counted values."""
+    """Share of each value among the non-null ones, halves rounded to even; the window runs over counted values."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
     share = F.col("n").cast("double") / F.sum("n").over(Window.partitionBy(*by))
-    return counted.withColumn("share", F.round(share, digits) if digits is not None else share)
+    if digits is not None:
+        share = F.rint(share * F.lit(10.0**digits)) / F.lit(10.0**digits)
+    return counted.withColumn("share", share)
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepaudit.functions.text import first_match, lines, number_after, sanitise_label, strip
+from prepaudit.functions.text import after_first, first_match, lines, number_after, sanitise_label, strip
 from prepaudit.operators.distributed import running_total
 
 # fixed values: patterns of printed metrics and the model names looked for, in this order
@@ -23,8 +23,8 @@ MODEL_TYPES = [
 ]
 REPORT_HEADER = r"\bprecision\b.*\brecall\b.*\bf1-score\b"
 REPORT_METRICS = ["precision", "recall", "f1-score", "support"]
-VERDICT_SCHEMA = ("issue_detected boolean, issue_fixed boolean, false_positive boolean, "
-                  "description struct<issue_detection: string, issue_fix: string, false_positive: string>")
+VERDICT_SCHEMA = ("issue_detected: boolean, issue_fixed: boolean, false_positive: boolean, "
+                  "description: struct<issue_detection: string, issue_fix: string, false_positive: string>")
 
 
 def printed_metrics(output: Column) -> dict[str, Column]:
@@ -74,9 +74,9 @@ def problem_log(logs: DataFrame, key: str, text: str = "log") -> DataFrame:
     The text is cut at its block openings, so header values need not be carried
     over rows: no window and no shuffle.
     """
-    blocks = F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"\nPipeline: ", -1), 2, 2147483647)
+    blocks = after_first(F.split(F.concat(F.lit("\n"), F.col(text)), r"\nPipeline: ", -1))
     block = logs.select(key, F.explode(blocks).alias("block"))
-    rows = F.filter(F.slice(lines(F.col("block")), 2, 2147483647),
+    rows = F.filter(after_first(lines(F.col("block"))),
                     lambda line: line.rlike(r":\s*[0-9]+\s*$") & ~F.startswith(line, F.lit("Number of changed lines:")))
     parsed = block.select(
         key, strip(F.get(lines(F.col("block")), F.lit(0))).alias("pipeline"),
@@ -94,10 +94,10 @@ def class_report(reports: DataFrame, key: str, text: str = "report") -> DataFram
     """
     rows = lines(F.col(text))
     headed = F.split(F.concat(F.lit("\n"), F.array_join(rows, "\n")), r"\n(?=[^\n]*\*\*)", -1)
-    blocks = reports.select(key, F.explode(F.slice(headed, 2, 2147483647)).alias("block"))
+    blocks = reports.select(key, F.explode(after_first(headed)).alias("block"))
     head = F.get(F.split("block", "\n"), F.lit(0))
     name = F.replace(strip(F.replace(head, F.lit("**"), F.lit(""))), F.lit(":"), F.lit(""))
-    body = F.filter(F.slice(F.split("block", "\n"), 2, 2147483647), lambda line: strip(line) != "")
+    body = F.filter(after_first(F.split("block", "\n")), lambda line: strip(line) != "")
     detail = blocks.select(key, name.alias("class"), F.explode(body).alias("line"))
     items = detail.select(
         key, "class", strip(F.substring_index("line", "—", -1)).try_cast("bigint").alias("declared_total"),
@@ -113,9 +113,13 @@ def class_totals(classes: DataFrame, by: tuple = ("class",)) -> DataFrame:
 
 
 def parse_verdict(reply: Column) -> Column:
-    """A JSON verdict as a struct; unreadable text gives the all-false verdict with an error."""
-    parsed = F.from_json(reply, f"{VERDICT_SCHEMA}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    bad = parsed.isNull() | parsed["__bad"].isNotNull()
+    """A JSON verdict as a struct; unreadable text gives the all-false verdict with an error.
+
+    Read as a one-element list, because text after a valid object would pass unnoticed otherwise.
+    """
+    listed = F.from_json(F.concat(F.lit("["), reply, F.lit("]")), f"array<struct<{VERDICT_SCHEMA}>>")
+    bad = F.coalesce(F.size(listed), F.lit(0)) != 1
+    parsed = F.get(listed, F.lit(0))
     flags = ("issue_detected", "issue_fixed", "false_positive")
     notes = ("issue_detection", "issue_fix", "false_positive")
     failed = F.lit("Error processing")
@@ -144,6 +148,12 @@ def run_durations(runs: DataFrame, by: str = "status") -> DataFrame:
         F.min(seconds).alias("min_seconds"), F.max(seconds).alias("max_seconds"))
 
 
+def before_after(scores: DataFrame, case: str, stage: str, score: str) -> DataFrame:
+    """The score of each case before and after, side by side, and the gain."""
+    wide = scores.groupBy(case).pivot(stage, ["before", "after"]).agg(F.avg(score))
+    return wide.withColumn("gain", F.col("after") - F.col("before"))
+
+
 def number_attempts(events: DataFrame, case: str, order: list[str]) -> DataFrame:
     """Number the attempts of each case from 1; a case with very many attempts spreads over tasks."""
     return running_total(events, [case], order, attempt=F.lit(1).cast("bigint"))

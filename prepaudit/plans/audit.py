@@ -16,7 +16,7 @@ def train():
 
 
 @query("value_shares", """
-    SELECT lang, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 2) AS share
+    SELECT lang, count(*) AS n, round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS share
     FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
 def value_shares(spark, folder):
     return profile.value_shares(table(spark, folder, "documents", "lang"), "lang")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prepaudit.operators import sample
-from prepaudit.operators.distributed import scalars
-from prepaudit.sources.tables import parquet
+from prepaudit.operators.distributed import attach, scalars
+from prepaudit.sources.tables import parquet, spread
 
 SEED = 42
 
@@ -97,7 +97,6 @@ FOLDED_SQL = f"""{LABELLED_SQL}, folds AS (
 
 
 def folded(spark: SparkSession, folder: str) -> DataFrame:
-    from prepaudit.operators.distributed import attach
     folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 5, SEED)
     sums = folds.groupBy("fold").agg(F.sum("n_chars").cast("double").alias("s"), F.count("*").cast("double").alias("n"))
     every = Window.partitionBy()
@@ -114,6 +113,7 @@ PAIRS_SQL = f'pairs AS (SELECT doc_id AS "case", text AS "left", {EDIT} AS "righ
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents", "doc_id", "lang", "text")
+    documents = spread(documents, f"{folder.rstrip('/')}/documents.parquet")
     return documents.select(F.col("doc_id").alias("case"), F.col("text").alias("left"), F.expr(EDIT).alias("right"))
 
 
