@@ -80,26 +80,35 @@ def forest_seed(code: Column) -> Column:
     return F.when(F.contains(arguments, F.lit("random_state")), F.coalesce(digits, F.lit("True")))
 
 
-def model_parameters(code: Column) -> Column:
-    seed = forest_seed(code)
+def model_parameters(seed: Column) -> Column:
     return F.when(seed.isNotNull(), F.create_map(F.lit("random_state"), seed)).otherwise(
         F.create_map().cast("map<string,string>"))
 
 
+def extracted(code: Column, suffix: str) -> dict[str, Column]:
+    """All that is read from one script, as columns to compute before they are compared.
+
+    They are separate columns on purpose: used inside a lambda, an expression
+    would run again for every item.
+    """
+    return {f"imports_{suffix}": imports(code), f"sklearn_components_{suffix}": sklearn_components(code),
+            f"preprocessing_{suffix}": preprocessing_steps(code), f"seed_{suffix}": forest_seed(code)}
+
+
 def differences(left: Column, right: Column) -> Column:
     """What the right list lacks and what it adds."""
     return F.struct(not_in(left, right).alias("missing"), not_in(right, left).alias("extra"))
 
 
-def issues(left: Column, right: Column) -> Column:
-    """Known faults that the right script shows against the left one."""
-    left_steps, right_steps = preprocessing_steps(left), preprocessing_steps(right)
-    scaler = F.array_contains(sklearn_components(left), "preprocessing.StandardScaler") & F.array_contains(
-        sklearn_components(right), "preprocessing.Normalizer")
+def issues(left: str = "left", right: str = "right") -> Column:
+    """Known faults that the right script shows against the left one, from ``extracted`` columns."""
+    def has(kind, side, item):
+        return F.array_contains(f"{kind}_{side}", item)
+    scaler = has("sklearn_components", left, "preprocessing.StandardScaler") & has(
+        "sklearn_components", right, "preprocessing.Normalizer")
     found = [F.when(scaler, F.lit(ISSUE_SCALER))]
     for tag, message in ISSUE_TAGS:
-        new = F.array_contains(right_steps, tag) & ~F.array_contains(left_steps, tag)
-        found.append(F.when(new, F.lit(message)))
-    lost = forest_seed(left).isNotNull() & forest_seed(right).isNull()
+        found.append(F.when(has("preprocessing", right, tag) & ~has("preprocessing", left, tag), F.lit(message)))
+    lost = F.col(f"seed_{left}").isNotNull() & F.col(f"seed_{right}").isNull()
     found.append(F.when(lost, F.lit(ISSUE_SEED)))
     return F.array_compact(F.array(*found))

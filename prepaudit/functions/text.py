@@ -17,8 +17,8 @@ def strip(column: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their breaks; a final break opens no further line, empty text has none."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ended = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(ended, LINE_BREAK, -1))
 
 
 def after_first(items: Column) -> Column:

@@ -132,7 +132,8 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     by = list(by)
     group = [*by, "feature"]
     counted = running_total(value_counts(df, columns, by), group, ["value"], upto="n")
-    sizes = counted.groupBy(*group).agg(F.max("upto").alias("total"))
+    sizes = df.groupBy(*by).agg(*[F.count(c).alias(f"__{c}") for c in columns])
+    sizes = sizes.select(*by, F.inline(stacked(*[{"feature": c, "total": F.col(f"__{c}")} for c in columns])))
     placed = attach(counted, sizes, group)
     picks = []
     for i, p in enumerate(probabilities):

@@ -8,6 +8,8 @@ one very long text does not sit in one task.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,44 +17,55 @@ from prepaudit.functions import code, scoring, text
 from prepaudit.functions.rows import stacked
 
 
-def piece_counts(pairs: DataFrame, pieces, case: str = "case") -> DataFrame:
-    """``(case, piece, n_left, n_right)``."""
-    sides = stacked({"side": 1, "pieces": pieces(F.col("left"))}, {"side": 2, "pieces": pieces(F.col("right"))})
-    exploded = pairs.select(case, F.inline(sides)).select(case, "side", F.explode("pieces").alias("piece"))
-    return exploded.groupBy(case, "piece").agg(
-        F.count_if(F.col("side") == 1).alias("n_left"), F.count_if(F.col("side") == 2).alias("n_right"))
+def piece_counts(pairs: DataFrame, kinds: Mapping, case: str = "case") -> DataFrame:
+    """``(case, kind, piece, n_left, n_right)``; ``kinds`` names functions from a text to its pieces.
+
+    A side without pieces leaves a row with a null piece and no counts, so that
+    no case gets lost and no second look at the texts is needed.
+    """
+    sides = stacked(*[{"kind": kind, "side": side, "pieces": cut(F.col(side))}
+                      for kind, cut in kinds.items() for side in ("left", "right")])
+    exploded = pairs.select(case, F.inline(sides)).select(case, "kind", "side", F.explode_outer("pieces").alias("piece"))
+    held = F.col("piece").isNotNull()
+    return exploded.groupBy(case, "kind", "piece").agg(
+        *[F.count_if(held & (F.col("side") == side)).alias(f"n_{side}") for side in ("left", "right")])
+
+
+def similarities(pairs: DataFrame, kinds: Mapping, case: str = "case") -> DataFrame:
+    """Multiset Dice coefficient per case and kind: shared pieces twice over all pieces; 1 for two empty texts."""
+    counted = piece_counts(pairs, kinds, case)
 
+    def dice(kind):
+        def total(column):
+            return F.sum(F.when(F.col("kind") == kind, column))
+        ratio = F.lit(2.0) * total(F.least("n_left", "n_right")) / F.nullif(
+            total(F.col("n_left") + F.col("n_right")), F.lit(0))
+        return F.coalesce(ratio, F.lit(1.0)).alias(kind)
+    return counted.groupBy(case).agg(*[dice(kind) for kind in kinds])
 
-def dice(pairs: DataFrame, pieces, output: str, case: str = "case") -> DataFrame:
-    """Multiset Dice coefficient per case: shared pieces twice over all pieces; 1 for two empty texts."""
-    shared = piece_counts(pairs, pieces, case).groupBy(case).agg(
-        (F.lit(2.0) * F.sum(F.least("n_left", "n_right")) / F.sum(F.col("n_left") + F.col("n_right"))).alias(output))
-    empty = (F.size(pieces(F.col("left"))) == 0) & (F.size(pieces(F.col("right"))) == 0)
-    return shared.unionByName(pairs.filter(empty).select(case, F.lit(1.0).alias(output)))
+
+def char_pieces(n: int):
+    return lambda column: text.ngrams(column, n)
 
 
 def line_similarity(pairs: DataFrame, case: str = "case") -> DataFrame:
-    return dice(pairs, text.lines, "line_similarity", case)
+    return similarities(pairs, {"line_similarity": text.lines}, case)
 
 
 def char_similarity(pairs: DataFrame, n: int = 1, case: str = "case") -> DataFrame:
-    return dice(pairs, lambda t: text.ngrams(t, n), "char_similarity", case)
+    return similarities(pairs, {"char_similarity": char_pieces(n)}, case)
 
 
 def changed_lines(pairs: DataFrame, case: str = "case") -> DataFrame:
     """Lines added and removed between the sides as multisets, over all lines and over indented ones."""
-    counted = piece_counts(pairs, text.lines, case)
-    more = F.greatest(F.col("n_right") - F.col("n_left"), F.lit(0))
-    less = F.greatest(F.col("n_left") - F.col("n_right"), F.lit(0))
-    indented = F.startswith("piece", F.lit(" "))
+    counted = piece_counts(pairs, {"line": text.lines}, case)
     none = F.lit(0).cast("bigint")
+    more = F.greatest(F.col("n_right") - F.col("n_left"), none)
+    less = F.greatest(F.col("n_left") - F.col("n_right"), none)
     sums = counted.groupBy(case).agg(
         F.sum(more).alias("added"), F.sum(less).alias("removed"),
-        F.sum(F.when(indented, more + less).otherwise(none)).alias("indented_changed"))
-    joined = pairs.select(F.col(case).alias("__case")).join(sums, F.col("__case") == F.col(case), "left")
-    counts = {c: F.coalesce(F.col(c), none).alias(c) for c in ("added", "removed", "indented_changed")}
-    return joined.select(F.col("__case").alias(case), *counts.values()).withColumn(
-        "changed", F.col("added") + F.col("removed"))
+        F.sum(F.when(F.startswith("piece", F.lit(" ")), more + less).otherwise(none)).alias("indented_changed"))
+    return sums.withColumn("changed", F.col("added") + F.col("removed"))
 
 
 def structure(column: Column) -> Column:
@@ -71,36 +84,50 @@ def structure_diff(pairs: DataFrame, case: str = "case") -> DataFrame:
                         *[(F.col(f"r.{p}") - F.col(f"l.{p}")).alias(f"{p}_diff") for p in parts])
 
 
+KINDS = ("imports", "sklearn_components", "preprocessing")
+
+
+def extracted(pairs: DataFrame, case: str = "case") -> DataFrame:
+    """What both scripts of a pair contain, a column per kind and side."""
+    return pairs.select(case, *[c.alias(name) for side in ("left", "right")
+                                for name, c in code.extracted(F.col(side), side).items()])
+
+
 def components(pairs: DataFrame, case: str = "case") -> DataFrame:
-    """Extracted lists of both sides and their differences, one struct per kind."""
-    kinds = {"imports": code.imports, "sklearn_components": code.sklearn_components,
-             "preprocessing": code.preprocessing_steps}
-    left, right = F.col("left"), F.col("right")
-    return pairs.select(case, *[
-        F.struct(f(left).alias("left"), f(right).alias("right"), code.differences(f(left), f(right)).alias("differences"))
-        .alias(k) for k, f in kinds.items()],
-        F.struct(code.model_parameters(left).alias("left"), code.model_parameters(right).alias("right"))
-        .alias("model_params"),
-        code.issues(left, right).alias("issues"))
+    """Extracted lists of both sides and their differences, one struct per kind, and the issues found."""
+    found = extracted(pairs, case)
+    return found.select(case, *[
+        F.struct(F.col(f"{k}_left").alias("left"), F.col(f"{k}_right").alias("right"),
+                 code.differences(F.col(f"{k}_left"), F.col(f"{k}_right")).alias("differences")).alias(k) for k in KINDS],
+        F.struct(*[code.model_parameters(F.col(f"seed_{s}")).alias(s) for s in ("left", "right")]).alias("model_params"),
+        code.issues().alias("issues"))
+
+
+def issues(pairs: DataFrame, case: str = "case") -> DataFrame:
+    """``(case, issues)``."""
+    return extracted(pairs, case).select(case, code.issues().alias("issues"))
 
 
 def report_general(pairs: DataFrame, runs: DataFrame, ngram: int = 1, case: str = "case") -> DataFrame:
     """One row per case: similarities, size difference, issues and the compared runs."""
     left, right = F.col("left"), F.col("right")
-    base = pairs.select(case, (structure(right)["words"] - structure(left)["words"]).alias("structure_diff"),
-                        code.issues(left, right).alias("__issues"))
-    joined = (base.join(line_similarity(pairs, case), case).join(char_similarity(pairs, ngram, case), case)
-              .join(runs, case, "left"))
+    base = pairs.select(case, (F.size(text.words(right)) - F.size(text.words(left))).alias("structure_diff"),
+                        *[c.alias(name) for side in ("left", "right")
+                          for name, c in code.extracted(F.col(side), side).items()])
+    base = base.select(case, "structure_diff", code.issues().alias("__issues"))
+    alike = similarities(pairs, {"line_similarity": text.lines, "char_similarity": char_pieces(ngram)}, case)
+    joined = base.join(alike, case).join(runs, case, "left")
     return joined.withColumns({"issue_count": F.size("__issues"), "issues": F.array_join("__issues", "; ")}).drop(
         "__issues")
 
 
 def report_components(pairs: DataFrame, case: str = "case") -> DataFrame:
     """One row per case: what each side lacks and adds, as lines of text."""
-    found = components(pairs, case)
+    found = extracted(pairs, case)
+    sides = {"extra": ("right", "left"), "missing": ("left", "right")}
     return found.select(case, *[
-        F.array_join(F.col(f"{kind}.differences.{side}"), "\n").alias(f"{side}_{kind}")
-        for kind in ("imports", "sklearn_components", "preprocessing") for side in ("extra", "missing")])
+        F.array_join(text.not_in(F.col(f"{kind}_{a}"), F.col(f"{kind}_{b}")), "\n").alias(f"{name}_{kind}")
+        for kind in KINDS for name, (a, b) in sides.items()])
 
 
 def assess(report: DataFrame, quality_left: Column, quality_right: Column, left_ran: Column,

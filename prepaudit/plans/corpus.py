@@ -190,9 +190,9 @@ def rule_tags(spark, folder):
 
 @query("extract_kv", f'WITH {LISTS_SQL} SELECT "case", ls AS seed_left, rs AS seed_right FROM lists')
 def extract_kv(spark, folder):
-    seeds = [F.try_element_at(code.model_parameters(F.col(s)), F.lit("random_state")).alias(f"seed_{s}")
-             for s in ("left", "right")]
-    return script_pairs(spark, folder).select("case", *seeds)
+    found = pairs.components(script_pairs(spark, folder))
+    return found.select("case", *[F.try_element_at(F.col(f"model_params.{s}"), F.lit("random_state")).alias(f"seed_{s}")
+                                  for s in ("left", "right")])
 
 
 @query("set_diff_arrays", f"""
@@ -201,10 +201,13 @@ def extract_kv(spark, folder):
         array_to_string({_less_sql('lt', 'rt')}, ',') AS missing_tags,
         array_to_string({_less_sql('rt', 'lt')}, ',') AS extra_tags FROM lists""")
 def set_diff_arrays(spark, folder):
-    found = pairs.components(script_pairs(spark, folder))
-    return found.select("case", *[joined(F.col(f"{kind}.differences.{side}")).alias(f"{side}_{name}")
-                                  for kind, name in (("imports", "imports"), ("preprocessing", "tags"))
-                                  for side in ("missing", "extra")])
+    found = pairs.extracted(script_pairs(spark, folder))
+    cells = {}
+    for kind, name in (("imports", "imports"), ("preprocessing", "tags")):
+        left, right = F.col(f"{kind}_left"), F.col(f"{kind}_right")
+        cells[f"missing_{name}"] = text.not_in(left, right)
+        cells[f"extra_{name}"] = text.not_in(right, left)
+    return found.select("case", *[joined(c).alias(n) for n, c in cells.items()])
 
 
 def _quoted(value: str) -> str:
@@ -223,8 +226,9 @@ ISSUES_SQL = "list_filter([CASE WHEN list_contains(lc, 'preprocessing.StandardSc
     SELECT "case", (p - 1)::INT AS number, issues[p] AS issue
     FROM (SELECT "case", issues, unnest(range(1, len(issues) + 1)) AS p FROM i)""")
 def issue_rules(spark, folder):
-    found = code.issues(F.col("left"), F.col("right"))
-    return script_pairs(spark, folder).select("case", F.posexplode(found).alias("number", "issue"))
+    found = pairs.issues(script_pairs(spark, folder))
+    # outer, then filtered: an inner explode would infer a filter that reads every script a second time
+    return found.select("case", F.posexplode_outer("issues").alias("number", "issue")).filter(F.col("issue").isNotNull())
 
 
 DIFF_SQL = f"""{RUNS_SQL}, diff AS (SELECT "case",

@@ -8,7 +8,7 @@ from prepaudit.functions.text import sanitise_label
 from prepaudit.operators import metrics, runs
 from prepaudit.plans.audit import _report_sql
 from prepaudit.plans.inputs import (LABELLED_SQL, RUNS_SQL, SCORED_SQL, event_runs, labelled, lines_sql, rounded, scored,
-                                    strip_sql, table)
+                                    strip_sql, table, wide_table)
 from prepaudit.plans.registry import query
 
 # What a run printed, from its event.
@@ -148,7 +148,7 @@ LOG = """concat('Pipeline: orders/', o_orderkey, chr(10), 'Number of changed lin
     WHERE regexp_matches(line, ':\s*[0-9]+\s*$') AND NOT starts_with(line, 'Pipeline: ')
         AND NOT starts_with(line, 'Number of changed lines: ')""")
 def log_blocks(spark, folder):
-    logs = table(spark, folder, "orders").select("o_orderkey", F.expr(LOG).alias("log"))
+    logs = wide_table(spark, folder, "orders").select("o_orderkey", F.expr(LOG).alias("log"))
     return runs.problem_log(logs, "o_orderkey")
 
 
@@ -166,7 +166,7 @@ CLASS_SQL = f"""t AS (SELECT o_orderkey, unnest(string_split({CLASSES}, chr(10))
 
 
 def _class_report(spark, folder):
-    reports = table(spark, folder, "orders").select("o_orderkey", F.expr(CLASSES).alias("report"))
+    reports = wide_table(spark, folder, "orders").select("o_orderkey", F.expr(CLASSES).alias("report"))
     return runs.class_report(reports, "o_orderkey")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepaudit.operators import metrics, relevance, sample, train
-from prepaudit.plans.inputs import SEED, labelled, rounded, scored, table
+from prepaudit.plans.inputs import SEED, labelled, rounded, scored, table, wide_table
 from prepaudit.plans.registry import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -13,7 +13,7 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _items(spark, folder):
     """Line items with the label "returned" and a split that keeps an order together."""
-    items = table(spark, folder, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", *NUMBERS)
+    items = wide_table(spark, folder, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", *NUMBERS)
     return sample.hash_split(items, "l_orderkey", seed=SEED).withColumn(
         "y", (F.col("l_returnflag") == "R").cast("double"))
 
