@@ -23,6 +23,8 @@ from prepaudit.functions.rows import stacked
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HASH_SLICE_DIGITS = 4
+ACCURACY = 10_000
+BRACKET = 3 / ACCURACY
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -125,29 +127,87 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
               by: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated quantiles ``(by..., feature, n, q0, q1, ...)``.
 
-    Works on counted distinct values and their running count, so neither a hot
-    value nor a column of all-distinct values ends up in one task's memory, as it
-    would in the ``percentile`` aggregate.
+    The ``percentile`` aggregate keeps every distinct value of a group in one
+    task's memory. Here a sketch of bounded size first brackets each quantile. Only values inside
+    a bracket, a fraction of a percent, are then counted one by one and ranked;
+    what lies outside is only counted. A bracket that missed its rank would show as a
+    null, and then all distinct values are counted instead.
     """
     by = list(by)
     group = [*by, "feature"]
-    counted = running_total(value_counts(df, columns, by), group, ["value"], upto="n")
-    sizes = df.groupBy(*by).agg(*[F.count(c).alias(f"__{c}") for c in columns])
-    sizes = sizes.select(*by, F.inline(stacked(*[{"feature": c, "total": F.col(f"__{c}")} for c in columns])))
-    placed = attach(counted, sizes, group)
-    picks = []
+    edges = [min(1.0, max(0.0, p + side * BRACKET)) for p in probabilities for side in (-1, 1)]
+    sketched = df.groupBy(*by).agg(*[x for c in columns for x in (
+        F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias(f"e_{c}"),
+        F.count(c).alias(f"n_{c}"))])
+    brackets = sketched.select(*by, F.inline(stacked(
+        *[{"feature": c, "__edges": F.col(f"e_{c}"), "__total": F.col(f"n_{c}")} for c in columns])))
+    long = df.select(*by, F.inline(stacked(*[{"feature": c, "value": F.col(c).cast("double")} for c in columns])))
+    tagged = attach(long.filter(F.col("value").isNotNull()), brackets, group)
+    value = F.col("value")
+
+    def side(i):
+        low, high = F.get("__edges", F.lit(2 * i)), F.get("__edges", F.lit(2 * i + 1))
+        return F.when(value < low, -1).when(value > high, 1).otherwise(0)
+    sides = tagged.select(*group, "value", "__total", F.inline(stacked(
+        *[{"__i": i, "__side": side(i)} for i in range(len(probabilities))])))
+    cells = sides.groupBy(*group, "__i", "__side", F.when(F.col("__side") == 0, value).alias("__value")).agg(
+        F.count("*").alias("__n"), F.min("value").alias("__least"), F.max("value").alias("__most"),
+        F.max("__total").alias("__total"))
+    ranked = running_total(cells, [*group, "__i"], ["__side", "__value"], __upto="__n")
+    picked = settle(_pick_quantiles(ranked, group, probabilities))
+    if picked.filter(reduce(lambda a, b: a | b, [F.col(f"q{i}").isNull() for i in range(len(probabilities))])).limit(1).count():
+        return quantiles_by_counting(df, columns, probabilities, by)
+    return picked
+
+
+def quantiles_by_counting(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
+                          by: Sequence[str] = ()) -> DataFrame:
+    """The same from the running count of all distinct values."""
+    group = [*by, "feature"]
+    counted = value_counts(df, columns, by).withColumnsRenamed({"n": "__n", "value": "__value"})
+    totals = df.groupBy(*by).agg(*[F.count(c).alias(f"n_{c}") for c in columns])
+    totals = totals.select(*by, F.inline(stacked(*[{"feature": c, "__total": F.col(f"n_{c}")} for c in columns])))
+    every = attach(running_total(counted, group, ["__value"], __upto="__n"), totals, group).withColumns(
+        {"__side": F.lit(0), "__least": F.col("__value"), "__most": F.col("__value")})
+    wanted = F.explode(F.array(*[F.lit(i) for i in range(len(probabilities))]))
+    return _pick_quantiles(every.withColumn("__i", wanted), group, probabilities)
+
+
+def _pick_quantiles(ranked: DataFrame, group: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Interpolate between the values at the two ranks around each quantile.
+
+    A row holds the ranks from ``__upto - __n`` to below ``__upto``. Of a row that stands for all values
+    below (above) a bracket only the last (first) is known.
+    """
+    first, end = F.col("__upto") - F.col("__n"), F.col("__upto")
+    picks, results = [], []
     for i, p in enumerate(probabilities):
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            holds = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-            picks.append(F.max(F.when(holds, F.col("value"))).alias(f"__{side}{i}"))
-    picked = placed.groupBy(*group).agg(F.max("total").alias("n"), *picks)
-    shares = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
-    return picked.select(
-        *group, "n",
-        *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (s - F.floor(s))).alias(f"q{i}")
-          for i, s in enumerate(shares)],
-    )
+        at = F.lit(float(p)) * (F.col("__total") - 1)
+        for name, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            known = F.when(F.col("__side") == 0, F.col("__value")).when(
+                (F.col("__side") < 0) & (rank == end - 1), F.col("__most")).when(
+                (F.col("__side") > 0) & (rank == first), F.col("__least"))
+            here = (F.col("__i") == i) & (first <= rank) & (rank < end)
+            picks.append(F.max(F.when(here, known)).alias(f"__{name}{i}"))
+        share = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        results.append((low + (high - low) * (share - F.floor(share))).alias(f"q{i}"))
+    return ranked.groupBy(*group).agg(F.max("__total").alias("n"), *picks).select(*group, "n", *results)
+
+
+def repeat_rows(df: DataFrame, times: str, output: str, run: int = 100_000) -> DataFrame:
+    """Each row ``times`` times, numbered from 1.
+
+    A row that repeats very often is cut into runs that are dealt out to tasks
+    before they are written out. Pass a settled frame: it is read twice.
+    """
+    one = F.lit(1).cast("bigint")
+    few = df.filter(F.col(times).between(1, run)).withColumn(output, F.explode(F.sequence(one, F.col(times))))
+    starts = F.explode(F.sequence(one, F.col(times), F.lit(run).cast("bigint")))
+    many = df.filter(F.col(times) > run).withColumn("__start", starts).repartition("__start")
+    last = F.least(F.col("__start") + F.lit(run - 1), F.col(times))
+    many = many.withColumn(output, F.explode(F.sequence(F.col("__start"), last))).drop("__start")
+    return few.unionByName(many)
 
 
 def hash_cutoffs(df: DataFrame, key: str, by: Sequence[str], seed, **ranks: Column) -> DataFrame:

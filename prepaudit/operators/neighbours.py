@@ -57,7 +57,7 @@ def _found(frame: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFram
 
 def _folded(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     """One row per distinct vector with the ``keep`` smallest keys that share it."""
-    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("__v"))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("__v"))
     rows = rows.withColumn("salt", F.substring(digest("salt", "id"), 1, 2))
     first = Window.partitionBy("__v", "salt").orderBy("id")
     second = Window.partitionBy("__v").orderBy("id")

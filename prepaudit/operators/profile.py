@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepaudit.functions.rows import stacked
 from prepaudit.operators.clean import numeric_columns
-from prepaudit.operators.distributed import attach, quantiles
+from prepaudit.operators.distributed import attach, quantiles, scalars
 
 
 def group_counts(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
@@ -18,12 +18,18 @@ def group_counts(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str, digits: int | None = 2, by: Sequence[str] = ()) -> DataFrame:
-    """Share of each value among the non-null ones, halves rounded to even; the window runs over counted values."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
-    share = F.col("n").cast("double") / F.sum("n").over(Window.partitionBy(*by))
+    """Share of each value among the non-null ones, halves rounded to even."""
+    held = df.filter(F.col(column).isNotNull())
+    counted = held.groupBy(*by, column).agg(F.count("*").alias("n"))
+    totals = held.groupBy(*by).agg(F.count("*").alias("__total"))
+    if by:
+        counted = attach(counted, totals, by)
+    else:
+        counted = counted.withColumn("__total", scalars(totals)["__total"])
+    share = F.col("n").cast("double") / F.col("__total")
     if digits is not None:
         share = F.rint(share * F.lit(10.0**digits)) / F.lit(10.0**digits)
-    return counted.withColumn("share", share)
+    return counted.withColumn("share", share).drop("__total")
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -57,13 +63,14 @@ def imbalance(df: DataFrame, label: str, threshold: float = 0.2) -> DataFrame:
 
 def share_drift(df: DataFrame, column: str, split: str, before: str, after: str) -> DataFrame:
     """Share of every value on two sides of a split and the difference; a value missing on one side counts 0."""
-    counted = df.filter(F.col(column).isNotNull() & F.col(split).isin(before, after)).groupBy(column).agg(
-        F.count_if(F.col(split) == before).alias("__b"), F.count_if(F.col(split) == after).alias("__a"))
-    everything = Window.partitionBy()
+    held = df.filter(F.col(column).isNotNull() & F.col(split).isin(before, after))
+    sides = [F.count_if(F.col(split) == side).alias(name) for name, side in (("__b", before), ("__a", after))]
+    total = scalars(held.agg(*sides))
 
     def share(c):
-        return F.col(c).cast("double") / F.nullif(F.sum(c).over(everything), F.lit(0))
-    return counted.select(column, share("__b").alias("share_before"), share("__a").alias("share_after")).withColumn(
+        return F.col(c).cast("double") / F.nullif(total[c], F.lit(0))
+    return held.groupBy(column).agg(*sides).select(
+        column, share("__b").alias("share_before"), share("__a").alias("share_after")).withColumn(
         "drift", F.col("share_after") - F.col("share_before"))
 
 
@@ -73,6 +80,6 @@ def granularity(df: DataFrame, before: str, after: str) -> DataFrame:
     sides = stacked(*[{"side": side, "value": F.col(c).cast("string")} for side, c in (("before", before), ("after", after))])
     counted = pairs.select("n", F.inline(sides)).filter(F.col("value").isNotNull()).groupBy("side", "value").agg(
         F.sum("n").cast("double").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("side"))
-    return counted.withColumn("p", share).groupBy("side").agg(
-        F.count("*").alias("distinct_values"), F.sum(-F.col("p") * F.log("p")).alias("entropy"))
+    n = F.col("n")
+    entropy = F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
+    return counted.groupBy("side").agg(F.count("*").alias("distinct_values"), entropy.alias("entropy"))

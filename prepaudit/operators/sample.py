@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prepaudit.functions.hashing import below, draw, gaussian, uniform
 from prepaudit.functions.rows import stacked
-from prepaudit.operators.distributed import attach, hash_cutoffs, hash_place, running_total, scalars
+from prepaudit.operators.distributed import attach, hash_cutoffs, hash_place, repeat_rows, running_total, scalars, settle
 from prepaudit.operators.neighbours import nearest
 
 
@@ -83,9 +83,8 @@ def bootstrap(df: DataFrame, key: str, weight: str, by: Sequence[str] = (), seed
     hits = counted.filter(F.col("kind") != 1).groupBy(*by, key).agg(
         (F.max(F.when(F.col("kind") == 2, F.col("darts"))) - F.max(F.when(F.col("kind") == 0, F.col("darts"))))
         .alias("hits"))
-    hits = hits.filter(F.col("hits") > 0).select(F.col(key).alias("__key"), "hits")
-    joined = df.join(hits, df[key] == hits["__key"]).drop("__key")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("hits")))).drop("hits")
+    hits = settle(hits.filter(F.col("hits") > 0).select(F.col(key).alias("__key"), "hits"))
+    return repeat_rows(df.join(hits, df[key] == hits["__key"]).drop("__key"), "hits", "copy").drop("hits")
 
 
 def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed=42) -> DataFrame:
@@ -108,15 +107,13 @@ def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed=42)
     one_more = F.coalesce((hash_place(key, seed) <= F.col("__cut")).cast("int"), F.lit(0))
     quota = F.floor(fit["need"] / fit["have"]) + one_more
     numbered = attach(minority, cuts, label, "left").withColumn("__quota", quota).drop("__cut")
-    copies = numbered.filter(F.col("__quota") > 0).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__quota")))).drop("__quota")
+    copies = repeat_rows(settle(numbered.select(key, vector, label, "__quota")), "__quota", "copy").drop("__quota")
     near = nearest(minority, key, vector, k).groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"])
-        .alias("__near")).withColumnRenamed(key, "__of")
+        .alias("__near"))
     pick = (draw(f"{seed}/n", key, "copy") % F.size("__near")).cast("int")
-    paired = copies.join(near, F.col(key) == F.col("__of")).withColumn("neighbour", F.get("__near", pick))
-    partner = minority.select(F.col(key).alias("__other"), F.col(vector).alias("__end"))
-    paired = paired.join(partner, F.col("neighbour") == F.col("__other"))
+    paired = attach(copies, near, key).withColumn("neighbour", F.get("__near", pick))
+    paired = attach(paired, minority.select(F.col(key).alias("neighbour"), F.col(vector).alias("__end")), "neighbour")
     paired = paired.withColumn("__u", uniform(f"{seed}/u", key, "copy"))
     point = F.zip_with(vector, "__end", lambda a, b: a.cast("double") + F.col("__u") * (b.cast("double") - a.cast("double")))
     return paired.select(key, "copy", "neighbour", label, point.alias(vector))
