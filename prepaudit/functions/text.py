@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
 
 def ngrams(text: Column, n: int) -> Column:
     """All character n-grams of the whole text, repeats kept, in one scan of it."""
-    pattern = "(?s)." if n == 1 else rf"(?s)(?=(.{{{n}}}))"
+    pattern = "(?s)." if n == 1 else rf"(?s)(?=(.{{{n}}}))."
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if n == 1 else 1))
 
 
