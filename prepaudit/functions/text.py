@@ -11,8 +11,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(column: Column) -> Column:
-    """Remove white space of any kind on both sides (``trim`` removes blanks only)."""
-    return F.regexp_replace(F.regexp_replace(column, r"^\s+", ""), r"\s+$", "")
+    """Remove white space of any kind on both sides (``trim`` removes blanks only).
+
+    The trailing pattern may only start where a run starts, so a long run inside the text is read once.
+    """
+    return F.regexp_replace(F.regexp_replace(column, r"^\s+", ""), r"(?<!\s)\s++$", "")
 
 
 def lines(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepaudit.operators.clean import numeric_columns, string_columns
-from prepaudit.operators.distributed import one_row, quantiles, scalars, value_counts
+from prepaudit.operators.distributed import one_row, quantiles, scalars, settle, value_counts
 
 
 def fit_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def fit_fills(df: DataFrame, strategies: Mapping[str, str | tuple]) -> DataFrame
     unknown = set(strategies) - set(values)
     if unknown:
         raise ValueError(f"unknown strategy for {sorted(unknown)}")
-    return one_row(df, **{c: values[c] for c in strategies})
+    return settle(one_row(df, **{c: values[c] for c in strategies}))
 
 
 def apply_fills(df: DataFrame, fills: DataFrame) -> DataFrame:

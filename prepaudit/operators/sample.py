@@ -33,9 +33,9 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed=4
     n, k = F.col("n"), F.lit(folds)
     ends = {f"__end{i}": F.lit(i) * F.floor(n / k) + F.least(F.lit(i), n % k) for i in range(1, folds)}
     cuts = hash_cutoffs(df, key, [label], seed, **ends)
-    place = hash_place(key, seed)
-    later = sum(((F.col(end).isNull() | (place > F.col(end))).cast("int") for end in ends), F.lit(0))
-    return attach(df, cuts, label, "left").withColumn(output, later).drop(*ends)
+    later = sum(((F.col("__place") > F.col(end)).cast("int") for end in ends), F.lit(0))
+    placed = attach(df, cuts, label, "left").withColumn("__place", hash_place(key, seed))
+    return placed.withColumn(output, later).drop(*ends, "__place")
 
 
 def sample_by_class(df: DataFrame, key: str, label: str, shares: Mapping, seed=42) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepaudit.operators.distributed import quantiles, scalars
+from prepaudit.operators.distributed import quantiles, scalars, settle
 
 
 def _nonzero(width: Column) -> Column:
@@ -43,7 +43,7 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "standard",
           train: Column | None = None) -> DataFrame:
     """``(x - centre) / width`` with both fitted on the rows where ``train`` holds."""
     fitted = df if train is None else df.filter(train)
-    fit = scalars(FITS[method](fitted, columns))
+    fit = scalars(settle(FITS[method](fitted, columns)))
     return df.withColumns({c: (F.col(c) - fit[f"{c}__centre"]) / _nonzero(fit[f"{c}__width"]) for c in columns})
 
 
