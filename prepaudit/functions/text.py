@@ -7,15 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: line breaks and white space of any script, as character classes
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 def strip(column: Column) -> Column:
     """Remove white space of any kind on both sides (``trim`` removes blanks only).
 
     The trailing pattern may only start where a run starts, so a long run inside the text is read once.
     """
-    return F.regexp_replace(F.regexp_replace(column, r"^\s+", ""), r"(?<!\s)\s++$", "")
+    return F.regexp_replace(F.regexp_replace(column, f"^{WHITE}+", ""), rf"(?<!{WHITE}){WHITE}++\z", "")
 
 
 def lines(text: Column) -> Column:
@@ -31,7 +34,7 @@ def after_first(items: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Pieces between white space."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{WHITE}+"), lambda w: w != "")
 
 
 def ngrams(text: Column, n: int) -> Column:
@@ -42,7 +45,7 @@ def ngrams(text: Column, n: int) -> Column:
 
 def strip_comment_lines(text: Column, mark: str = "#") -> Column:
     """Drop the lines whose first visible character is ``mark``."""
-    return F.array_join(F.filter(lines(text), lambda line: ~line.rlike(rf"^\s*\Q{mark}\E")), "\n")
+    return F.array_join(F.filter(lines(text), lambda line: ~line.rlike(rf"^{WHITE}*\Q{mark}\E")), "\n")
 
 
 def rule_tags(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:

@@ -67,7 +67,7 @@ def _folded(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     return folded.withColumn("rep", F.get("members", F.lit(0)))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = 2048) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = 1024) -> DataFrame:
     """``(key, rank, neighbour, distance)``: each row's k nearest other rows, by rounded distance, then key."""
     want = k + 1
     key_type = df.schema[key].dataType.simpleString()

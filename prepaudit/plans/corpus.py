@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prepaudit.functions import code, text
 from prepaudit.operators import cases, pairs, runs
-from prepaudit.plans.inputs import (LEFT_SCRIPT, PAIRS_SQL, RUNS_SQL, SCRIPTS_SQL, document_pairs, event_runs, lines_sql,
+from prepaudit.plans.inputs import (LEFT_SCRIPT, PAIRS_SQL, RUNS_SQL, SCRIPTS_SQL, WHITE_SQL, document_pairs, event_runs, lines_sql,
                                     rounded, script_pairs, strip_sql, table, words_sql)
 from prepaudit.plans.registry import query
 
@@ -25,7 +25,7 @@ def case_complete(spark, folder):
 
 
 def _uncommented_sql(column: str) -> str:
-    return rf"array_to_string(list_filter({lines_sql(column)}, lambda l: NOT regexp_matches(l, '^\s*#')), chr(10))"
+    return f"array_to_string(list_filter({lines_sql(column)}, lambda l: NOT regexp_matches(l, '^{WHITE_SQL}*#')), chr(10))"
 
 
 @query("case_pending", f"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prepaudit.operators import sample
-from prepaudit.operators.distributed import attach, scalars
+from prepaudit.operators.distributed import attach, scalars, settle
 from prepaudit.sources.tables import parquet, spread
 
 SEED = 42
@@ -87,7 +87,8 @@ SCORED_SQL = f"""{LABELLED_SQL}, placed AS (
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    split = sample.stratified_split(labelled(spark, folder), "doc_id", "quality", 0.8, SEED)
+    rows = settle(labelled(spark, folder))  # read by the split, the fit and the query: join once
+    split = sample.stratified_split(rows, "doc_id", "quality", 0.8, SEED)
     mean = scalars(split.filter(F.col("split") == "train").agg(F.avg("n_chars").alias("m")))["m"]
     return split.withColumn("pred", (F.col("n_chars") >= mean).cast("int"))
 
@@ -102,7 +103,7 @@ FOLDED_SQL = f"""{LABELLED_SQL}, folds AS (
 
 
 def folded(spark: SparkSession, folder: str) -> DataFrame:
-    folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 5, SEED)
+    folds = sample.stratified_folds(settle(labelled(spark, folder)), "doc_id", "quality", 5, SEED)
     sums = folds.groupBy("fold").agg(F.sum("n_chars").cast("double").alias("s"), F.count("*").cast("double").alias("n"))
     every = Window.partitionBy()
     others = (F.sum("s").over(every) - F.col("s")) / (F.sum("n").over(every) - F.col("n"))
@@ -161,14 +162,17 @@ def event_runs(spark: SparkSession, folder: str) -> DataFrame:
         (F.max("value") > 200).alias("success"))
 
 
+WHITE_SQL = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
 def lines_sql(text: str) -> str:
     parts = rf"regexp_split_to_array({text}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
     return f"CASE WHEN {parts}[-1] = '' THEN {parts}[1:len({parts}) - 1] ELSE {parts} END"
 
 
 def words_sql(text: str) -> str:
-    return rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '{WHITE_SQL}+'), lambda w: w <> '')"
 
 
 def strip_sql(text: str) -> str:
-    return rf"regexp_replace(regexp_replace({text}, '^\s+', ''), '\s+$', '')"
+    return f"regexp_replace(regexp_replace({text}, '^{WHITE_SQL}+', ''), '{WHITE_SQL}+$', '')"

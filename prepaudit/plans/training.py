@@ -26,7 +26,7 @@ def _train():
 def train_logreg(spark, folder):
     items = _items(spark, folder)
     rows = items.filter(_train()).count()
-    stages = [train.assembler(NUMBERS), train.logistic_regression(rows, "y", max_iter=20)]
+    stages = [*train.preprocessing(NUMBERS, fill=None), train.logistic_regression(rows, "y", max_iter=20)]
     predicted = train.fit_predict(stages, items, _train()).filter(~_train())
     judged = predicted.select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
     return rounded(metrics.classification_report(judged, "y", "p"))
@@ -103,7 +103,8 @@ def permutation_importance_model(spark, folder):
     """Permutation importance of a fitted logistic regression, scored as a column expression."""
     items = _items(spark, folder).withColumn("key", F.concat_ws("/", "l_orderkey", "l_returnflag", *NUMBERS))
     known = items.filter(_train())
-    model = train.logistic_regression(known.count(), "y", max_iter=20).fit(train.assembler(NUMBERS).transform(known))
+    stages = [train.assembler(NUMBERS), train.logistic_regression(known.count(), "y", max_iter=20)]
+    model = train.fit(stages, known).stages[-1]
 
     def predict(given):
         margin = F.lit(float(model.intercept))

@@ -30,6 +30,13 @@ def test_ngrams_cover_the_whole_text(spark, n):
     assert one(spark, "", lambda t: text.ngrams(t, n)) == []
 
 
+def test_white_space_of_any_script(spark):
+    value = "\u3000\x1c a\u00a0b \u2003c\n\x0b"
+    assert one(spark, value, text.strip) == value.strip()
+    assert one(spark, value, text.words) == value.split()
+    assert one(spark, "a" + " " * 200_000 + "b", text.strip) == "a" + " " * 200_000 + "b"
+
+
 def test_comment_lines_go(spark):
     assert one(spark, "a # x\n  # b\n#c\n\nd", text.strip_comment_lines) == "a # x\n\nd"
 
