@@ -132,9 +132,12 @@ def fixed_bins(column: Column, edges: Sequence[float], labels: Sequence[str]) ->
 
 
 def duration_days(start: Column, end: Column) -> Column:
-    """Whole days between two timestamps, rounded down."""
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.floor(micros / F.lit(86_400_000_000.0)).cast("double")
+    """Whole days between two timestamps, rounded down; clock changes count only for timestamps with a zone."""
+    gap = end - start
+    parts = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60, "SECOND": 1}
+    seconds = sum((F.extract(F.lit(unit), gap).cast("double") * F.lit(float(size)) for unit, size in parts.items()),
+                  F.lit(0.0))
+    return F.floor(seconds / F.lit(86_400.0)).cast("double")
 
 
 class DurationDays(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -148,14 +151,15 @@ class DurationDays(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     outputCol = Param(Params._dummy(), "outputCol", "output column", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, startCol=None, endCol=None, outputCol="duration_days"):
+    def __init__(self, *, startCol=None, endCol=None, outputCol=None):
         super().__init__()
+        self._setDefault(outputCol="duration_days")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
         start, end = self.getOrDefault(self.startCol), self.getOrDefault(self.endCol)
         text = set(string_columns(df))
-        instants = [F.try_to_timestamp(F.col(c)) if c in text else F.col(c) for c in (start, end)]
+        instants = [F.col(c).try_cast("timestamp_ntz") if c in text else F.col(c) for c in (start, end)]
         days = duration_days(*instants)
         return df.withColumn(self.getOrDefault(self.outputCol), days).drop(start, end)
 

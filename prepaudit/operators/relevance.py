@@ -91,8 +91,8 @@ def permutation_importance(df: DataFrame, key: str, label: str, features: Sequen
     return losses.select(F.inline(rows))
 
 
-def drop_proxies(df: DataFrame, protected: Sequence[str], found: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Remove protected columns and every flagged proxy (a list as long as the schema)."""
-    flagged = [r["feature"] for r in found.filter("proxy").limit(limit).collect()]
+def drop_proxies(df: DataFrame, protected: Sequence[str], found: DataFrame) -> DataFrame:
+    """Remove protected columns and every flagged proxy; there is at most one row per column of the frame."""
+    flagged = [r["feature"] for r in found.filter("proxy").collect()]
     return df.drop(*protected, *flagged)
 

@@ -43,6 +43,18 @@ def test_duration_reads_text_leniently_and_rounds_down(spark):
     assert rows(stage.transform(df)) == [(1.0,), (-1.0,), (None,)]
 
 
+def test_duration_ignores_clock_changes(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2020-03-07 00:00:00", "2020-03-09 00:00:00")], "a string, b string")
+        typed = df.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in df.columns])
+        for frame in (df, typed):
+            assert rows(clean.DurationDays(startCol="a", endCol="b").transform(frame)) == [(2.0,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_tokens_and_rare_values(spark):
     df = spark.createDataFrame([("Braund, Mr. Owen",), ("no mark",)], "n string")
     assert rows(df.select(clean.token_between(F.col("n"), ",", "."))) == [("Mr",), (None,)]
