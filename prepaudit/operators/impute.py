@@ -25,12 +25,10 @@ def fit_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent value; the smallest on a tie."""
-    numeric = set(numeric_columns(df))
+    types = {name: kind for name, kind in df.dtypes if name in columns}
     best = {}
-    for kind, chosen in (("double", [c for c in columns if c in numeric]),
-                         ("string", [c for c in columns if c not in numeric])):
-        if not chosen:
-            continue
+    for kind in sorted(set(types.values())):
+        chosen = [c for c in columns if types[c] == kind]
         order = F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value"))
         modes = value_counts(df, chosen, kind=kind).agg(
             *[F.min(F.when(F.col("feature") == c, order)).getField("value").alias(c) for c in chosen])

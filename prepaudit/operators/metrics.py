@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from prepaudit.operators.distributed import running_total
 
 
 def _hit(y: str, p: str) -> Column:
-    return F.col(y).eqNullSafe(F.col(p)).cast("double")
+    return F.coalesce(F.col(y) == F.col(p), F.lit(False)).cast("double")
 
 
 def accuracy(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -38,11 +38,12 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(0.0))
 
 
-def classification_report(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+def classification_report(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
+                          names: Mapping | None = None) -> DataFrame:
     """``(by..., label, precision, recall, f1_score, support)``.
 
     One row per class seen as label or prediction, then ``accuracy`` (as
-    f1_score), ``macro avg`` and ``weighted avg``.
+    f1_score), ``macro avg`` and ``weighted avg``. ``names`` renames classes.
     """
     by = list(by)
     pairs = df.groupBy(*by, F.col(y).cast("string").alias("__y"), F.col(p).cast("string").alias("__p")).agg(
@@ -70,7 +71,11 @@ def classification_report(df: DataFrame, y: str, p: str, by: Sequence[str] = ())
     macro = [F.col(f"m_{s}") for s in scores]
     weighted = [F.col(f"w_{s}") for s in scores]
     share = [F.lit(None), F.lit(None), _ratio(F.col("hits"), F.col("actual"))]
-    one = stacked(row(F.col("label"), macro))
+    shown = F.col("label")
+    if names:
+        pairs_of = [F.lit(str(x)) for pair in names.items() for x in pair]
+        shown = F.coalesce(F.try_element_at(F.create_map(*pairs_of), shown), shown)
+    one = stacked(row(shown, macro))
     three = stacked(row("accuracy", share), row("macro avg", macro), row("weighted avg", weighted))
     return totals.select(*by, F.inline(F.when(F.col("__all") == 0, one).otherwise(three)))
 

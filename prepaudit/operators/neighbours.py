@@ -67,21 +67,9 @@ def _folded(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     return folded.withColumn("rep", F.get("members", F.lit(0)))
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = 1024) -> DataFrame:
-    """``(key, rank, neighbour, distance)``: each row's k nearest other rows, by rounded distance, then key."""
-    want = k + 1
-    key_type = df.schema[key].dataType.simpleString()
-    folded = settle(_folded(df, key, vector, want))
-
-    centre = folded.select(vector_to_array(Summarizer.mean(array_to_vector("__v")))).first()[0] or []
-    gaps = F.zip_with("__v", F.array(*[F.lit(x) for x in centre]), lambda a, b: (a - b) * (a - b))
-    measured = folded.withColumn("d", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)))
-    placed = running_total(measured, [], ["d", "rep"], place=F.lit(1).cast("bigint"))
-    placed = settle(placed.withColumn("block", F.floor((F.col("place") - 1) / F.lit(block_rows))).drop("place"))
-
+def _from_other_blocks(placed: DataFrame, own: DataFrame, key_type: str, want: int) -> DataFrame:
+    """Neighbours found in the blocks that may hold nearer rows than a row's own block."""
     found_type = f"rep {key_type}, distances array<double>, ids array<{key_type}>"
-    own = settle(placed.select("block", "rep", "__v", "members").groupBy("block").applyInPandas(
-        lambda frame: _found(frame, frame, want), found_type))
     slack = 2 * 10.0**-DIGITS
     reach = F.when(F.size("distances") >= want, F.element_at("distances", -1) + slack)
     bounded = own.select("rep", F.coalesce(reach, F.lit(float("inf"))).alias("reach"))
@@ -102,15 +90,35 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int =
     last = blocks_passed(F.col("d") + F.col("reach"), "lo", False).withColumnRenamed("passed", "last")
     targets = F.sequence(F.col("first"), F.col("last") - 1)
     asked = first.join(last, "rep").filter(F.col("last") > F.col("first")).select("rep", F.explode(targets).alias("target"))
-    asked = asked.join(placed.select("rep", "__v", "block"), "rep").filter(F.col("target") != F.col("block"))
+    asked = asked.join(placed.select("rep", "block"), "rep").filter(F.col("target") != F.col("block"))
     asked = settle(asked)
     pairs = asked.select(F.col("target").alias("of"), F.col("block").alias("by")).distinct()
+    asked = asked.join(placed.select(F.col("rep").alias("__rep"), "__v"), F.col("rep") == F.col("__rep")).drop("__rep")
     points = placed.select(F.col("block").alias("of"), F.col("rep").alias("point"), F.col("__v").alias("__p"), "members")
     candidates = points.join(pairs, "of").select("of", "by", "point", F.col("__p").alias("__v"), F.col("members"))
-    other = asked.groupBy("target", "block").cogroup(candidates.groupBy("of", "by")).applyInPandas(
+    return asked.groupBy("target", "block").cogroup(candidates.groupBy("of", "by")).applyInPandas(
         lambda queries, points: _found(queries, points, want), found_type)
 
-    merged = own.unionByName(other).select("rep", F.inline(F.arrays_zip("distances", "ids")))
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, block_rows: int = 1024) -> DataFrame:
+    """``(key, rank, neighbour, distance)``: each row's k nearest other rows, by rounded distance, then key."""
+    want = k + 1
+    key_type = df.schema[key].dataType.simpleString()
+    folded = settle(_folded(df, key, vector, want))
+
+    centre = folded.select(vector_to_array(Summarizer.mean(array_to_vector("__v")))).first()[0] or []
+    gaps = F.zip_with("__v", F.array(*[F.lit(x) for x in centre]), lambda a, b: (a - b) * (a - b))
+    measured = folded.withColumn("d", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)))
+    placed = running_total(measured, [], ["d", "rep"], place=F.lit(1).cast("bigint"))
+    placed = settle(placed.withColumn("block", F.floor((F.col("place") - 1) / F.lit(block_rows))).drop("place"))
+
+    found_type = f"rep {key_type}, distances array<double>, ids array<{key_type}>"
+    own = settle(placed.select("block", "rep", "__v", "members").groupBy("block").applyInPandas(
+        lambda frame: _found(frame, frame, want), found_type))
+    blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    if blocks > 1:
+        own = own.unionByName(_from_other_blocks(placed, own, key_type, want))
+    merged = own.select("rep", F.inline(F.arrays_zip("distances", "ids")))
     best = F.row_number().over(Window.partitionBy("rep").orderBy("distances", "ids"))
     lists = (
         merged.withColumn("r", best).filter(F.col("r") <= want)

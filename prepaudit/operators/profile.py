@@ -54,6 +54,17 @@ def describe_by(df: DataFrame, columns: Sequence[str] | None = None, by: Sequenc
                          F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
+def info(df: DataFrame) -> DataFrame:
+    """``(feature, type, non_null)`` per column in one pass."""
+    counted = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counted.select(F.inline(stacked(*[{"feature": c, "type": t, "non_null": F.col(c)} for c, t in df.dtypes])))
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """One row: rows and columns."""
+    return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
 def imbalance(df: DataFrame, label: str, threshold: float = 0.2) -> DataFrame:
     """One row: the smallest class share and whether it lies below the threshold."""
     shares = value_shares(df, label, None)

@@ -56,6 +56,19 @@ def describe_by_split(spark, folder):
     return rounded(profile.describe_by(split, ["o_totalprice", "o_custkey"], ["split"]), 4)
 
 
+@query("table_info", f"""
+    WITH {GAPS_SQL} SELECT 'total' AS feature, 'double' AS type, count(total) AS non_null FROM gaps
+    UNION ALL SELECT 'priority', 'string', count(priority) FROM gaps
+    UNION ALL SELECT 'split', 'string', count(split) FROM gaps""")
+def table_info(spark, folder):
+    return profile.info(gaps(spark, folder).select("total", "priority", "split"))
+
+
+@query("table_shape", "SELECT count(*) AS rows, 11 AS columns FROM lineitem")
+def table_shape(spark, folder):
+    return profile.shape(table(spark, folder, "lineitem"))
+
+
 @query("imbalance_flag", """
     WITH s AS (SELECT count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM labels GROUP BY quality)
     SELECT count(*) AS classes, round(min(share), 6) AS min_share, min(share) < 0.2 AS imbalanced FROM s""")

@@ -95,6 +95,8 @@ def test_noise_has_the_stated_spread(people):
 def test_classification_report_by_hand(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "y string, p string")
     got = {r["label"]: tuple(r)[1:] for r in metrics.classification_report(df, "y", "p").collect()}
+    named = metrics.classification_report(df, "y", "p", names={"a": "first"})
+    assert {r["label"] for r in named.collect()} == {"first", "b", "c", "accuracy", "macro avg", "weighted avg"}
     assert got["a"] == (1.0, 0.5, pytest.approx(2 / 3), 2)
     assert got["b"] == (pytest.approx(1 / 3), 1.0, 0.5, 1)
     assert got["c"] == (0.0, 0.0, 0.0, 1)

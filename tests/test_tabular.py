@@ -83,6 +83,12 @@ def test_fills_by_strategy(spark):
         impute.fit_fills(df, {"m": "guess"})
 
 
+def test_mode_keeps_the_type_of_its_column(spark):
+    df = spark.createDataFrame([(2**60 + 1,), (2**60 + 1,), (2**60 + 3,), (None,)], "x long")
+    filled = impute.impute(df, {"x": "mode"})
+    assert filled.dtypes == [("x", "bigint")] and rows(filled)[-1] == (2**60 + 1,)
+
+
 def test_mode_of_numbers_takes_the_smallest_on_a_tie(spark):
     df = spark.createDataFrame([(5.0,), (2.0,), (2.0,), (5.0,), (None,)], "x double")
     assert impute.fit_fills(df, {"x": "mode"}).first()["x"] == 2.0
@@ -159,6 +165,10 @@ def test_profiles(spark):
     assert sorted(rows(profile.value_shares(df, "c"))) == [("a", 2, 0.67), ("b", 1, 0.33)]
     assert dict((r[0], r[1]) for r in rows(profile.null_profile(df))) == {"c": 1, "x": 1}
     assert (None, 1) in rows(profile.group_counts(df, "c"))
+    shares = profile.value_shares(df.withColumn("k", F.lit(1)), "c", None, ["k"])
+    assert sorted((r["c"], r["share"]) for r in shares.collect()) == [("a", 2 / 3), ("b", 1 / 3)]
+    assert rows(profile.info(df)) == [("c", "string", 3), ("x", "double", 3)]
+    assert rows(profile.shape(df)) == [(4, 2)]
     flag = profile.imbalance(spark.createDataFrame([(0,)] * 9 + [(1,)], "y int"), "y").first()
     assert flag["imbalanced"] and flag["classes"] == 2
     summary = profile.describe_by(df, ["x"]).first()
