@@ -1,14 +1,14 @@
 """Comparing two texts per case, as counted pieces instead of per-pair matching.
 
 A frame of pairs has one row per ``case`` with the texts ``left`` and ``right``.
-Pieces (lines or character n-grams) are counted per case and side in one
-grouped aggregation, pre-aggregated before its shuffle and spread by piece, so
-one very long text does not sit in one task.
+Pieces (lines or character n-grams) are cut where the text lies and counted per
+case and side in one grouped aggregation, pre-aggregated before its shuffle and
+spread by piece, so the pieces of a very long text are shared out among tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,31 +17,33 @@ from prepaudit.functions import code, scoring, text
 from prepaudit.functions.rows import stacked
 
 
-def piece_counts(pairs: DataFrame, kinds: Mapping, case: str = "case") -> DataFrame:
-    """``(case, kind, piece, n_left, n_right)``; ``kinds`` names functions from a text to its pieces.
+def piece_counts(pairs: DataFrame, cuts: Sequence, case: str = "case") -> DataFrame:
+    """``(case, kind, piece, n_left, n_right)``; ``cuts`` are functions from a text to its pieces, numbered as kinds.
 
     A side without pieces leaves a row with a null piece and no counts, so that
     no case gets lost and no second look at the texts is needed.
     """
-    sides = stacked(*[{"kind": kind, "side": side, "pieces": cut(F.col(side))}
-                      for kind, cut in kinds.items() for side in ("left", "right")])
-    exploded = pairs.select(case, F.inline(sides)).select(case, "kind", "side", F.explode_outer("pieces").alias("piece"))
-    held = F.col("piece").isNotNull()
+    sides = stacked(*[{"kind": kind, "right_side": number, "pieces": cut(F.col(side))}
+                      for kind, cut in enumerate(cuts) for number, side in enumerate(("left", "right"))])
+    exploded = pairs.select(case, F.inline(sides)).select(
+        case, "kind", "right_side", F.explode_outer("pieces").alias("piece"))
+    held = F.col("piece").isNotNull().cast("int")
     return exploded.groupBy(case, "kind", "piece").agg(
-        *[F.count_if(held & (F.col("side") == side)).alias(f"n_{side}") for side in ("left", "right")])
+        F.sum(held * (F.lit(1) - F.col("right_side"))).alias("n_left"),
+        F.sum(held * F.col("right_side")).alias("n_right"))
 
 
 def similarities(pairs: DataFrame, kinds: Mapping, case: str = "case") -> DataFrame:
     """Multiset Dice coefficient per case and kind: shared pieces twice over all pieces; 1 for two empty texts."""
-    counted = piece_counts(pairs, kinds, case)
+    counted = piece_counts(pairs, list(kinds.values()), case)
 
-    def dice(kind):
+    def dice(kind, name):
         def total(column):
             return F.sum(F.when(F.col("kind") == kind, column))
         ratio = F.lit(2.0) * total(F.least("n_left", "n_right")) / F.nullif(
             total(F.col("n_left") + F.col("n_right")), F.lit(0))
-        return F.coalesce(ratio, F.lit(1.0)).alias(kind)
-    return counted.groupBy(case).agg(*[dice(kind) for kind in kinds])
+        return F.coalesce(ratio, F.lit(1.0)).alias(name)
+    return counted.groupBy(case).agg(*[dice(kind, name) for kind, name in enumerate(kinds)])
 
 
 def char_pieces(n: int):
@@ -58,7 +60,7 @@ def char_similarity(pairs: DataFrame, n: int = 1, case: str = "case") -> DataFra
 
 def changed_lines(pairs: DataFrame, case: str = "case") -> DataFrame:
     """Lines added and removed between the sides as multisets, over all lines and over indented ones."""
-    counted = piece_counts(pairs, {"line": text.lines}, case)
+    counted = piece_counts(pairs, [text.lines], case)
     none = F.lit(0).cast("bigint")
     more = F.greatest(F.col("n_right") - F.col("n_left"), none)
     less = F.greatest(F.col("n_left") - F.col("n_right"), none)
