@@ -49,8 +49,8 @@ def train_forest_reg(spark, folder):
     return rounded(metrics.regression_metrics(predicted, "l_extendedprice", "prediction"))
 
 
-@query("train_pipeline")
-def train_pipeline(spark, folder):
+@query("train_stages")
+def train_stages(spark, folder):
     """Undersample the train rows, then one pipeline of fill, one-hot, scale and model."""
     rows = scored(spark, folder).withColumn("y", F.col("quality").cast("double"))
     balanced = sample.undersample(rows.filter(_train()), "doc_id", "quality", SEED)
@@ -71,8 +71,8 @@ def grid_search(spark, folder):
     return rounded(found)
 
 
-@query("cv_pipeline")
-def cv_pipeline(spark, folder):
+@query("cv_refit")
+def cv_refit(spark, folder):
     folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 3, SEED)
     rows = folds.withColumn("y", F.col("quality").cast("double")).select("fold", "y", "n_chars", "lang").persist()
     model = train.logistic_regression(rows.count(), "y", max_iter=20)

@@ -30,6 +30,19 @@ def test_running_total_matches_a_plain_loop(hot):
     assert got == expected
 
 
+def test_no_slice_holds_the_hot_group(hot, monkeypatch):
+    df, rows = hot
+    settled = []
+    monkeypatch.setattr(d, "settle", lambda frame, keep=d.settle: settled.append(keep(frame)) or settled[-1])
+    df.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d.running_total(df.withColumn("g", F.lit("all")), "g", ["id"], n=F.lit(1)).count()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in settled[0].groupBy("__slice").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < len(rows) / 4
+
+
 def test_running_total_without_groups(hot):
     df, rows = hot
     got = sorted(r["n"] for r in d.running_total(df, [], ["id"], n=F.lit(1)).collect())
