@@ -202,3 +202,35 @@ def test_private_counts_are_close_and_noisy(people):
     exact = {r["g"]: r["count"] for r in df.groupBy("g").count().collect()}
     noisy = {r["g"]: r["noisy_count"] for r in train.private_counts(df, ["g"], 1.0, seed=1).collect()}
     assert all(0 < abs(noisy[g] - exact[g]) < 20 for g in exact)
+
+
+def test_search_and_cross_validation_refit_per_fold(people):
+    df, _ = people
+    rows = sample.stratified_folds(df, "id", "y", 2).withColumn("t", (F.col("x") > 0.5).cast("double")).persist()
+    stages = [*train.preprocessing(["x"], fill=None), train.logistic_regression(300, "t")]
+    found = train.grid_search(rows, stages, {"regParam": [0.001, 100.0], "elasticNetParam": [1.0]}, "t", "fold", 2).collect()
+    assert len(found) == 2 and [r["best"] for r in found] == [True, False]
+    assert found[0]["mean_score"] > 0.9 > found[1]["mean_score"]
+    scores = train.cross_validate(rows, stages, "t", "fold", 2)
+    assert {r["fold"] for r in scores.collect()} == {0, 1}
+    assert metrics.cv_summary(scores, "score").first()["mean"] > 0.9
+    rows.unpersist()
+
+
+def test_fair_training_reports_both_gaps(spark):
+    rng = random.Random(2)
+    rows = [(i, g, float(rng.random() < (0.8 if g else 0.2)), float(g)) for i in range(400) for g in [i % 2]]
+    df = sample.hash_split(spark.createDataFrame(rows, "id long, g int, t double, x double"), "id")
+    stages = [*train.preprocessing(["x"], fill=None), train.logistic_regression(400, "t")]
+    got = {r["training"]: r["parity_gap"] for r in train.fair_training(df, stages, "t", "g", F.col("split") == "train").collect()}
+    assert got["plain"] == 1.0 and got["reweighed"] <= got["plain"]
+
+
+def test_forests_fit_both_kinds(people):
+    df, _ = people
+    df = sample.hash_split(df, "id").withColumn("t", (F.col("x") > 0.5).cast("double"))
+    on = F.col("split") == "train"
+    for label, regression in (("t", False), ("x", True)):
+        stages = [train.assembler(["x"]), train.forest(label, trees=5, depth=5, regression=regression)]
+        predicted = train.fit_predict(stages, df, on).filter(~on)
+        assert metrics.regression_metrics(predicted, label, "prediction").first()["r2"] > 0.9
