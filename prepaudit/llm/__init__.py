@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact", "secrets"]
+MODULES = ["bpe", "exact", "secrets"]
 
 
 def _load():
