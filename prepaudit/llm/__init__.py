@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "exact", "secrets"]
+MODULES = ["bpe", "decontaminate", "exact", "secrets"]
 
 
 def _load():
