@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "decontaminate", "exact", "secrets"]
+MODULES = ["bpe", "decontaminate", "exact", "secrets", "toxicity"]
 
 
 def _load():

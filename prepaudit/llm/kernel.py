@@ -42,6 +42,8 @@ LETTERS = _letters()
 PLACES = salts(4096, 23)
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Also cuts at every ASCII byte that is neither letter nor digit.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def places(n: int) -> np.ndarray:
@@ -72,10 +74,10 @@ def slices(column: pa.Array, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and each row's first word number (one more entry than rows)."""
     size = len(data)
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     edges = offsets[:-1][offsets[:-1] < size]
@@ -90,25 +92,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     inside = np.arange(len(data), dtype=np.int64)
     gaps = np.diff(np.append(starts, len(data)))
     inside[starts[0]:] -= np.repeat(starts, gaps)
-    value = LETTERS[data[starts[0]:]]
+    value = np.where(blank, np.uint64(0), LETTERS)[data[starts[0]:]]
     width = int(gaps.max())
     value = value * places(width)[inside[starts[0]:]]
     sums = np.add.reduceat(value, starts - starts[0])
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def texts_to_words(column: pa.Array, limit: int = TEXT_BYTES):
+def texts_to_words(column: pa.Array, limit: int = TEXT_BYTES, blank: np.ndarray = BLANK):
     """``(first row, end row, word hashes, first word of each row)`` for runs of rows."""
     for first, end, data, offsets in slices(column, limit):
-        starts, ends, bounds = word_spans(data, offsets)
-        yield first, end, word_hashes(data, starts, ends), bounds
+        starts, ends, bounds = word_spans(data, offsets, blank)
+        yield first, end, word_hashes(data, starts, ends, blank), bounds
 
 
 def row_numbers(bounds: np.ndarray) -> np.ndarray:
