@@ -106,6 +106,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: n
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int,
+                  blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the first ``size`` bytes of every longer word, and those words' numbers."""
+    which = np.flatnonzero(ends - starts > size)
+    table, place = np.where(blank, np.uint64(0), LETTERS), places(size)
+    total = np.full(len(which), size, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for j in range(size):
+        total += table[data[starts[which] + j]] * place[j]
+    return mix(total), which
+
+
 def texts_to_words(column: pa.Array, limit: int = TEXT_BYTES, blank: np.ndarray = BLANK):
     """``(first row, end row, word hashes, first word of each row)`` for runs of rows."""
     for first, end, data, offsets in slices(column, limit):
@@ -138,13 +149,17 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
 
 def row_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each row in ascending (unsigned) order, and the new bounds."""
-    rows = row_numbers(bounds)
+    return row_sets_of(values, row_numbers(bounds), len(bounds) - 1)
+
+
+def row_sets_of(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for values with their row numbers."""
     order = np.lexsort((values, rows))
     values, rows = values[order], rows[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
     values, rows = values[keep], rows[keep]
-    return values, np.searchsorted(rows, np.arange(len(bounds)))
+    return values, np.searchsorted(rows, np.arange(n_rows + 1))
 
 
 def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
