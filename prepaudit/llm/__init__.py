@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "decontaminate", "exact", "jaccard", "secrets", "toxicity"]
+MODULES = ["bpe", "decontaminate", "exact", "jaccard", "lines", "secrets", "toxicity"]
 
 
 def _load():
