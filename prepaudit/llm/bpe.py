@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,10 @@ MAP_SLOTS = 4096
 FOLD_BYTES = 48
 DICTIONARY_WORDS = 1 << 18
 COUNTER_WORDS = 1 << 18
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 BINS_PER_OCTAVE = 8
+#: Fixed value: the pattern for which texts may be cut at spaces first, see ``pieces_of``.
+SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,26 +119,65 @@ def merge_word(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def count_words(docs: DataFrame, text: str, pattern: str) -> DataFrame:
+#: A space between two other white-space characters: there, cutting at spaces would change the matches.
+_RUN = re.compile(r"\s \s")
+
+
+def pieces_of(text: str) -> list[str] | None:
+    """``text`` cut at spaces, each piece but the first standing for itself behind a space; None if that is not safe.
+
+    A space starts a match, or belongs to a run of white space that ends before it or with it. So the matches
+    inside the pieces, in order, are those of the text, unless a space has white space on both sides or is first or last.
+    """
+    if "  " in text or text[:1] == " " or text[-1:] == " " or _RUN.search(text):
+        return None
+    return text.split(" ")
+
+
+def count_words(docs: DataFrame, text: str, pattern: str, spaces: bool = True) -> DataFrame:
     """``(word, n)`` over all texts; each task sums what it has seen before anything moves."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
+        find, seen, pieces = regex.compile(pattern).findall, Counter(), Counter()
 
         def flush():
+            for piece, n in pieces.items():
+                for word in find(" " + piece):
+                    seen[word] += n
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                              ["word", "n"])
             seen.clear()
+            pieces.clear()
             return out
         for batch in batches:
             for body in batch.column(0):
-                seen.update(find(body.as_py() or ""))
-                if len(seen) > COUNTER_WORDS:
+                body = body.as_py() or ""
+                cut = pieces_of(body) if spaces else None
+                if cut is None:
+                    seen.update(find(body))
+                else:
+                    seen.update(find(cut[0]))
+                    pieces.update(cut[1:])
+                if len(seen) + len(pieces) > COUNTER_WORDS:
                     yield flush()
         yield flush()
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Pieces(dict):
+    """Ids (as bytes) of pieces behind a space, filled as they come and emptied when there are too many."""
+
+    def __init__(self, encode_text):
+        super().__init__()
+        self.encode_text = encode_text
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[piece] = found = self.encode_text(" " + piece)
+        return found
+
+
 def dictionary(words: DataFrame, ranks: Mapping[bytes, int], most: int = DICTIONARY_WORDS) -> DataFrame:
     """``(word, ids)`` of the most frequent words, ``most`` at the utmost: the cut is at a frequency, so nothing is sorted."""
     counted = words.filter(F.octet_length("word") <= FOLD_BYTES).withColumn(
@@ -159,12 +200,14 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
     frequent ones become a dictionary by a fold of Spark's higher-order functions over their byte arrays with a literal rank
     map. The dictionary has at most ``most`` words of ``FOLD_BYTES`` bytes each, so its broadcast has a proven bound at any size
     of the corpus. A task encodes each rarer or longer word itself with the same ranks.
+    Under ``SPACE_PATTERN`` texts are cut at spaces first and pieces seen before are looked up whole.
 
     A null or empty text gives an empty array. Rows are kept as they are, repeated or not; an empty
     table gives an empty table. A column already called ``output`` is replaced.
     """
     spark = docs.sparkSession
-    known = store(dictionary(store(count_words(docs, text, pattern)), ranks, most))
+    spaces = pattern == SPACE_PATTERN
+    known = store(dictionary(store(count_words(docs, text, pattern, spaces)), ranks, most))
     table = {row.word: row.ids for row in known.toLocalIterator()}
     shared = spark.sparkContext.broadcast((
         {word: np.array(ids, np.int32).tobytes() for word, ids in table.items()}, dict(ranks)))
@@ -173,12 +216,16 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
         words, own = shared.value
         find = regex.compile(pattern).findall
 
-        @lru_cache(CACHE_WORDS)
-        def rest(word: str) -> bytes:
-            return np.array(merge_word(word.encode(), own), np.int32).tobytes()
+        def match_by_match(body: str) -> bytes:
+            return b"".join([words[w] if w in words else np.array(merge_word(w.encode(), own), np.int32).tobytes()
+                             for w in find(body)])
+        known_pieces = Pieces(match_by_match)
 
         def ids(body: str | None) -> bytes:
-            return b"".join([words[w] if w in words else rest(w) for w in find(body or "")])
+            cut = pieces_of(body or "") if spaces else None
+            if cut is None:
+                return match_by_match(body or "")
+            return match_by_match(cut[0]) + b"".join([known_pieces[piece] for piece in cut[1:]])
         at = None
         for batch in batches:
             at = batch.schema.get_field_index(inner) if at is None else at
