@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "secrets", "toxicity"]
+MODULES = ["bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "passages", "secrets", "toxicity"]
 
 
 def _load():
