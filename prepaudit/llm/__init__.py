@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "passages", "secrets", "toxicity"]
+MODULES = [
+    "bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "lm", "passages", "secrets", "toxicity",
+]
 
 
 def _load():
