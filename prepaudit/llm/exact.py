@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepaudit.llm.shared import read, register, store, text_of
+from prepaudit.llm.shared import broadcast_if_small, read, register, store, text_of
 
 RUNS_LOG2 = 9
 FAN_LOG2 = 3
@@ -54,12 +54,24 @@ def exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text stays: of equal texts the largest id; of rows repeating it, one."""
-    stay = exact_copies(docs.select(key, text), key, text).filter("kept").select(
-        F.col(key).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    body = F.sha2(text_of(text).cast("binary"), 256)
-    found = docs.join(stay, docs[key].eqNullSafe(stay["__id"]) & (body == stay["__digest"]), "left_semi")
-    return found.dropDuplicates([key])
+    """The rows of ``docs`` whose text stays: of equal texts the largest id; of rows that repeat id and text, one.
+
+    What goes, by id and digest, is joined back, so texts move only if the list of copies is too long to broadcast.
+    """
+    found = store(exact_copies(docs.select(key, text), key, text).select(F.col(key).alias("__id"), "text_sha256", "kept"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return broadcast_if_small(store(rows.select("__id", F.col("text_sha256").alias("__digest")).distinct()))
+
+    def join(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        body = F.sha2(text_of(text).cast("binary"), 256)
+        return df.join(rows, df[key].eqNullSafe(rows["__id"]) & (body == rows["__digest"]), how)
+    stay = join(docs, listed(found.filter(~F.col("kept"))), "left_anti")
+    twice = found.filter("kept").groupBy("__id", "text_sha256").count().filter("count > 1")
+    if twice.isEmpty():
+        return stay
+    repeated = listed(twice)
+    return join(stay, repeated, "left_anti").unionByName(join(stay, repeated, "left_semi").dropDuplicates([key]))
 
 
 EXACT_SQL = """
