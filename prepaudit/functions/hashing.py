@@ -26,6 +26,11 @@ def uniform(seed, *keys) -> Column:
     return draw(seed, *keys).cast("double") / F.lit(4294967296.0)
 
 
+def fine_uniform(seed, *keys) -> Column:
+    """A double in [0, 1) with all of its 52 bits drawn."""
+    return F.conv(F.substring(digest(seed, *keys), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(4503599627370496.0)
+
+
 def gaussian(seed, *keys) -> Column:
     """A standard normal draw (Box-Muller over two uniforms in (0, 1])."""
     first = F.lit(1.0) - uniform(f"{seed}/r", *keys)

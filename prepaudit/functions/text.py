@@ -104,8 +104,8 @@ def strip_fences(text: Column, language: str = "python") -> Column:
 
 
 def line_titles(text: Column) -> Column:
-    """Text before the first colon of every line; one line without a colon empties the list."""
-    rows = F.filter(lines(text), lambda line: strip(line) != "")
+    """Text before the first colon of every line of the stripped text; one line without a colon, blank ones included, empties the list."""
+    rows = F.split(strip(text), "\n", -1)
     titles = F.transform(rows, lambda line: strip(F.substring_index(line, ":", 1)))
     broken = F.exists(rows, lambda line: ~F.contains(line, F.lit(":")))
     return F.when(broken, F.array().cast("array<string>")).otherwise(titles)
@@ -116,6 +116,7 @@ def sanitise_label(label: Column) -> Column:
     # fixed values: relation spellings
     for sign, spelling in ((">=", "ge_"), (">", "gt_"), ("<=", "le_"), ("<", "lt_")):
         label = F.replace(label, F.lit(sign), F.lit(spelling))
+    # fixed values: the clean-up patterns
     label = F.regexp_replace(label, r"\s+", "_")
     label = F.regexp_replace(label, r"[^A-Za-z0-9_\-./ ]", "_")
     label = F.regexp_replace(label, "_+", "_")

@@ -22,21 +22,21 @@ from prepaudit.functions.hashing import digest
 from prepaudit.functions.rows import stacked
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-HASH_SLICE_DIGITS = 4
+ROWS_PER_SLICE = 65_536
 ACCURACY = 10_000
 BRACKET = 3 / ACCURACY
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local session gets one of its own."""
+    """Use the folder named in ``spark.checkpoint.dir``; only a session in one process may do without."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="prepaudit-checkpoint-"))
+    elif context.master.startswith("local") and "cluster" not in context.master:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="prepaudit-checkpoint-"))  # one process, one machine
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -195,8 +195,8 @@ def _pick_quantiles(ranked: DataFrame, group: Sequence[str], probabilities: Sequ
     return ranked.groupBy(*group).agg(F.max("__total").alias("n"), *picks).select(*group, "n", *results)
 
 
-def repeat_rows(df: DataFrame, times: str, output: str, run: int = 100_000) -> DataFrame:
-    """Each row ``times`` times, numbered from 1.
+def repeat_rows(df: DataFrame, times: str, output: str, keys: Sequence[str], run: int = 100_000) -> DataFrame:
+    """Each row ``times`` times, numbered from 1; ``keys`` tell rows apart.
 
     A row that repeats very often is cut into runs that are dealt out to tasks
     before they are written out. Pass a settled frame: it is read twice.
@@ -204,7 +204,7 @@ def repeat_rows(df: DataFrame, times: str, output: str, run: int = 100_000) -> D
     one = F.lit(1).cast("bigint")
     few = df.filter(F.col(times).between(1, run)).withColumn(output, F.explode(F.sequence(one, F.col(times))))
     starts = F.explode(F.sequence(one, F.col(times), F.lit(run).cast("bigint")))
-    many = df.filter(F.col(times) > run).withColumn("__start", starts).repartition("__start")
+    many = df.filter(F.col(times) > run).withColumn("__start", starts).repartition(*keys, "__start")
     last = F.least(F.col("__start") + F.lit(run - 1), F.col(times))
     many = many.withColumn(output, F.explode(F.sequence(F.col("__start"), last))).drop("__start")
     return few.unionByName(many)
@@ -218,8 +218,12 @@ def hash_cutoffs(df: DataFrame, key: str, by: Sequence[str], seed, **ranks: Colu
     share a prefix with a wanted rank are ranked, so nothing else moves.
     """
     by = list(by)
-    keyed = df.select(*by, F.col(key).alias("__key"), digest(seed, key).alias("__hash")).withColumn(
-        "__prefix", F.substring("__hash", 1, HASH_SLICE_DIGITS))
+    keyed = df.select(*by, F.col(key).alias("__key"), digest(seed, key).alias("__hash"))
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    digits = 1
+    while largest > ROWS_PER_SLICE * 16 ** digits / 16:  # more digits for larger groups: a slice stays small
+        digits += 1
+    keyed = keyed.withColumn("__prefix", F.substring("__hash", 1, digits))
     sizes = keyed.groupBy(*by, "__prefix").agg(F.count("*").alias("__size"))
     whole = Window.partitionBy(*by)
     upto = whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)

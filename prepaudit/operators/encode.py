@@ -12,8 +12,6 @@ from prepaudit.operators.distributed import attach, quantiles, running_total, sc
 from prepaudit.operators.impute import impute
 from prepaudit.operators.scale import scale
 
-MAX_INDICATORS = 1000
-
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(column, code)``: rank among the sorted distinct values, from 0."""
@@ -35,15 +33,21 @@ def ordinal_encode(df: DataFrame, column: str, codes: DataFrame, output: str, un
     return attach(df, codes, column, "left").withColumn(output, code).drop("code" if output != "code" else "")
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_INDICATORS) -> list:
-    """Sorted distinct values, refused above ``limit``: each becomes a column.
+def categories(df: DataFrame, column: str) -> list:
+    """Sorted distinct values, for encoders that make each of them a column.
+
+    As many as a table has columns. Where categories grow with the rows, ``one_hot_sparse`` keeps them in a table.
+    """
+    return sorted(r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().collect())
+
+
+def one_hot_sparse(df: DataFrame, column: str, codes: DataFrame, output: str) -> DataFrame:
+    """One-hot rows of any width: ``output`` is the place of the row's 1, null (all zeros) for an unknown value or null.
 
-    Past the limit use ``label_codes``, which stays a table.
+    ``codes`` comes from ``label_codes`` of the fitted rows, and its size is the width.
     """
-    rows = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; encode it with label_codes")
-    return sorted(r[0] for r in rows)
+    known = codes.select(column, F.col("code").alias("__place"))
+    return attach(df, known, column, "left").withColumn(output, F.col("__place")).drop("__place")
 
 
 def indicator_name(column: str, value) -> str:
@@ -82,7 +86,8 @@ def uniform_bins(df: DataFrame, column: str, bins: int, output: str, train: Colu
     width = edge["hi"] - edge["lo"]
     at = F.when(width == 0, F.lit(0.0)).otherwise(
         F.floor((F.col(column) - edge["lo"]) / F.when(width != 0, width) * F.lit(float(bins))))
-    return df.withColumn(output, F.greatest(F.lit(0), F.least(F.lit(bins - 1), at.cast("int"))))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(float(bins - 1)), at.cast("double")))
+    return df.withColumn(output, inside.cast("int"))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, output: str, train: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepaudit.functions.rows import stacked
-from prepaudit.operators.distributed import running_total
+from prepaudit.operators.distributed import running_total, settle
 
 
 def _hit(y: str, p: str) -> Column:
@@ -24,13 +24,19 @@ def group_accuracy(df: DataFrame, y: str, p: str, group: str) -> DataFrame:
     return accuracy(df.filter(F.col(group).isNotNull()), y, p, [group])
 
 
-def confusion_matrix(df: DataFrame, y: str, p: str, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Every cell ``(by..., actual, predicted, n)`` of the given classes, empty ones as 0."""
-    cells = [(a, b) for a in classes for b in classes]
-    counted = df.groupBy(*by).agg(
-        *[F.count_if((F.col(y) == F.lit(a)) & (F.col(p) == F.lit(b))).alias(f"__{i}") for i, (a, b) in enumerate(cells)])
-    rows = stacked(*[{"actual": a, "predicted": b, "n": F.col(f"__{i}")} for i, (a, b) in enumerate(cells)])
-    return counted.select(*by, F.inline(rows))
+def confusion_matrix(df: DataFrame, y: str, p: str, classes: Sequence = (), by: Sequence[str] = ()) -> DataFrame:
+    """Every cell ``(by..., actual, predicted, n)``, empty ones as 0, for the given classes and all that occur."""
+    by = list(by)
+    counted = settle(df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(
+        *by, F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count("*").alias("n")))
+    seen = F.array_union(F.collect_set("actual"), F.collect_set("predicted"))
+    if classes:
+        seen = F.array_union(seen, F.array(*[F.lit(c) for c in classes]).cast(counted.select(F.array("actual")).schema[0].dataType))
+    listed = counted.groupBy(*by).agg(seen.alias("__classes"))
+    grid = listed.select(*by, F.explode("__classes").alias("actual"), "__classes").select(
+        *by, "actual", F.explode("__classes").alias("predicted"))
+    cells = grid.join(counted, [*by, "actual", "predicted"], "left")
+    return cells.select(*by, "actual", "predicted", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -88,7 +94,7 @@ def roc_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFr
     ordered = running_total(counted, by, ["score"], negatives="neg")
     below = F.col("negatives") - F.col("neg") + F.col("neg") / F.lit(2.0)
     return ordered.groupBy(*by).agg(
-        (F.sum(F.col("pos") * below) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)).cast("double")).alias("auc"),
+        (F.sum(F.col("pos") * below) / F.nullif(F.sum("pos").cast("double") * F.sum("neg").cast("double"), F.lit(0.0))).alias("auc"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 

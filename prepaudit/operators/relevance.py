@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from prepaudit.functions.hashing import digest
 from prepaudit.functions.rows import stacked
 from prepaudit.operators.clean import first_rows
-
-ROWS_PER_BLOCK = 100_000
+from prepaudit.operators.distributed import settle
 
 
 def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """``(feature, f_score)`` from two passes: class means, then the spread around them."""
-    cells = stacked(*[{"feature": c, "value": F.col(c).cast("double")} for c in features])
-    long = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.inline(cells))
-    long = long.filter(F.col("value").isNotNull())
-    groups = long.groupBy("feature", "label").agg(
-        F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    """``(feature, f_score)`` from one aggregation: count, mean and spread of every feature per class."""
+    wide = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(*[x for i, c in enumerate(features) for x in (
+        F.count(F.col(c).cast("double")).cast("double").alias(f"n{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"),
+        F.var_pop(F.col(c).cast("double")).alias(f"v{i}"))])
+    groups = wide.select("label", F.inline(stacked(*[
+        {"feature": c, "n": F.col(f"n{i}"), "mean": F.col(f"m{i}"), "var": F.col(f"v{i}")} for i, c in enumerate(features)])))
+    groups = groups.filter(F.col("n") > 0)
     grand = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy("feature")) / F.sum("n").over(
         Window.partitionBy("feature"))
     shift = F.col("mean") - F.col("grand")
@@ -43,6 +43,12 @@ def select_k_best(df: DataFrame, features: Sequence[str], label: str, k: int = 1
     return top_features(anova_f(df if train is None else df.filter(train), features, label), "f_score", k)
 
 
+def keep_selected(df: DataFrame, features: Sequence[str], chosen: DataFrame) -> DataFrame:
+    """``df`` without the features that a selection fitted elsewhere left out; it has at most a row per feature."""
+    stay = {r["feature"] for r in chosen.select("feature").collect()}
+    return df.drop(*[c for c in features if c not in stay])
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """``(a, b, corr)`` for the given pairs in one pass."""
     found = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
@@ -63,25 +69,28 @@ def proxies(df: DataFrame, protected: Sequence[str], others: Sequence[str], thre
 
 
 def permutation_importance(df: DataFrame, key: str, label: str, features: Sequence[str],
-                           predict: Callable[[Mapping[str, Column]], Column], repeats: int = 10, seed=42,
-                           blocks: int | None = None) -> DataFrame:
+                           predict: Callable[[Mapping[str, Column]], Column], repeats: int = 10, seed=42) -> DataFrame:
     """``(feature, importance)``: mean loss of accuracy when one feature is permuted.
 
-    Rows fall into random blocks by digest; inside a block each row takes the
-    feature of the next row in digest order. All features and repeats share one shuffle.
+    In each repeat the rows form one ring in digest order, and each row takes the feature of the next one. The rows are cut
+    into sorted slices; the last row of a slice takes the first values of the next slice, of which there are as many
+    as slices. All features and repeats share one shuffle.
     """
-    if blocks is None:
-        blocks = max(1, -(-df.count() // ROWS_PER_BLOCK))
-    block = F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") % F.lit(blocks)
-    runs = (
+    runs = settle(
         df.select(key, label, *features, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("__run"))
         .withColumn("__h", digest(seed, key, "__run"))
-        .withColumn("__block", block)
-    )
-    ring = Window.partitionBy("__run", "__block").orderBy("__h", key)
-    start = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        .repartitionByRange("__run", "__h", key)
+        .withColumn("__slice", F.spark_partition_id()))
     values = F.struct(*[F.col(c) for c in features])
-    runs = runs.withColumn("__other", F.coalesce(F.lead(values).over(ring), F.first(values).over(start)))
+    ring = Window.partitionBy("__slice", "__run").orderBy("__h", key)
+    firsts = runs.groupBy("__run", "__slice").agg(F.min_by(values, F.struct("__h", key)).alias("__first"))
+    around = Window.partitionBy("__run").orderBy("__slice")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = firsts.select(F.col("__run").alias("__of"), F.col("__slice").alias("__at"), F.coalesce(
+        F.lead("__first").over(around), F.first("__first").over(whole)).alias("__next"))  # a row per slice and repeat
+    runs = runs.withColumn("__inside", F.lead(values).over(ring)).join(
+        F.broadcast(following), (F.col("__run") == F.col("__of")) & (F.col("__slice") == F.col("__at")))
+    runs = runs.withColumn("__other", F.coalesce("__inside", "__next"))
     own = {c: F.col(c) for c in features}
 
     def right(given):

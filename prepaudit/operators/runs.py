@@ -49,14 +49,14 @@ def run_differences(runs: DataFrame, case: str = "case", role: str = "role", lef
 def report_cells(reports: DataFrame, key: str, text: str = "report") -> DataFrame:
     """``(key, metric, value)`` for every numeric cell of a printed classification report.
 
-    Columns are taken by position: the label is everything before the trailing
-    numbers, which belong to the last columns of the header.
+    Columns are taken by position: a line ends with at most as many numbers as the header has columns, which belong to
+    the last of them, and the label is everything before, also when it is a number itself.
     """
     rows = F.filter(lines(F.col(text)), lambda line: strip(line) != "")
     at = F.array_position(F.transform(rows, lambda line: line.rlike(REPORT_HEADER)), True)
     below = F.when(at > 0, F.slice(rows, (at + 1).cast("int"), F.size(rows)))
     parsed = reports.select(key, F.explode(below).alias("line"))
-    tail = r"((?:\s+[0-9]+(?:\.[0-9]+)?)+)\s*$"
+    tail = rf"((?:\s+[0-9]+(?:\.[0-9]+)?){{1,{len(REPORT_METRICS)}}})\s*$"
     label = sanitise_label(strip(F.regexp_replace("line", tail, "")))
     numbers = F.split(strip(F.regexp_extract("line", tail, 1)), r"\s+")
     parsed = parsed.select(key, label.alias("label"), numbers.alias("numbers"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepaudit.functions.hashing import below, draw, gaussian, uniform
+from prepaudit.functions.hashing import below, draw, fine_uniform, gaussian, uniform
 from prepaudit.functions.rows import stacked
 from prepaudit.operators.distributed import attach, hash_cutoffs, hash_place, repeat_rows, running_total, scalars, settle
 from prepaudit.operators.neighbours import nearest
@@ -65,18 +65,19 @@ def add_noise(df: DataFrame, key: str, columns: Sequence[str], sigma: float, see
 def bootstrap(df: DataFrame, key: str, weight: str, by: Sequence[str] = (), seed=42) -> DataFrame:
     """Weighted resample with replacement; every ``by`` group keeps its number of rows.
 
-    ``weight`` is a non-negative integer column. The weights of a group are laid
-    end to end in key order; each row also throws one dart at that line and a row is repeated
+    ``weight`` is a non-negative number, whole or not; it counts to twelve decimal places, in exact sums. The weights of
+    a group are laid end to end in key order; each row also throws one dart at that line and a row is repeated
     once per dart in its interval. Darts and interval ends are counted together
     in one sorted running total, so there is no range join. Adds ``copy``.
     """
     by = list(by)
-    laid = running_total(df.select(*by, key, F.col(weight).cast("bigint").alias("w")), by, [key], upto="w")
+    exact = F.coalesce(F.col(weight).cast("decimal(26,12)"), F.lit(0).cast("decimal(26,12)"))
+    laid = running_total(df.select(*by, key, exact.alias("w")), by, [key], upto="w")
     line = laid.groupBy(*by).agg(F.max("upto").alias("length"))
     thrown = attach(laid, line, by) if by else laid.withColumn("length", scalars(line)["length"])
-    at = F.floor(uniform(seed, key) * F.col("length")).cast("bigint")
-    point = stacked({"kind": 1, "at": at, "dart": 1}, {"kind": 0, "at": F.col("upto") - F.col("w"), "dart": 0},
-                    {"kind": 2, "at": F.col("upto"), "dart": 0})
+    at = fine_uniform(seed, key) * F.col("length").cast("double")
+    low, high = (F.col("upto") - F.col("w")).cast("double"), F.col("upto").cast("double")
+    point = stacked({"kind": 1, "at": at, "dart": 1}, {"kind": 0, "at": low, "dart": 0}, {"kind": 2, "at": high, "dart": 0})
     points = thrown.select(*by, key, F.inline(point)).withColumn(
         "__after", F.when(F.col("kind") == 1, 1).otherwise(0))
     counted = running_total(points, by, ["at", "__after", "kind", key], darts="dart")
@@ -84,7 +85,7 @@ def bootstrap(df: DataFrame, key: str, weight: str, by: Sequence[str] = (), seed
         (F.max(F.when(F.col("kind") == 2, F.col("darts"))) - F.max(F.when(F.col("kind") == 0, F.col("darts"))))
         .alias("hits"))
     hits = settle(hits.filter(F.col("hits") > 0).select(F.col(key).alias("__key"), "hits"))
-    return repeat_rows(df.join(hits, df[key] == hits["__key"]).drop("__key"), "hits", "copy").drop("hits")
+    return repeat_rows(df.join(hits, df[key] == hits["__key"]).drop("__key"), "hits", "copy", [key]).drop("hits")
 
 
 def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed=42) -> DataFrame:
@@ -107,7 +108,7 @@ def smote(df: DataFrame, key: str, vector: str, label: str, k: int = 5, seed=42)
     one_more = F.coalesce((hash_place(key, seed) <= F.col("__cut")).cast("int"), F.lit(0))
     quota = F.floor(fit["need"] / fit["have"]) + one_more
     numbered = attach(minority, cuts, label, "left").withColumn("__quota", quota).drop("__cut")
-    copies = repeat_rows(settle(numbered.select(key, vector, label, "__quota")), "__quota", "copy").drop("__quota")
+    copies = repeat_rows(settle(numbered.select(key, vector, label, "__quota")), "__quota", "copy", [key]).drop("__quota")
     near = nearest(minority, key, vector, k).groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"])
         .alias("__near"))

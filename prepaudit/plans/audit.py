@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prepaudit.functions.rows import stacked
 from prepaudit.operators import fairness, metrics, profile, relevance, sample, weights
 from prepaudit.operators.distributed import scalars
 from prepaudit.plans.inputs import (FOLDED_SQL, GAPS_SQL, LABELLED_SQL, SCORED_SQL, SEED, digest_sql, folded, gaps,
@@ -295,6 +296,23 @@ def select_kbest(spark, folder):
     return rounded(relevance.select_k_best(split, FEATURES, "l_returnflag", 2, train()))
 
 
+# The features chosen on the train rows, the others taken out of the test rows: long, as columns depend on the choice.
+@query("select_kbest_apply", f"""
+    WITH items AS (SELECT * FROM lineitem WHERE {split_sql('l_orderkey')} = 'train'), {ANOVA_SQL},
+    best AS (SELECT feature FROM f ORDER BY f_score DESC, feature LIMIT 2),
+    cells AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS value FROM lineitem WHERE {split_sql('l_orderkey')} = 'test'" for c in FEATURES)})
+    SELECT feature, count(*) AS n, round(sum(value), 4) AS total FROM cells JOIN best USING (feature) GROUP BY feature""")
+def select_kbest_apply(spark, folder):
+    items = table(spark, folder, "lineitem", "l_orderkey", "l_returnflag", *FEATURES)
+    split = sample.hash_split(items, "l_orderkey", seed=SEED)
+    chosen = relevance.select_k_best(split, FEATURES, "l_returnflag", 2, train())
+    reduced = relevance.keep_selected(split.filter(~train()), FEATURES, chosen)
+    kept = [c for c in reduced.columns if c in FEATURES]
+    sums = reduced.agg(*[x for c in kept for x in (F.count(c).alias(f"n_{c}"), F.sum(F.col(c).cast("double")).alias(f"t_{c}"))])
+    rows = stacked(*[{"feature": c, "n": F.col(f"n_{c}"), "total": F.round(f"t_{c}", 4)} for c in kept])
+    return sums.select(F.inline(rows))
+
+
 @query("feature_topk", f"""
     WITH items AS (SELECT * FROM lineitem), {ANOVA_SQL}
     SELECT feature, round(f_score, 6) AS f_score FROM f ORDER BY f_score DESC, feature LIMIT 3""")

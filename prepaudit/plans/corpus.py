@@ -330,13 +330,13 @@ def extract_block(spark, folder):
                                                  text.strip_fences(reply).alias("bare"))
 
 
-PROBLEMS = """concat_ws(chr(10), concat('Scaling ', o_orderstatus, ': use a: fitted scaler'), '',
-    CASE WHEN o_orderpriority = '5-LOW' THEN 'a line without the mark' ELSE concat('  Imputation : ', o_custkey) END)"""
+PROBLEMS = """concat(concat_ws(chr(10), concat('Scaling ', o_orderstatus, ': use a: fitted scaler'),
+    CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Split: by time' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'a line without the mark' ELSE concat('  Imputation : ', o_custkey) END), chr(10), ' ', chr(10))"""
 
 
 @query("line_titles", f"""
     WITH p AS (SELECT o_orderkey, {PROBLEMS} AS t FROM orders),
-    l AS (SELECT o_orderkey, list_filter({lines_sql('t')}, lambda x: {strip_sql('x')} <> '') AS rows FROM p)
+    l AS (SELECT o_orderkey, string_split({strip_sql('t')}, chr(10)) AS rows FROM p)
     SELECT o_orderkey, CASE WHEN len(list_filter(rows, lambda x: NOT contains(x, ':'))) > 0 THEN ''
         ELSE array_to_string(list_transform(rows, lambda x: {strip_sql("split_part(x, ':', 1)")}), ',') END AS titles
     FROM l""")

@@ -36,6 +36,10 @@ def uniform_sql(key: str, seed=SEED) -> str:
     return f"(('0x' || substr({digest_sql(key, seed)}, 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def fine_uniform_sql(key: str, seed=SEED) -> str:
+    return f"(('0x' || substr({digest_sql(key, seed)}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def gaussian_sql(key: str, seed=SEED) -> str:
     return (f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform_sql(key, f'{seed}/r')}))"
             f" * cos(6.283185307179586::DOUBLE * {uniform_sql(key, f'{seed}/a')}))")

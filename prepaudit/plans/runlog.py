@@ -62,7 +62,11 @@ def run_diff(spark, folder):
     SELECT lang, metric, round(value, 4) AS value FROM long WHERE value IS NOT NULL""")
 def parse_report_text(spark, folder):
     """Prints a report per language as text and reads the text back."""
-    words = {f"{c}_text": F.when(F.col(c) == 1, ">=good").otherwise("<bad, not good") for c in ("quality", "pred")}
+    return _printed_and_read(spark, folder, ">=good", "<bad, not good")
+
+
+def _printed_and_read(spark, folder, good, bad):
+    words = {f"{c}_text": F.when(F.col(c) == 1, good).otherwise(bad) for c in ("quality", "pred")}
     report = metrics.classification_report(scored(spark, folder).withColumns(words), "quality_text", "pred_text", ["lang"])
 
     def cell(column, shape="%.4f"):
@@ -78,6 +82,20 @@ def parse_report_text(spark, folder):
     return runs.report_cells(printed.select("lang", F.concat(header, body).alias("report")), "lang")
 
 
+# The same with classes that are numbers themselves.
+@query("parse_report_classes", f"""
+    WITH {SCORED_SQL}, judged AS (SELECT lang, quality::VARCHAR AS y, pred::VARCHAR AS p FROM scored),
+    {_report_sql('judged', 'lang')},
+    named AS (SELECT *, replace(label, ' ', '_') AS name FROM report),
+    long AS (SELECT lang, concat(name, '_precision') AS metric, precision AS value FROM named UNION ALL
+              SELECT lang, concat(name, '_recall'), recall FROM named UNION ALL
+              SELECT lang, concat(name, '_f1-score'), f1_score FROM named UNION ALL
+              SELECT lang, concat(name, '_support'), actual FROM named)
+    SELECT lang, metric, round(value, 4) AS value FROM long WHERE value IS NOT NULL""")
+def parse_report_classes(spark, folder):
+    return _printed_and_read(spark, folder, "1", "0")
+
+
 LABEL = "concat('>=', o_orderstatus, ' <', o_orderpriority, '!! (>', chr(9), o_orderstatus, ')_')"
 
 

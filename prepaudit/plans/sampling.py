@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepaudit.operators import sample
+from prepaudit.operators import sample, weights
 from prepaudit.operators.neighbours import nearest
-from prepaudit.plans.inputs import (LABELLED_SQL, SEED, digest_sql, gaussian_sql, labelled, rounded, split_sql, table,
+from prepaudit.plans.inputs import (LABELLED_SQL, SEED, digest_sql, fine_uniform_sql, gaussian_sql, labelled, rounded, split_sql, table,
                                     uniform_sql)
 from prepaudit.plans.registry import query
 
@@ -56,7 +56,7 @@ def undersample(spark, folder):
     WITH {LABELLED_SQL}, laid AS (
         SELECT doc_id, quality, sum(n_chars) OVER (PARTITION BY quality ORDER BY doc_id)::BIGINT AS upto, n_chars AS w,
                sum(n_chars) OVER (PARTITION BY quality)::BIGINT AS length FROM labelled),
-    darts AS (SELECT quality, floor({uniform_sql('doc_id')} * length)::BIGINT AS at FROM laid)
+    darts AS (SELECT quality, {fine_uniform_sql('doc_id')} * length::DOUBLE AS at FROM laid)
     SELECT doc_id, l.quality, row_number() OVER (PARTITION BY doc_id) AS copy
     FROM laid l JOIN darts d ON l.quality = d.quality AND d.at >= l.upto - l.w AND d.at < l.upto""")
 def bootstrap_weighted(spark, folder):
@@ -64,6 +64,23 @@ def bootstrap_weighted(spark, folder):
     return rows.select("doc_id", "quality", "copy")
 
 
+# The train rows drawn again with importance weights, which are seldom whole numbers.
+@query("bootstrap_importance", f"""
+    WITH {LABELLED_SQL}, s AS (SELECT *, {split_sql('doc_id')} AS split FROM labelled),
+    f AS (SELECT lang, count(*)::DOUBLE / (SELECT count(*) FROM s) AS a,
+                 count(*) FILTER (split = 'train')::DOUBLE / (SELECT count(*) FROM s WHERE split = 'train') AS t
+          FROM s GROUP BY lang),
+    w AS (SELECT doc_id, lang, (a / t)::DECIMAL(26, 12) AS w FROM s JOIN f USING (lang) WHERE split = 'train'),
+    laid AS (SELECT doc_id, lang, w, sum(w) OVER (ORDER BY doc_id) AS upto, sum(w) OVER () AS length FROM w),
+    darts AS (SELECT {fine_uniform_sql('doc_id')} * length::DOUBLE AS at FROM laid)
+    SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id) AS copy
+    FROM laid l JOIN darts d ON d.at >= (l.upto - l.w)::DOUBLE AND d.at < l.upto::DOUBLE""")
+def bootstrap_importance(spark, folder):
+    rows = sample.hash_split(labelled(spark, folder), "doc_id", seed=SEED)
+    weighed = weights.importance_weights(rows, "lang", F.col("split") == "train")
+    return sample.bootstrap(weighed, "doc_id", "weight", seed=SEED).select("doc_id", "lang", "copy")
+
+
 @query("noise_inject", f"""
     SELECT c_custkey, round(c_acctbal + 15.0::DOUBLE * {gaussian_sql('c_custkey', f'{SEED}/c_acctbal')}, 6) AS c_acctbal
     FROM customer""")

@@ -242,6 +242,17 @@ def label_encode(spark, folder):
     return encode.label_encode(parts, "p_brand", encode.label_codes(parts, "p_brand"), "code")
 
 
+@query("one_hot_sparse", """
+    WITH codes AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS code
+                   FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus <> 'P'))
+    SELECT o_orderkey, code AS place FROM orders LEFT JOIN codes USING (o_custkey)""")
+def one_hot_sparse(spark, folder):
+    """As many columns as customers, written out as (row, place of the 1)."""
+    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    codes = encode.label_codes(orders.filter(F.col("o_orderstatus") != "P"), "o_custkey")
+    return encode.one_hot_sparse(orders, "o_custkey", codes, "place").select("o_orderkey", "place")
+
+
 @query("ordinal_encode", """
     WITH codes AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code
                    FROM (SELECT DISTINCT p_name FROM part WHERE p_size <= 3))

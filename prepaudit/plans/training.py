@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepaudit.operators import metrics, relevance, sample, train
-from prepaudit.plans.inputs import SEED, labelled, rounded, scored, table, wide_table
+from prepaudit.plans.inputs import SEED, fine_uniform_sql, labelled, rounded, scored, table, wide_table
 from prepaudit.plans.registry import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -26,7 +26,7 @@ def _train():
 def train_logreg(spark, folder):
     items = _items(spark, folder)
     rows = items.filter(_train()).count()
-    stages = [*train.preprocessing(NUMBERS, fill=None), train.logistic_regression(rows, "y", max_iter=20)]
+    stages = [*train.preprocessing(NUMBERS, fill=None), train.logistic_regression(rows, "y")]
     predicted = train.fit_predict(stages, items, _train()).filter(~_train())
     judged = predicted.select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
     return rounded(metrics.classification_report(judged, "y", "p"))
@@ -35,7 +35,7 @@ def train_logreg(spark, folder):
 @query("train_forest")
 def train_forest(spark, folder):
     items = _items(spark, folder)
-    stages = [train.assembler(NUMBERS), train.forest("y", trees=10, depth=8)]
+    stages = [train.assembler(NUMBERS), train.forest("y")]
     predicted = train.fit_predict(stages, items, _train()).filter(~_train())
     judged = predicted.select("l_linestatus", "y", F.col("prediction").alias("p"))
     return rounded(metrics.group_accuracy(judged, "y", "p", "l_linestatus"))
@@ -44,7 +44,7 @@ def train_forest(spark, folder):
 @query("train_forest_reg")
 def train_forest_reg(spark, folder):
     features = ["l_quantity", "l_discount", "l_tax"]
-    stages = [train.assembler(features), train.forest("l_extendedprice", trees=10, depth=6, regression=True)]
+    stages = [train.assembler(features), train.forest("l_extendedprice", regression=True)]
     predicted = train.fit_predict(stages, _items(spark, folder), _train()).filter(~_train())
     return rounded(metrics.regression_metrics(predicted, "l_extendedprice", "prediction"))
 
@@ -62,28 +62,38 @@ def train_stages(spark, folder):
 
 @query("grid_search")
 def grid_search(spark, folder):
-    folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 3, SEED)
+    folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 5, SEED)
     rows = folds.withColumn("y", F.col("quality").cast("double")).select("fold", "y", "n_chars", "lang").persist()
-    model = train.logistic_regression(rows.count(), "y", max_iter=20)
+    model = train.logistic_regression(rows.count(), "y")
     found = train.grid_search(rows, [*train.preprocessing(["n_chars"], ["lang"]), model],
-                              {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0]}, "y", "fold", 3)
+                              {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]}, "y", "fold", 5)
     rows.unpersist()
     return rounded(found)
 
 
 @query("cv_refit")
 def cv_refit(spark, folder):
-    folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 3, SEED)
+    folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 5, SEED)
     rows = folds.withColumn("y", F.col("quality").cast("double")).select("fold", "y", "n_chars", "lang").persist()
-    model = train.logistic_regression(rows.count(), "y", max_iter=20)
-    scores = train.cross_validate(rows, [*train.preprocessing(["n_chars"], ["lang"]), model], "y", "fold", 3)
+    model = train.logistic_regression(rows.count(), "y")
+    scores = train.cross_validate(rows, [*train.preprocessing(["n_chars"], ["lang"]), model], "y", "fold", 5)
     rows.unpersist()
     return rounded(metrics.cv_summary(scores, "score"))
 
 
+@query("cv_resampled")
+def cv_resampled(spark, folder):
+    """Undersampling, choice of features and forest, all fitted anew on the train rows of each fold."""
+    rows = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 5, SEED).withColumn(
+        "y", F.col("quality").cast("double")).withColumns({"half": F.col("n_chars") % 2, "rest": F.col("n_chars") % 7})
+    stages = [train.resampled(lambda known: sample.undersample(known, "doc_id", "quality", SEED)),
+              train.selected(["n_chars", "toxic", "half", "rest"], "y", 2), train.forest("y")]
+    return rounded(metrics.cv_summary(train.cross_validate(rows, stages, "y", "fold"), "score"))
+
+
 @query("select_from_model")
 def select_from_model(spark, folder):
-    return rounded(train.select_from_model(_items(spark, folder).filter(_train()), NUMBERS, "y", trees=10, depth=6))
+    return rounded(train.select_from_model(_items(spark, folder).filter(_train()), NUMBERS, "y"))
 
 
 @query("fair_train")
@@ -93,9 +103,14 @@ def fair_train(spark, folder):
     return rounded(train.fair_training(rows, stages, "y", "lang", _train()))
 
 
-@query("dp_counts")
+# A seed, as the result is compared; the library draws without one.
+@query("dp_counts", f"""
+    WITH c AS (SELECT lang, source, count(*)::DOUBLE AS n, {fine_uniform_sql("lang, source")} - 0.5::DOUBLE AS u
+               FROM documents GROUP BY lang, source)
+    SELECT lang, source, round(n - sign(u) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs(u)), 6) AS noisy_count FROM c""")
 def dp_counts(spark, folder):
-    return train.private_counts(table(spark, folder, "documents", "lang", "source"), ["lang", "source"], epsilon=1.0)
+    counted = table(spark, folder, "documents", "lang", "source")
+    return rounded(train.private_counts(counted, ["lang", "source"], epsilon=1.0, seed=SEED))
 
 
 @query("permutation_importance_model")
@@ -103,7 +118,7 @@ def permutation_importance_model(spark, folder):
     """Permutation importance of a fitted logistic regression, scored as a column expression."""
     items = _items(spark, folder).withColumn("key", F.concat_ws("/", "l_orderkey", "l_returnflag", *NUMBERS))
     known = items.filter(_train())
-    stages = [train.assembler(NUMBERS), train.logistic_regression(known.count(), "y", max_iter=20)]
+    stages = [train.assembler(NUMBERS), train.logistic_regression(known.count(), "y")]
     model = train.fit(stages, known).stages[-1]
 
     def predict(given):
@@ -111,4 +126,4 @@ def permutation_importance_model(spark, folder):
         for name, weight in zip(NUMBERS, model.coefficients):
             margin = margin + F.lit(float(weight)) * given[name]
         return (margin > 0).cast("double")
-    return rounded(relevance.permutation_importance(items.filter(~_train()), "key", "y", NUMBERS, predict, 3, SEED))
+    return rounded(relevance.permutation_importance(items.filter(~_train()), "key", "y", NUMBERS, predict, 10, SEED))

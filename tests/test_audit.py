@@ -177,12 +177,15 @@ def test_proxies_are_found_and_dropped(spark):
     assert relevance.drop_proxies(df, ["sex"], found).columns == ["id", "age"]
 
 
-@pytest.mark.parametrize("blocks", [1, 7])
-def test_permutation_importance_only_for_used_features(people, blocks):
+@pytest.mark.parametrize("slices", [1, 7])
+def test_permutation_importance_only_for_used_features(spark, people, slices):
     df, _ = people
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
     df = df.withColumn("t", (F.col("x") > 0.5).cast("int"))
     got = {r["feature"]: r["importance"] for r in relevance.permutation_importance(
-        df, "id", "t", ["x", "w"], lambda c: (c["x"] > 0.5).cast("int"), 3, blocks=blocks).collect()}
+        df, "id", "t", ["x", "w"], lambda c: (c["x"] > 0.5).cast("int"), 3).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got["w"] == 0.0 and 0.3 < got["x"] < 0.7
 
 

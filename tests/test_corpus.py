@@ -129,7 +129,9 @@ def test_templates_blocks_and_titles(spark):
     assert filled == "do x = 1!" and one(spark, filled, text.token_estimate) == 6
     assert one(spark, "a\n```python\nx\ny\n```\n```python\nz```", text.fenced_block) == "x\ny\n"
     assert one(spark, "no block", text.fenced_block) is None
-    assert one(spark, "A: x\n\n B : y: z", text.line_titles) == ["A", "B"]
+    assert one(spark, "\n A: x\n B : y: z\n", text.line_titles) == ["A", "B"]
+    assert one(spark, "A: x\n\n B : y: z", text.line_titles) == []
+    assert one(spark, " \n", text.line_titles) == []
     assert one(spark, "A: x\nno mark", text.line_titles) == []
     assert one(spark, "salary >=50K, <x>!", text.sanitise_label) == "salary_ge_50K_lt_xgt"
 

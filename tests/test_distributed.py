@@ -99,7 +99,7 @@ def test_hash_cutoffs_find_the_row_at_a_rank(hot):
 
 def test_repeat_rows_cuts_long_runs(spark):
     df = spark.createDataFrame([(1, 0), (2, 3), (3, 25)], "id long, t long")
-    got = d.repeat_rows(df, "t", "copy", run=10).collect()
+    got = d.repeat_rows(df, "t", "copy", keys=["id"], run=10).collect()
     assert sorted((r["id"], r["copy"]) for r in got) == [(2, i) for i in range(1, 4)] + [(3, i) for i in range(1, 26)]
 
 
@@ -126,3 +126,12 @@ def test_nearest_matches_brute_force(spark, block_rows):
 def test_nearest_with_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>")
     assert sorted((r["id"], r["neighbour"]) for r in nearest(df, "id", "v", 5).collect()) == [(1, 2), (2, 1)]
+
+
+def test_copies_of_a_few_heavy_rows_spread(spark):
+    df = spark.range(40).withColumn("t", F.lit(3000).cast("bigint"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = d.repeat_rows(df, "t", "copy", keys=["id"], run=100)
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in sizes) == 120_000 and len(sizes) >= 6 and max(r["count"] for r in sizes) < 40_000
