@@ -1,53 +1,38 @@
 """Comparing two texts per case, as counted pieces instead of per-pair matching.
 
 A frame of pairs has one row per ``case`` with the texts ``left`` and ``right``.
-Pieces (lines or character n-grams) are cut where the text lies and counted per
-case and side in one grouped aggregation, pre-aggregated before its shuffle and
-spread by piece, so the pieces of a very long text are shared out among tasks.
+Pieces (lines or character n-grams) of both are counted inside the row by an Arrow kernel, so no text and no
+piece is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepaudit.functions import code, scoring, text
-from prepaudit.functions.rows import stacked
+from prepaudit.functions import code, multiset, scoring, text
 
 
-def piece_counts(pairs: DataFrame, cuts: Sequence, case: str = "case") -> DataFrame:
-    """``(case, kind, piece, n_left, n_right)``; ``cuts`` are functions from a text to its pieces, numbered as kinds.
-
-    A side without pieces leaves a row with a null piece and no counts, so that
-    no case gets lost and no second look at the texts is needed.
-    """
-    sides = stacked(*[{"kind": kind, "right_side": number, "pieces": cut(F.col(side))}
-                      for kind, cut in enumerate(cuts) for number, side in enumerate(("left", "right"))])
-    exploded = pairs.select(case, F.inline(sides)).select(
-        case, "kind", "right_side", F.explode_outer("pieces").alias("piece"))
-    held = F.col("piece").isNotNull().cast("int")
-    return exploded.groupBy(case, "kind", "piece").agg(
-        F.sum(held * (F.lit(1) - F.col("right_side"))).alias("n_left"),
-        F.sum(held * F.col("right_side")).alias("n_right"))
+def char_pieces(n: int) -> int:
+    """The character n-grams of a text, as a kind of piece."""
+    return n
 
 
-def similarities(pairs: DataFrame, kinds: Mapping, case: str = "case") -> DataFrame:
-    """Multiset Dice coefficient per case and kind: shared pieces twice over all pieces; 1 for two empty texts."""
-    counted = piece_counts(pairs, list(kinds.values()), case)
+def dice(kind, left: Column, right: Column) -> Column:
+    """Multiset Dice coefficient: shared pieces twice over all pieces; 1 for two empty texts.
 
-    def dice(kind, name):
-        def total(column):
-            return F.sum(F.when(F.col("kind") == kind, column))
-        ratio = F.lit(2.0) * total(F.least("n_left", "n_right")) / F.nullif(
-            total(F.col("n_left") + F.col("n_right")), F.lit(0))
-        return F.coalesce(ratio, F.lit(1.0)).alias(name)
-    return counted.groupBy(case).agg(*[dice(kind, name) for kind, name in enumerate(kinds)])
+    A kind is a number of characters, or a function from a text to its pieces.
+    """
+    if isinstance(kind, int):
+        return multiset.dice_of_grams(left, right, kind)
+    return multiset.dice_of_pieces(kind(left), kind(right))
 
 
-def char_pieces(n: int):
-    return lambda column: text.ngrams(column, n)
+def similarities(pairs: DataFrame, kinds: Mapping, case: str = "case") -> DataFrame:
+    """One column per kind, counted inside the row: no shuffle."""
+    return pairs.select(case, *[dice(kind, F.col("left"), F.col("right")).alias(name) for name, kind in kinds.items()])
 
 
 def line_similarity(pairs: DataFrame, case: str = "case") -> DataFrame:
@@ -60,14 +45,10 @@ def char_similarity(pairs: DataFrame, n: int = 1, case: str = "case") -> DataFra
 
 def changed_lines(pairs: DataFrame, case: str = "case") -> DataFrame:
     """Lines added and removed between the sides as multisets, over all lines and over indented ones."""
-    counted = piece_counts(pairs, [text.lines], case)
-    none = F.lit(0).cast("bigint")
-    more = F.greatest(F.col("n_right") - F.col("n_left"), none)
-    less = F.greatest(F.col("n_left") - F.col("n_right"), none)
-    sums = counted.groupBy(case).agg(
-        F.sum(more).alias("added"), F.sum(less).alias("removed"),
-        F.sum(F.when(F.startswith("piece", F.lit(" ")), more + less).otherwise(none)).alias("indented_changed"))
-    return sums.withColumn("changed", F.col("added") + F.col("removed"))
+    found = pairs.select(case, multiset.changes(
+        text.lines(F.col("left")), text.lines(F.col("right")), lambda line: line.startswith(" ")).alias("c"))
+    return found.select(case, "c.added", "c.removed", F.col("c.marked").alias("indented_changed"),
+                        (F.col("c.added") + F.col("c.removed")).alias("changed"))
 
 
 def structure(column: Column) -> Column:
@@ -113,12 +94,12 @@ def issues(pairs: DataFrame, case: str = "case") -> DataFrame:
 def report_general(pairs: DataFrame, runs: DataFrame, ngram: int = 1, case: str = "case") -> DataFrame:
     """One row per case: similarities, size difference, issues and the compared runs."""
     left, right = F.col("left"), F.col("right")
-    base = pairs.select(case, (F.size(text.words(right)) - F.size(text.words(left))).alias("structure_diff"),
+    kinds = {"line_similarity": text.lines, "char_similarity": char_pieces(ngram)}
+    alike = pairs.withColumns({name: dice(kind, left, right) for name, kind in kinds.items()})
+    base = alike.select(case, *kinds, (F.size(text.words(right)) - F.size(text.words(left))).alias("structure_diff"),
                         *[c.alias(name) for side in ("left", "right")
                           for name, c in code.extracted(F.col(side), side).items()])
-    base = base.select(case, "structure_diff", code.issues().alias("__issues"))
-    alike = similarities(pairs, {"line_similarity": text.lines, "char_similarity": char_pieces(ngram)}, case)
-    joined = base.join(alike, case).join(runs, case, "left")
+    joined = base.select(case, *kinds, "structure_diff", code.issues().alias("__issues")).join(runs, case, "left")
     return joined.withColumns({"issue_count": F.size("__issues"), "issues": F.array_join("__issues", "; ")}).drop(
         "__issues")
 
