@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prepaudit.functions.rows import stacked
 from prepaudit.operators.clean import numeric_columns
-from prepaudit.operators.distributed import attach, quantiles, scalars
+from prepaudit.operators.distributed import attach, quantiles, scalars, settle
 
 
 def group_counts(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
@@ -20,8 +20,8 @@ def group_counts(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
 def value_shares(df: DataFrame, column: str, digits: int | None = 2, by: Sequence[str] = ()) -> DataFrame:
     """Share of each value among the non-null ones, halves rounded to even."""
     held = df.filter(F.col(column).isNotNull())
-    counted = held.groupBy(*by, column).agg(F.count("*").alias("n"))
-    totals = held.groupBy(*by).agg(F.count("*").alias("__total"))
+    counted = settle(held.groupBy(*by, column).agg(F.count("*").alias("n")))  # the rows are read once
+    totals = counted.groupBy(*by).agg(F.sum("n").alias("__total"))
     if by:
         counted = attach(counted, totals, by)
     else:
@@ -76,11 +76,12 @@ def share_drift(df: DataFrame, column: str, split: str, before: str, after: str)
     """Share of every value on two sides of a split and the difference; a value missing on one side counts 0."""
     held = df.filter(F.col(column).isNotNull() & F.col(split).isin(before, after))
     sides = [F.count_if(F.col(split) == side).alias(name) for name, side in (("__b", before), ("__a", after))]
-    total = scalars(held.agg(*sides))
+    counted = settle(held.groupBy(column).agg(*sides))  # the rows are read once
+    total = scalars(counted.agg(F.sum("__b").alias("__b"), F.sum("__a").alias("__a")))
 
     def share(c):
         return F.col(c).cast("double") / F.nullif(total[c], F.lit(0))
-    return held.groupBy(column).agg(*sides).select(
+    return counted.select(
         column, share("__b").alias("share_before"), share("__a").alias("share_after")).withColumn(
         "drift", F.col("share_after") - F.col("share_before"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepaudit.functions.text import after_first, first_match, lines, number_after, sanitise_label, strip
@@ -159,9 +159,11 @@ def number_attempts(events: DataFrame, case: str, order: list[str]) -> DataFrame
     return running_total(events, [case], order, attempt=F.lit(1).cast("bigint"))
 
 
-def attempts_to_success(attempts: DataFrame, case: str, success: Column, most: int = 5) -> DataFrame:
-    """First successful attempt per case among the first ``most`` (the retry budget), else null."""
-    within = F.col("attempt") <= F.lit(most)
-    return attempts.groupBy(case).agg(
-        F.min(F.when(success & within, F.col("attempt"))).alias("succeeded_at"),
-        F.least(F.count("*"), F.lit(most)).alias("tried"))
+def attempts_to_success(events: DataFrame, case: str, order: list[str], success: Column, most: int = 5) -> DataFrame:
+    """First successful attempt per case among the first ``most`` (the retry budget), else null, and how many of those there were.
+
+    Spark keeps only the first ``most`` rows of a case in every task before anything moves.
+    """
+    numbered = events.withColumn("__attempt", F.row_number().over(Window.partitionBy(case).orderBy(*order)))
+    return numbered.filter(F.col("__attempt") <= most).groupBy(case).agg(
+        F.min(F.when(success, F.col("__attempt").cast("bigint"))).alias("succeeded_at"), F.count("*").alias("tried"))

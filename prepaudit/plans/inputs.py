@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prepaudit.operators import sample
 from prepaudit.operators.distributed import attach, scalars, settle
-from prepaudit.sources.tables import parquet, spread
+from prepaudit.sources.tables import parquet
 
 SEED = 42
 
@@ -24,8 +24,9 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def wide_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """For work that multiplies rows or parses text: a small file is dealt out to all cores."""
-    return spread(table(spark, folder, name, *columns), f"{folder.rstrip('/')}/{name}.parquet")
+    """For work that multiplies rows or parses text: one small file, whose scan is fewer tasks than cores, is dealt out to them."""
+    df, cores = table(spark, folder, name, *columns), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def digest_sql(key: str, seed=SEED) -> str:

@@ -233,5 +233,4 @@ def run_outcomes(spark, folder):
            least(count(*), 5) AS tried FROM a GROUP BY user_id""")
 def attempts_to_success(spark, folder):
     events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type")
-    attempts = runs.number_attempts(events, "user_id", ["ts", "event_id"])
-    return runs.attempts_to_success(attempts, "user_id", F.col("event_type") == "purchase", 5)
+    return runs.attempts_to_success(events, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", 5)

@@ -11,24 +11,10 @@ from pyspark.sql import types as T
 from prepaudit.operators.clean import placeholders_to_null
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Deal rows out to all cores when their files hold less than one split per core.
-
-    A small file has few row groups and would keep one core busy with work that
-    multiplies rows. A large table is left as its scan cuts it.
-    """
-    size = df.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
         placeholders: Sequence[str] = (), trim_left: bool = False) -> DataFrame:
     """Read a table with a header. State a schema where it is known: inferring one reads the data twice."""

@@ -215,7 +215,8 @@ def test_runs_compare_and_last(spark):
 def test_attempts_are_numbered_and_capped(spark):
     events = spark.createDataFrame([("a", t, t == 3) for t in range(1, 5)] + [("b", t, t == 7) for t in range(1, 9)],
                                    "case string, at long, ok boolean")
-    numbered = runs.number_attempts(events, "case", ["at"])
+    assert {(r["case"], r["at"]) for r in runs.number_attempts(events, "case", ["at"]).filter("attempt = at").collect()} == {
+        ("a", t) for t in range(1, 5)} | {("b", t) for t in range(1, 9)}
     got = {r["case"]: (r["succeeded_at"], r["tried"]) for r in
-           runs.attempts_to_success(numbered, "case", F.col("ok")).collect()}
+           runs.attempts_to_success(events, "case", ["at"], F.col("ok")).collect()}
     assert got == {"a": (3, 4), "b": (None, 5)}

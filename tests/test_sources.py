@@ -60,10 +60,3 @@ def test_run_store_scan_and_append(spark, tmp_path):
     for _ in range(2):
         runstore.append_records(runstore.scan_metrics(spark, store), kept, "run_metrics")
     assert runstore.read_records(spark, kept, "run_metrics").count() == 4
-
-
-def test_small_files_are_dealt_out_to_all_cores(spark, tmp_path):
-    path = str(tmp_path / "t.parquet")
-    spark.range(100).coalesce(1).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert tables.spread(df, path).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
