@@ -23,15 +23,22 @@ from prepaudit.functions.hashing import digest
 from prepaudit.operators.distributed import running_total, settle
 
 DIGITS = 6
-SALTS = 64
 
 
 def _closest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, owner: np.ndarray, k: int):
-    """Per query the k smallest (rounded distance, id) over the ids that each point owns."""
-    squares = (queries**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2.0 * queries @ points.T
-    rough = np.sqrt(np.maximum(squares, 0.0))[:, owner]
+    """Per query the k smallest (rounded distance, id) over the ids that each point owns.
+
+    Expanded squares pick the candidates. Their error grows with the norms, so both sides are moved to the points' mean
+    first, and the error that is left is allowed for.
+    """
+    centre = points.mean(axis=0)
+    a, b = queries - centre, points - centre
+    norms_a, norms_b = (a**2).sum(1), (b**2).sum(1)
+    error = 4.0 * np.finfo(float).eps * (a.shape[1] + 4) * (norms_a + norms_b.max())
+    rough = (norms_a[:, None] + norms_b[None, :] - 2.0 * a @ b.T)[:, owner]
     keep = min(k, rough.shape[1])
-    bound = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + 10.0**-DIGITS
+    farthest = np.maximum(np.partition(rough, keep - 1, axis=1)[:, keep - 1] + error, 0.0)
+    bound = (np.sqrt(farthest) + 10.0**-DIGITS) ** 2 + error
     for row, query in enumerate(queries):
         near = np.flatnonzero(rough[row] <= bound[row])
         exact = np.round(np.sqrt(((points[owner[near]] - query) ** 2).sum(1)), DIGITS)

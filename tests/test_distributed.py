@@ -135,3 +135,14 @@ def test_copies_of_a_few_heavy_rows_spread(spark):
     sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["count"] for r in sizes) == 120_000 and len(sizes) >= 6 and max(r["count"] for r in sizes) < 40_000
+
+
+def test_neighbours_are_exact_far_from_the_origin(spark):
+    rng = np.random.default_rng(11)
+    points = 1e6 + rng.normal(size=(200, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in nearest(df, "id", "v", 3).collect()}
+    for i, p in enumerate(points):
+        distance = np.round(np.sqrt(((points - p) ** 2).sum(1)), 6)
+        distance[i] = np.inf
+        assert [got[i, r] for r in (1, 2, 3)] == np.lexsort((np.arange(200), distance))[:3].tolist()
