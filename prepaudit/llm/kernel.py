@@ -152,9 +152,29 @@ def row_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return row_sets_of(values, row_numbers(bounds), len(bounds) - 1)
 
 
+def ordered(values: np.ndarray, rows: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+    """Order by (row, level, value), rows not negative and levels below 256.
+
+    One sort of packed keys does it, unless two different values agree in the bits that fit.
+    """
+    if not len(values):
+        return np.zeros(0, np.int64)
+    bits = max(1, int(rows.max()).bit_length())
+    packed = rows.astype(np.uint64) << np.uint64(64 - bits)
+    if level is not None:
+        packed |= level.astype(np.uint64) << np.uint64(56 - bits)
+        bits += 8
+    packed |= values >> np.uint64(bits)
+    order = np.argsort(packed)
+    packed, sorted_values = packed[order], values[order]
+    if ((packed[1:] == packed[:-1]) & (sorted_values[1:] != sorted_values[:-1])).any():
+        return np.lexsort((values, rows) if level is None else (values, level, rows))
+    return order
+
+
 def row_sets_of(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for values with their row numbers."""
-    order = np.lexsort((values, rows))
+    order = ordered(values, rows)
     values, rows = values[order], rows[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])

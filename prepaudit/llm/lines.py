@@ -7,17 +7,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prepaudit.llm.jaccard import prefix_size, verified_pairs
-from prepaudit.llm.kernel import binaries, mix, row_numbers, row_sets, slices, word_hashes, word_spans
+from prepaudit.llm.jaccard import BINS_PER_OCTAVE, common_values, digests, first_of, levels, prefix_size, verified_pairs
+from prepaudit.llm.kernel import binaries, ordered, row_numbers, row_sets, slices, word_hashes, word_spans
 from prepaudit.llm.shared import broadcast_if_small, read, register, store
 
 LEAST = Fraction(8, 10)
 LEAST_WORDS = 3
-COMMON_WORDS = 1 << 17
-BINS_PER_OCTAVE = 8
+COMMON_WORDS = 1 << 19
+HOT_LINES = 32
 SKETCH_BITS = 128
 
 
@@ -46,108 +46,109 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_words(docs: DataFrame, text: str, most: int = COMMON_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and line counts of the words found in most lines, ``most`` at the utmost."""
-    counted = store(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "word bigint, n bigint")
-                    .groupBy("word").agg(F.sum("n").alias("n"))
-                    .withColumn("bin", F.floor(F.log2("n") * BINS_PER_OCTAVE).cast("int")))
-    total, cut = 0, None
-    for row in sorted(counted.groupBy("bin").count().collect(), reverse=True):  # some hundred bins
-        total += row["count"]
-        if total > most or row["bin"] == 0:
-            break
-        cut = row["bin"]
-    if cut is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = counted.filter(F.col("bin") >= cut).select("word", "n").collect()  # bounded by ``most``
-    words = np.array([r.word for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], np.array([r.n for r in rows], np.int64)[order]
+    """Hashes and line counts of the words found in most lines, ``most`` at the utmost."""
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "word bigint, n bigint")
+    return common_values(store(counted.groupBy("word").agg(F.sum("n").alias("n"))), "word", most)
 
 
 def describe(docs: DataFrame, key: str, text: str, least: Fraction, least_words: int, most: int = COMMON_WORDS) -> DataFrame:
     """One row per line of at least ``least_words`` distinct words: size, digest, bit sketch, and the rarest words."""
     shared = docs.sparkSession.sparkContext.broadcast(common_words(docs, text, most))
+    hot_level = int(np.log2(HOT_LINES) * BINS_PER_OCTAVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
             for first, rows, number, values, bounds in line_sets(batch.column(1)):
                 n = np.diff(bounds)
-                padded = np.append(values, np.uint64(0))
                 some = np.flatnonzero(n >= least_words)
                 line = row_numbers(bounds)
-                digests = []
-                for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                    sums = np.zeros(len(n), np.uint64)
-                    full = n > 0
-                    if full.any():
-                        sums[full] = np.add.reduceat(mix(padded[:-1] * np.uint64(factor)), bounds[:-1][full])
-                    digests.append(sums.view(np.int64)[some])
+                halves = [d[some] for d in digests(values, bounds)]
                 bit = (values >> np.uint64(57)).astype(np.int64)
                 sketch = np.zeros((len(n), SKETCH_BITS), np.uint8)
                 sketch[line, bit] = 1
                 packed = np.packbits(sketch[some], axis=1).view(np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                    seen = np.where(common[at] == values, counts[at], 0)
-                else:
-                    seen = np.zeros(len(values), np.int64)
-                order = np.lexsort((values, seen, line))
-                ranked = values[order]
-                kept = prefix_size(n[some], least)
-                out = np.concatenate([[0], np.cumsum(kept)])
-                take = np.arange(out[-1]) + np.repeat(bounds[:-1][some] - out[:-1], kept)
-                prefix = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(ranked[take].view(np.int64).astype(np.int32)))
+                kept = np.zeros(len(n), np.int64)
+                kept[some] = prefix_size(n[some], least)
+                level = levels(values, common, counts)
+                order = ordered(values, line, level)
+                ranked, out = first_of(values[order], bounds, kept)
+                hot, _ = first_of(level[order] >= hot_level, bounds, kept)
+                hot_before = np.concatenate([[0], np.cumsum(hot)])
+                n_hot = (hot_before[out[1:]] - hot_before[out[:-1]])[some]
+                out = np.append(out[:-1][some], out[-1])
+                prefix = pa.ListArray.from_arrays(pa.array(out.astype(np.int32)), pa.array(ranked.view(np.int64).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(first + rows[some])), pa.array(number[some].astype(np.int32)),
-                     pa.array(n[some].astype(np.int32)), *map(pa.array, digests), pa.array(packed[:, 0]), pa.array(packed[:, 1]), prefix],
-                    ["id", "line", "n", "d1", "d2", "b1", "b2", "prefix"])
+                     pa.array(n[some].astype(np.int32)), *map(pa.array, halves), pa.array(packed[:, 0]), pa.array(packed[:, 1]), prefix,
+                     pa.array(n_hot.astype(np.int32))],
+                    ["id", "line", "n", "d1", "d2", "b1", "b2", "prefix", "hot"])
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(
-        run, f"id {kind}, line int, n int, d1 bigint, d2 bigint, b1 bigint, b2 bigint, prefix array<int>")
+        run, f"id {kind}, line int, n int, d1 bigint, d2 bigint, b1 bigint, b2 bigint, prefix array<int>, hot int")
 
 
-def candidates(distinct: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs ``(a, b)`` of digests that share a prefix word and pass the length, positional and sketch filters.
+def _close(x: str, y: str, least: Fraction) -> Column:
+    """Length, positional and sketch filter of the postings ``x_*`` and ``y_*``.
 
     The sketches differ in no more bits than the sets differ in words, so none of the filters loses a pair.
     """
-    names = ["d1", "n", "at", "b1", "b2"]
-    postings = distinct.select("d1", "n", "b1", "b2", F.posexplode("prefix").alias("at", "word"))
-    x = postings.select("word", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = postings.select("word", *[F.col(c).alias(f"y_{c}") for c in names])
     num, den = least.numerator, least.denominator
-    both = F.col("x_n") + F.col("y_n")
-    left = 1 + F.least(F.col("x_n") - 1 - F.col("x_at"), F.col("y_n") - 1 - F.col("y_at"))
-    apart = sum(F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in ("b1", "b2"))
-    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_d1") < F.col("y_d1")))
-    near = (F.col("x_n") * den >= F.col("y_n") * num) & (left * (den + num) >= both * num)
-    return (x.join(y, (x["word"] == y["word"]) & ordered & near & (apart * (den + num) <= both * (den - num)))
-            .select(F.col("x_d1").alias("a"), F.col("y_d1").alias("b")).distinct())
+    a, b = F.col(f"{x}_n"), F.col(f"{y}_n")
+    left = 1 + F.least(a - 1 - F.col(f"{x}_at"), b - 1 - F.col(f"{y}_at"))
+    apart = sum(F.bit_count(F.col(f"{x}_{c}").bitwiseXOR(F.col(f"{y}_{c}"))) for c in ("b1", "b2"))
+    return ((F.least(a, b) * den >= F.greatest(a, b) * num) & (left * (den + num) >= (a + b) * num)
+            & (apart * (den + num) <= (a + b) * (den - num)))
+
+
+def candidates(x: DataFrame, y: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs ``(a, b)``, a before b, of digests whose postings share a word and pass the filters."""
+    x, y = (p.select("word", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "word"]) for s, p in (("x", x), ("y", y)))
+    met = x.join(y, (x["word"] == y["word"]) & (F.col("x_first") < F.col("y_first")) & _close("x", "y", least))
+    return met.select(F.col("x_d1").alias("a"), F.col("y_d1").alias("b")).distinct()
+
+
+def neighbours(postings: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs ``(a, b)`` of each posting with the one before it and the first one among those of equal word and size."""
+    along = Window.partitionBy("word", "n").orderBy("first")
+    names = ["d1", "n", "at", "b1", "b2"]
+    packed = F.struct(*names)
+    met = postings.withColumns({"before": F.lag(packed).over(along), "leader": F.first(packed).over(along)}).select(
+        F.explode(F.array("before", "leader")).alias("x"), *[F.col(c).alias(f"y_{c}") for c in names])
+    met = met.filter("x IS NOT NULL").select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in names], *[f"y_{c}" for c in names])
+    return met.filter((F.col("x_d1") != F.col("y_d1")) & _close("x", "y", least)).select(
+        F.col("x_d1").alias("a"), F.col("y_d1").alias("b")).distinct()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, _, values, bounds in line_sets(batch.column(0)):
-            n = np.diff(bounds)
-            full = n > 0
-            if full.any():
-                d1 = np.add.reduceat(mix(values * np.uint64(0x9E3779B97F4A7C15)), bounds[:-1][full])
-                kept = np.append(bounds[:-1][full], bounds[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), binaries(values, kept)], ["id", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests(values, bounds)[0]), binaries(values, bounds)], ["id", "words"])
+
+
+def _verified(given: DataFrame, distinct: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs of digests whose whole sets, read again from their first lines' texts, are similar enough."""
+    pairs = store(pairs)
+    ends = store(pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct())
+    sources = store(distinct.join(broadcast_if_small(ends), "d1", "left_semi").select(F.col("first.id").alias("source")).distinct())
+    packed = (given.join(broadcast_if_small(sources), F.col("id") == F.col("source"), "left_semi")
+              .select("text").mapInArrow(_packed, "id bigint, words binary"))
+    packed = store(packed.join(broadcast_if_small(ends), F.col("id") == F.col("d1"), "left_semi").dropDuplicates(["id"]))
+    return store(verified_pairs(pairs, packed, least))
 
 
 def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: Fraction = LEAST,
                 least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(<key>, line, kept_<key>, kept_line)``: each line that goes, and the first line it matches.
+    """``(<key>, line, kept_<key>, kept_line)``: each line that goes, and an earlier line it matches.
 
     Lines are cut at line feeds and numbered from 0. A line is the set of its words (runs of anything but ASCII white
     space, A-Z in lower case); lines below ``least_words`` distinct words are left alone. Two lines match if the Jaccard
-    similarity of their sets is at least ``least``. Of matching lines the one that is first by (id, number) stays: a line goes if any
-    earlier line matches it.
+    similarity of their sets is at least ``least``. A line goes if any line before it, by (id, number), matches it.
 
     Equal sets are one set from the start. The words of a set are ordered by rarity, its first n - ceil(least n) + 1
-    words are joined under positional, length and sketch filters, and the pairs are verified on whole sets.
+    words are joined under positional, length and sketch filters, and the pairs are verified on whole sets. A word that many
+    lines have first brings each line together with its neighbour and the first line only; as one match settles a line, only
+    the lines that stay open then meet all lines with the word.
 
     Null texts have no lines, and lines of rows without an id neither go nor make others go. Rows that repeat id and text are
     the same lines. An empty table gives an empty table; other columns are ignored, whatever their names.
@@ -155,23 +156,24 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     given = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("id").isNotNull())
     rows = store(describe(given, "id", "text", least, least_words))
     same = ["n", "d1", "d2"]
-    distinct = rows.groupBy(*same).agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("size"),
-                                       *[F.first(c).alias(c) for c in ("b1", "b2", "prefix")])
-    distinct = store(distinct)
-    pairs = store(candidates(distinct, least))
-    ends = store(pairs.select(F.col("a").alias("d1")).unionByName(pairs.select(F.col("b").alias("d1"))).distinct())
-    firsts = store(distinct.join(broadcast_if_small(ends), "d1", "left_semi").select("d1", *same[:1], "d2", "first"))
-    sources = store(firsts.select(F.col("first.id").alias("source")).distinct())
-    packed = (given.join(broadcast_if_small(sources), F.col("id") == F.col("source"), "left_semi")
-              .select("text").mapInArrow(_packed, "id bigint, words binary"))
-    packed = store(packed.join(broadcast_if_small(ends), F.col("id") == F.col("d1"), "left_semi").dropDuplicates(["id"]))
-    links = store(verified_pairs(pairs, packed, least))
-    at = firsts.select("d1", F.col("first").alias("place"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earlier = store(both.join(at, F.col("b") == at["d1"]).groupBy("a").agg(F.min("place").alias("match")))
-    moved = distinct.select(*same, "first", "size").join(earlier, F.col("d1") == F.col("a"), "left").select(
-        *same, F.least("first", "match").alias("kept"), "size").filter((F.col("size") > 1) | F.col("match").isNotNull())
-    goes = rows.select("id", "line", *same).join(broadcast_if_small(store(moved.drop("size"))), same)
+    distinct = store(rows.groupBy(*same).agg(
+        F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("size"),
+        *[F.first(c).alias(c) for c in ("b1", "b2", "prefix", "hot")]))
+    postings = distinct.select("d1", "n", "b1", "b2", "first", (F.size("prefix") - F.col("hot")).alias("cold"),
+                               F.posexplode("prefix").alias("at", "word"))
+    cold = postings.filter(F.col("at") < F.col("cold")).drop("cold")
+    hot = postings.filter(F.col("at") >= F.col("cold")).drop("cold")
+    found = _verified(given, distinct, neighbours(hot, least), least)
+    settled = store(found.select(F.col("b").alias("d1")).distinct())
+    open_hot = hot.join(broadcast_if_small(settled), "d1", "left_anti")
+    rest = candidates(cold, cold, least).unionByName(candidates(hot, open_hot, least)).distinct()
+    links = found.unionByName(_verified(given, distinct, rest, least))
+    at = distinct.select(F.col("d1").alias("a"), F.col("first").alias("place"))
+    earlier = store(links.join(at, "a").groupBy(F.col("b").alias("later")).agg(F.min("place").alias("match")))
+    moved = distinct.select(*same, "first", "size").join(
+        broadcast_if_small(earlier), F.col("d1") == F.col("later"), "left").select(
+        *same, F.coalesce("match", "first").alias("kept"), "size", "match").filter((F.col("size") > 1) | F.col("match").isNotNull())
+    goes = rows.select("id", "line", *same).join(broadcast_if_small(store(moved.drop("size", "match"))), same)
     return goes.filter(F.struct("id", "line") != F.col("kept")).select(
         F.col("id").alias(key), "line", F.col("kept.id").alias(f"kept_{key}"), F.col("kept.line").alias("kept_line")).distinct()
 
