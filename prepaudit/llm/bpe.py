@@ -6,8 +6,10 @@ import base64
 import json
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +91,31 @@ def fold_word(word: Column, ranks: Column) -> Column:
 
 
 def merge_word(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
-    """The same for words outside the dictionary; a heap of pairs keeps very long words near-linear."""
+    """The same for words outside the dictionary."""
     if word in ranks:
         return [ranks[word]]
-    from heapq import heapify, heappop, heappush
-
+    if len(word) > FOLD_BYTES:
+        return _merge_long(word, ranks)
+    none = len(ranks)
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i:i + 2], none) for i in range(len(word) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        joined = parts[i] + parts.pop(i + 1)
+        parts[i] = joined
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(joined + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + joined, none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
+    """A heap of pairs keeps very long words near-linear."""
     n = len(word)
     parts: list[bytes | None] = [word[i:i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -165,16 +187,16 @@ def count_words(docs: DataFrame, text: str, pattern: str, spaces: bool = True) -
 
 
 class Pieces(dict):
-    """Ids (as bytes) of pieces behind a space, filled as they come and emptied when there are too many."""
+    """Ids (as bytes) of pieces behind a space; the first ``CACHE_WORDS`` that come are kept."""
 
     def __init__(self, encode_text):
         super().__init__()
         self.encode_text = encode_text
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[piece] = found = self.encode_text(" " + piece)
+        found = self.encode_text(" " + piece)
+        if len(self) < CACHE_WORDS:
+            self[piece] = found
         return found
 
 
@@ -208,16 +230,18 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
     spark = docs.sparkSession
     spaces = pattern == SPACE_PATTERN
     known = store(dictionary(store(count_words(docs, text, pattern, spaces)), ranks, most))
-    table = {row.word: row.ids for row in known.toLocalIterator()}
+    table = known.select("word", "ids").toArrow().combine_chunks()
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+    edges, flat = columns[1].offsets.to_numpy(), columns[1].values.to_numpy().astype(np.int32)
     shared = spark.sparkContext.broadcast((
-        {word: np.array(ids, np.int32).tobytes() for word, ids in table.items()}, dict(ranks)))
+        {word: flat[edges[i]:edges[i + 1]].tobytes() for i, word in enumerate(columns[0].to_pylist())}, dict(ranks)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, own = shared.value
         find = regex.compile(pattern).findall
 
         def match_by_match(body: str) -> bytes:
-            return b"".join([words[w] if w in words else np.array(merge_word(w.encode(), own), np.int32).tobytes()
+            return b"".join([words[w] if w in words else array("i", merge_word(w.encode(), own)).tobytes()
                              for w in find(body)])
         known_pieces = Pieces(match_by_match)
 
