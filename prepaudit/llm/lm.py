@@ -177,10 +177,10 @@ def _counted(training: DataFrame, keys: Callable) -> DataFrame:
 
 def _table(counted: DataFrame, least: float, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """Keys (ascending) and counts of what is met ``least`` times; at most tokens / least rows."""
-    rows = counted.filter(F.col("n") >= least).toPandas()
-    keys = rows["key"].to_numpy(np.int64).view(kind)
+    rows = counted.filter(F.col("n") >= least).select("key", "n", "k").toArrow()
+    keys = rows["key"].to_numpy().view(kind)
     order = np.argsort(keys)
-    return keys[order], rows[["n", "k"]].to_numpy(float)[order]
+    return keys[order], np.stack([rows["n"].to_numpy(), rows["k"].to_numpy()], axis=1).astype(float)[order]
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
@@ -236,10 +236,10 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
                                          ["kind", "s1", "s2", "s3", "n"])
     met = (training.filter(~F.col("kept")).select("text")
            .mapInArrow(cells, "kind bigint, s1 bigint, s2 bigint, s3 bigint, n bigint")
-           .groupBy("kind", "s1", "s2", "s3").agg(F.sum("n").alias("n")).toPandas())  # bounded by the steps, not by the texts
-    p = 10.0 ** (met[["s1", "s2", "s3"]].to_numpy(float).T / STEPS_PER_DECADE)
+           .groupBy("kind", "s1", "s2", "s3").agg(F.sum("n").alias("n")).toArrow())  # bounded by the steps, not by the texts
+    p = 10.0 ** (np.stack([met[s].to_numpy() for s in ("s1", "s2", "s3")]) / STEPS_PER_DECADE)
     p0 = np.full((1, len(met)), 1 / (model.kinds + 1))
-    model.weights = fit_weights(met["kind"].to_numpy(np.int64), np.concatenate([p0, p]), met["n"].to_numpy())
+    model.weights = fit_weights(met["kind"].to_numpy(), np.concatenate([p0, p]), met["n"].to_numpy())
     return model, counts
 
 
