@@ -17,7 +17,7 @@ from prepaudit.llm.shared import broadcast_if_small, read, register, store
 LEAST = Fraction(8, 10)
 LEAST_WORDS = 3
 COMMON_WORDS = 1 << 19
-HOT_LINES = 32
+HOT_LINES = 512
 SKETCH_BITS = 128
 
 
@@ -102,9 +102,10 @@ def _close(x: str, y: str, least: Fraction) -> Column:
 
 
 def candidates(x: DataFrame, y: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs ``(a, b)``, a before b, of digests whose postings share a word and pass the filters."""
+    """Pairs ``(a, b)`` of digests whose postings share a word and pass the filters, a before b if the postings tell."""
     x, y = (p.select("word", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "word"]) for s, p in (("x", x), ("y", y)))
-    met = x.join(y, (x["word"] == y["word"]) & (F.col("x_first") < F.col("y_first")) & _close("x", "y", least))
+    order = "first" if "x_first" in x.columns else "d1"
+    met = x.join(y, (x["word"] == y["word"]) & (F.col(f"x_{order}") < F.col(f"y_{order}")) & _close("x", "y", least))
     return met.select(F.col("x_d1").alias("a"), F.col("y_d1").alias("b")).distinct()
 
 
@@ -161,15 +162,18 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         *[F.first(c).alias(c) for c in ("b1", "b2", "prefix", "hot")]))
     postings = distinct.select("d1", "n", "b1", "b2", "first", (F.size("prefix") - F.col("hot")).alias("cold"),
                                F.posexplode("prefix").alias("at", "word"))
-    cold = postings.filter(F.col("at") < F.col("cold")).drop("cold")
+    cold = postings.filter(F.col("at") < F.col("cold")).drop("cold", "first")
     hot = postings.filter(F.col("at") >= F.col("cold")).drop("cold")
     found = _verified(given, distinct, neighbours(hot, least), least)
     settled = store(found.select(F.col("b").alias("d1")).distinct())
     open_hot = hot.join(broadcast_if_small(settled), "d1", "left_anti")
     rest = candidates(cold, cold, least).unionByName(candidates(hot, open_hot, least)).distinct()
     links = found.unionByName(_verified(given, distinct, rest, least))
-    at = distinct.select(F.col("d1").alias("a"), F.col("first").alias("place"))
-    earlier = store(links.join(at, "a").groupBy(F.col("b").alias("later")).agg(F.min("place").alias("match")))
+    at = distinct.select("d1", "first")
+    placed = (links.join(at.select(F.col("d1").alias("a"), F.col("first").alias("of_a")), "a")
+              .join(at.select(F.col("d1").alias("b"), F.col("first").alias("of_b")), "b"))
+    earlier = store(placed.groupBy(F.when(F.col("of_a") < F.col("of_b"), F.col("b")).otherwise(F.col("a")).alias("later"))
+                    .agg(F.min(F.least("of_a", "of_b")).alias("match")))
     moved = distinct.select(*same, "first", "size").join(
         broadcast_if_small(earlier), F.col("d1") == F.col("later"), "left").select(
         *same, F.coalesce("match", "first").alias("kept"), "size", "match").filter((F.col("size") > 1) | F.col("match").isNotNull())
