@@ -22,9 +22,10 @@ from prepaudit.llm.shared import read, register, store
 
 MAP_SLOTS = 4096
 FOLD_BYTES = 48
-DICTIONARY_WORDS = 1 << 18
-COUNTER_WORDS = 1 << 18
-CACHE_WORDS = 1 << 18
+DICTIONARY_WORDS = 1 << 17
+COUNTER_WORDS = 1 << 17
+CACHE_WORDS = 1 << 17
+ROWS_AT_A_TIME = 1000
 BINS_PER_OCTAVE = 8
 #: Fixed value: the pattern for which texts may be cut at spaces first, see ``pieces_of``.
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -251,7 +252,7 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
                 return match_by_match(body or "")
             return match_by_match(cut[0]) + b"".join([known_pieces[piece] for piece in cut[1:]])
         at = None
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_A_TIME) for b in batches for i in range(0, b.num_rows, ROWS_AT_A_TIME)):
             at = batch.schema.get_field_index(inner) if at is None else at
             encoded = [ids(x.as_py()) for x in batch.column(at)]
             bounds = np.zeros(len(encoded) + 1, np.int32)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-TEXT_BYTES = 4 * 1024 * 1024
+TEXT_BYTES = 2 * 1024 * 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,6 +72,7 @@ def slices(column: pa.Array, limit: int = TEXT_BYTES) -> Iterator[tuple[int, int
         low, high = int(offsets[first]), int(offsets[end])
         yield first, end, data[low:high], offsets[first:end + 1] - low
         first = end
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from prepaudit.llm.shared import broadcast_if_small, read, register, store
 
 MOST_POSITIVE = 3_000
 MOST_UNLABELLED = 10_000
-FEATURES = 512
+FEATURES = 384
 LEAST_POSITIVE_TEXTS = 5
 LEAST_Z = 3.0
 PREFIX_BYTES = (4, 5, 6, 7)
@@ -101,9 +101,9 @@ def choose_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
     return np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))
 
 
-def fit_member(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE,
-               ridge: float = RIDGE) -> np.ndarray:
-    """Logistic weights by Adam on the non-negative risk.
+def fit_member(x_p: np.ndarray, x_u: np.ndarray, prior: float, mine: np.ndarray | None = None, steps: int = STEPS,
+               rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
+    """Logistic weights by Adam on the non-negative risk, over the unlabelled rows that ``mine`` marks.
 
     risk = prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]). Where the second part, an estimate of
     the risk on negatives, falls below zero, its gradient is turned round instead, which undoes overfitting.
@@ -114,13 +114,16 @@ def fit_member(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = STEP
     shrink = np.full_like(w, ridge)
     shrink[-1] = 0
 
+    share = np.full(len(x_u), 1 / len(x_u)) if mine is None else mine / mine.sum()
+    share = share.astype(np.float32)
+
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
         z_p, z_u = x_p @ w, x_u @ w
         s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-        negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        g_negative = x_u.T @ s_u / len(s_u) - prior * (x_p.T @ s_p) / len(s_p)
+        negative = np.logaddexp(0, z_u) @ share - prior * np.logaddexp(0, z_p).mean()
+        g_negative = x_u.T @ (s_u * share) - prior * (x_p.T @ s_p) / len(s_p)
         g_positive = prior * (x_p.T @ (s_p - 1)) / len(s_p)
         g = (g_positive + g_negative if negative >= 0 else -g_negative) + shrink * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -179,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for member in range(MEMBERS):
             # Each member sees its own nine tenths of the unlabelled texts.
             mine = (np.arange(len(x_u)) + member) % 10 != 0
-            members.append(fit_member(x_p, x_u[mine] if mine.any() else x_u, prior))
+            members.append(fit_member(x_p, x_u, prior, mine if mine.any() else None))
         yield pa.RecordBatch.from_arrays([pa.array([np.array(members, np.float32).tobytes()], pa.binary())], ["weights"])
     kind = docs.schema[key].dataType.simpleString()
     rows = sample.mapInArrow(cells, f"key {kind}, positive boolean, cells binary")
