@@ -71,7 +71,8 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if twice.isEmpty():
         return stay
     repeated = listed(twice)
-    return join(stay, repeated, "left_anti").unionByName(join(stay, repeated, "left_semi").dropDuplicates([key]))
+    copies = join(stay, repeated, "left_semi").withColumn("__text", F.sha2(text_of(text).cast("binary"), 256))
+    return join(stay, repeated, "left_anti").unionByName(copies.dropDuplicates([key, "__text"]).drop("__text"))
 
 
 EXACT_SQL = """

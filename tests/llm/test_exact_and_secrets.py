@@ -66,6 +66,15 @@ def test_one_row_of_each_text_stays(texts, clashing):
     assert "digest" in found.columns and exact.without_copies(texts([])).count() == 0
 
 
+def test_repeated_texts_of_one_id_all_stay(texts):
+    """Rows that repeat an id, or have none, but differ in text: one of each text stays."""
+    rows = [(None, "A"), (None, "A"), (None, "B"), (None, "B"), (8, "x"), (8, "x"), (8, "y"), (8, "y"), (7, None), (7, ""), (9, "own")]
+    found = exact.without_copies(texts(rows))
+    assert found.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == [
+        (0, "A"), (0, "B"), (7, ""), (8, "x"), (8, "y"), (9, "own")]
+
+
 KINDS = {
     "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
