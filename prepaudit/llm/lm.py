@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepaudit.llm.kernel import row_numbers, texts_to_words
+from prepaudit.llm.kernel import mix, texts_to_words
 from prepaudit.llm.shared import read, register, store
 from prepaudit.llm.toxicity import held_out
 
 LEAST_SHARE = 1e-6
 DELETED_FOLDS = 10
-FREQUENCY_BUCKETS = 16
+FREQUENCY_BUCKETS = 32
 STEPS_PER_DECADE = 16
 ROUNDS = 50
 MOST_KEYS = 1 << 21
+LEAST_PARTS = 256
+PART_WORDS = 1 << 20
+ORDERS = 3
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
@@ -48,7 +51,10 @@ def framed(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Tables:
-    """Frequent n-grams with their counts in all training texts (column 0) and in the kept ones (column 1)."""
+    """Frequent n-grams with their counts in all training texts (column 0) and in the kept ones (column 1).
+
+    They give estimates on the driver. Weights and scores come from the counts of all n-grams (``resolved``), not from these.
+    """
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -117,11 +123,6 @@ class Tables:
         kind = np.where(seen2 > 0, 1 + FREQUENCY_BUCKETS + bucket(seen2), np.where(seen1 > 0, 1 + bucket(seen1), 0))
         return kind, np.stack([p0, p1, p2, p3])
 
-    def mixed(self, sequence: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Mixed probability at every position (the begin marks' are meaningless)."""
-        kind, p = self.estimates(sequence, rows, 0)
-        return (self.weights[kind].T * p).sum(axis=0)
-
 
 def fit_weights(kind: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights per bucket by expectation-maximisation over cells of (bucket, estimates) met ``n`` times.
@@ -183,26 +184,238 @@ def _table(counted: DataFrame, least: float, kind=np.int64) -> tuple[np.ndarray,
     return keys[order], np.stack([rows["n"].to_numpy(), rows["k"].to_numpy()], axis=1).astype(float)[order]
 
 
+def ngrams(sequence: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order the positions where an n-gram ends inside a row, and the n-grams' keys."""
+    inside = np.zeros(len(sequence), bool)
+    inside[1:] = rows[1:] == rows[:-1]
+    whole = inside.copy()
+    whole[1:] &= inside[:-1]
+    two, three = np.flatnonzero(inside), np.flatnonzero(whole)
+    a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    pair = np.zeros(len(sequence), np.uint64)
+    pair[two] = mix(mix(sequence[two - 1] + a) * b + sequence[two])
+    return [(np.arange(len(sequence)), sequence), (two, pair[two]), (three, mix(mix(pair[three - 1] + b) * a + sequence[three]))]
+
+
+def exact_estimates(counts: np.ndarray, rows: np.ndarray, total: float, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each position's context, and its estimates of order 0 to 3, from the counts of its word, pair and triple.
+
+    A context that was never met leaves the estimate to the order below, so each order is a distribution of its own.
+    """
+    n1, n2, n3 = counts.astype(float)
+    c1, c2 = np.zeros(len(rows)), np.zeros(len(rows))
+    c1[1:], c2[1:] = n1[:-1], n2[:-1]
+    head = np.ones(len(rows), bool)
+    head[1:] = rows[1:] != rows[:-1]
+    c1[head], c2[head] = 0, 0
+    p0 = np.full(len(rows), 1 / (kinds + 1))
+    p1 = n1 / total if total > 0 else p0
+    p2 = np.where(c1 > 0, n2 / np.maximum(c1, 1), p1)
+    p3 = np.where(c2 > 0, n3 / np.maximum(c2, 1), p2)
+
+    def bucket(c):
+        return np.minimum(np.floor(np.log2(np.maximum(c, 1))), FREQUENCY_BUCKETS - 1).astype(np.int64)
+    kind = np.where(c2 > 0, 1 + FREQUENCY_BUCKETS + bucket(c2), np.where(c1 > 0, 1 + bucket(c1), 0))
+    return kind, np.stack([p0, p1, p2, p3])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per run of texts: ids, flags (1 training, 2 kept, 4 scored), words as numbers in the run's vocabulary, bounds."""
+    for batch in batches:
+        flags = sum(np.array(batch.column(i).to_pylist(), np.uint8) << (i - 2) for i in (2, 3, 4))
+        for first, end, words, bounds in texts_to_words(batch.column(1)):
+            vocabulary, numbers = np.unique(words, return_inverse=True)
+            mine = flags[first:end]
+            lengths = np.diff(bounds) + 1
+            tokens = [int(lengths[(mine & f) > 0].sum()) for f in (1, 2)]
+            ids = batch.column(0).slice(first, end - first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *([pa.array([x.tobytes()], pa.binary()) for x in (
+                    mine, bounds.astype(np.int64), vocabulary, numbers.astype(np.uint32))]),
+                 *[pa.array([t], pa.int64()) for t in (len(words) + len(ids), *tokens)]],
+                ["ids", "flags", "bounds", "vocabulary", "numbers", "size", "n", "k"])
+
+
+def _opened(flags: bytes, bounds: bytes, vocabulary: bytes, numbers: bytes):
+    """A run's framed words, their rows, what is a token, flags by row, and per order ``(positions, keys, places, n, k)``."""
+    words = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(numbers, np.uint32)]
+    flag = np.frombuffer(flags, np.uint8)
+    sequence, rows, token = framed(words, np.frombuffer(bounds, np.int64))
+    orders = []
+    for at, keys in ngrams(sequence, rows):
+        found, place = np.unique(keys, return_inverse=True)
+        mine = flag[rows[at]]
+        orders.append((at, found, place, *(np.bincount(place, (mine & f) > 0, len(found)).astype(np.int64) for f in (1, 2))))
+    return sequence, rows, token, flag, orders
+
+
+def _part_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where the ascending keys of each of ``2**bits`` parts by their first bits begin, and the end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def _dealt(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, *packed in zip(*(batch.column(c).to_pylist() for c in ("slice", "flags", "bounds", "vocabulary", "numbers"))):
+                for order, (_, keys, _, n, k) in enumerate(_opened(*packed)[4]):
+                    edges = _part_bounds(keys, bits)
+                    parts = np.flatnonzero(np.diff(edges))
+                    blobs = [pa.array([x[edges[p]:edges[p + 1]].tobytes() for p in parts], pa.binary())
+                             for x in (keys, n.astype(np.uint32), k.astype(np.uint32))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((parts + (order << bits)).astype(np.int32)), pa.array(np.full(len(parts), name, np.int64)), *blobs],
+                        ["part", "slice", "keys", "n", "k"])
+    return run
+
+
+REPLY = "slice bigint, part int, at binary, n binary, k binary"
+
+
+def _totals(bits: int):
+    """What a part's n-grams count over all runs, for each run that lacks some of it; under slice -1 the number of training words."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        keys, n, k = ([np.frombuffer(x, kind) for x in table[c].to_pylist()]
+                      for c, kind in (("keys", np.uint64), ("n", np.uint32), ("k", np.uint32)))
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+        keys, n, k = map(np.concatenate, (keys, n, k))
+        found, at = np.unique(keys, return_inverse=True)
+        sums = [np.bincount(at, x, len(found)).astype(np.int64) for x in (n, k)]
+        open_at = np.flatnonzero((sums[0][at] != n) | (sums[1][at] != k))
+        cuts = np.searchsorted(open_at, edges)
+        names = table["slice"].to_pylist()
+        out = []
+        for i in np.flatnonzero(np.diff(cuts)):
+            mine = open_at[cuts[i]:cuts[i + 1]]
+            out.append((names[i], (mine - edges[i]).astype(np.uint32).tobytes(), *(x[at[mine]].tobytes() for x in sums)))
+        if part >> bits == 0:
+            kinds = np.count_nonzero((sums[0] > 0) & (found != BEGIN))
+            out.append((-1, b"", np.array([kinds], np.int64).tobytes(), b""))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({"slice": pa.array(columns[0], pa.int64()), "part": pa.array([part] * len(out), pa.int32()),
+                         **{c: pa.array(x, pa.binary()) for c, x in zip(("at", "n", "k"), columns[1:])}})
+    return run
+
+
+def _settled(bits: int, kept_tokens: int):
+    """A run with all counts: per position of its scored rows those of word, pair and triple; and the deleted rows' cells."""
+    def run(given: pa.Table, replies: pa.Table) -> pa.Table:
+        packed = [given[c][0].as_py() for c in ("flags", "bounds", "vocabulary", "numbers")]
+        sequence, rows, token, flag, orders = _opened(*packed)
+        edges = [_part_bounds(o[1], bits) for o in orders]
+        for part, at, n, k in zip(*(replies[c].to_pylist() for c in ("part", "at", "n", "k"))):
+            order = part >> bits
+            place = edges[order][part & ((1 << bits) - 1)] + np.frombuffer(at, np.uint32)
+            orders[order][3][place], orders[order][4][place] = np.frombuffer(n, np.int64), np.frombuffer(k, np.int64)
+        counts = np.zeros((2, ORDERS, len(sequence)), np.int64)
+        for i, (at, _, place, n, k) in enumerate(orders):
+            counts[0, i, at], counts[1, i, at] = n[place], k[place]
+        scored = (flag & 4) > 0
+        wanted = scored[rows]
+        deleted = ((flag & 3) == 1)[rows] & token
+        kind, p = exact_estimates(counts[1], rows, kept_tokens, 0)
+        steps = np.round(np.log10(np.maximum(p[1:, deleted], 1e-30)) * STEPS_PER_DECADE).astype(np.int64)
+        cell, m = np.unique(np.concatenate([kind[None, deleted], steps]), axis=1, return_counts=True)
+        ids = given["ids"].combine_chunks().flatten().filter(pa.array(scored))
+        lengths = np.bincount(rows, minlength=len(flag))[scored]
+        cells = pa.StructArray.from_arrays([*map(pa.array, cell), pa.array(m)], ["kind", "s1", "s2", "s3", "n"])
+        return pa.table({
+            "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            "lengths": pa.array([lengths.astype(np.int64).tobytes()], pa.binary()),
+            **{f"n{i + 1}": pa.array([counts[0, i, wanted].tobytes()], pa.binary()) for i in range(ORDERS)},
+            "cells": pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)})
+    return run
+
+
+def resolved(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """Runs of texts with the counts of all their n-grams in all training texts; training and kept tokens; training words.
+
+    ``rows`` has ``id``, ``text``, ``learn``, ``kept`` and ``scored``. A run of about 2 MB of text counts its own words, pairs and
+    triples, and sends each of them once to the part of its key's first bits. There the counts of all runs are added up. A run gets back
+    only what other runs add to its own counts, so an n-gram that one run alone holds does not travel back, and a very
+    common one moves once per run. Nothing is cut: every n-gram has its count.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    runs = rows.select("id", F.col("text").cast("string"), "learn", "kept", "scored").mapInArrow(
+        _slices, f"ids array<{kind}>, flags binary, bounds binary, vocabulary binary, numbers binary, size bigint, n bigint, k bigint")
+    runs = store(runs.withColumn("slice", F.monotonically_increasing_id()))
+    size, *tokens = runs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "n", "k")]).first()
+    bits = int(np.ceil(np.log2(max(LEAST_PARTS, size / PART_WORDS))))
+    packed = runs.select("slice", "flags", "bounds", "vocabulary", "numbers")
+    dealt = packed.mapInArrow(_dealt(bits), "part int, slice bigint, keys binary, n binary, k binary")
+    replies = store(dealt.groupBy("part").applyInArrow(_totals(bits), REPLY))
+    kinds = sum(np.frombuffer(r.n, np.int64)[0] for r in replies.filter("slice = -1").select("n").collect())  # one row per part
+    settled = runs.drop("size", "n", "k").groupBy("slice").cogroup(replies.filter("slice >= 0").groupBy("slice")).applyInArrow(
+        _settled(bits, tokens[1]), f"ids array<{kind}>, lengths binary, n1 binary, n2 binary, n3 binary, "
+                                   "cells array<struct<kind:bigint,s1:bigint,s2:bigint,s3:bigint,n:bigint>>")
+    return store(settled), np.array(tokens, float), int(kinds)
+
+
+def learned_weights(runs: DataFrame, kinds: int) -> np.ndarray:
+    met = (runs.select(F.inline("cells")).groupBy("kind", "s1", "s2", "s3")
+           .agg(F.sum("n").alias("n")).toArrow())  # bounded by the steps, not by the texts
+    p = 10.0 ** (np.stack([met[s].to_numpy() for s in ("s1", "s2", "s3")]) / STEPS_PER_DECADE)
+    p0 = np.full((1, len(met)), 1 / (kinds + 1))
+    return fit_weights(met["kind"].to_numpy(), np.concatenate([p0, p]), met["n"].to_numpy())
+
+
+def _scored(runs: DataFrame, key: str, kind: str, tokens: float, kinds: int, weights: np.ndarray) -> DataFrame:
+    total = tokens + 0.5 * (kinds + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column(0).slice(i, 1).flatten()
+                lengths, *counts = (np.frombuffer(batch.column(j)[i].as_py(), np.int64) for j in range(1, 5))
+                n = len(lengths)
+                rows = np.repeat(np.arange(n), lengths)
+                context, p = exact_estimates(np.stack(counts), rows, tokens, kinds)
+                token = np.ones(len(rows), bool)
+                token[np.concatenate([[0], np.cumsum(lengths)])[:-1]] = False
+                row, one = rows[token], counts[0][token]
+                log_p = np.log10((weights[context[token]].T * p[:, token]).sum(axis=0))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(lengths - 1), pa.array(np.bincount(row, one > 0, n).astype(np.int64)),
+                     pa.array(np.full(n, int(tokens))), pa.array(np.bincount(row, np.log10((one + 0.5) / total), n).astype(float)),
+                     pa.array(np.bincount(row, log_p, n).astype(float))],
+                    ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    return runs.select("ids", "lengths", "n1", "n2", "n3").mapInArrow(
+        run, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").withColumnRenamed("id", key)
+
+
+def kept_texts(key: str) -> Column:
+    """Every tenth training text, by a hash of its id, is held out from the estimates behind the weights."""
+    return F.pmod(F.xxhash64(F.lit("deleted"), key), F.lit(DELETED_FOLDS)) != 0
+
+
+def fit_and_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``score`` gives for ``docs`` after ``fit`` on its rows where ``learn`` holds, counting n-grams once for both."""
+    learn = F.coalesce(learn, F.lit(False))
+    runs, tokens, kinds = resolved(docs.select(
+        F.col(key).alias("id"), F.col(text).alias("text"), learn.alias("learn"), (learn & kept_texts(key)).alias("kept"),
+        F.lit(True).alias("scored")))
+    return _scored(runs, key, docs.schema[key].dataType.simpleString(), tokens[0], kinds, learned_weights(runs, kinds))
+
+
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         least_share: float = LEAST_SHARE) -> tuple[Tables, DataFrame]:
-    """The model, and the counts ``(key, n, k)`` of all words, learned from rows where ``learn`` holds.
+    """The model, and the training texts ``(text, kept)`` whose counts ``score`` looks up, learned from rows where ``learn`` holds.
 
-    An n-gram (up to three words, begin and end marks included) has an estimate of its own if it makes up ``least_share`` of
-    the training tokens, so each table has at most 1 / ``least_share`` rows, whatever the corpus. An n-gram can
-    reach that only if its parts do: words are counted first, then pairs of frequent words, then triples of frequent pairs, all over all
-    training texts. Every tenth training text, by a hash of its id, is held out from the estimates behind the weights; the
-    weights are found by expectation-maximisation on its tokens, and then used with the counts of all training texts.
+    The weights are found by expectation-maximisation on the tokens of the training texts that ``kept_texts`` holds out, with the
+    counts of all n-grams of the others, and then used with the counts of all training texts. The n-grams (up to three words,
+    begin and end marks included) that make up ``least_share`` of the training tokens are collected besides, at most 1 / ``least_share``
+    an order, for ``Tables.estimates``.
     """
     spark = docs.sparkSession
-    training = docs.filter(learn).select(F.col(text).cast("string").alias("text"), (F.pmod(
-        F.xxhash64(F.lit("deleted"), key), F.lit(DELETED_FOLDS)) != 0).alias("kept"))
+    training = docs.filter(learn).select(F.col(text).cast("string").alias("text"), kept_texts(key).alias("kept"))
     model = Tables()
-    counts = store(_counted(training, lambda sequence, rows, token: (sequence, rows)))
-    own = counts.filter(F.col("key") != int(BEGIN))
-    totals = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0)), F.count("*")).first()
-    model.tokens, model.kinds = np.array([totals[0], totals[1]], float), totals[2]
-    model.least = max(2.0, least_share * totals[0])
-    model.words, model.n_words = _table(counts, model.least, np.uint64)
+    runs, model.tokens, model.kinds = resolved(training.select(
+        F.lit(None).cast("bigint").alias("id"), "text", F.lit(True).alias("learn"), "kept", F.lit(False).alias("scored")))
+    model.weights = learned_weights(runs, model.kinds)
+    model.least = max(2.0, least_share * model.tokens[0])
+    model.words, model.n_words = _table(_counted(training, lambda sequence, rows, token: (sequence, rows)), model.least, np.uint64)
     marks = int(BEGIN in model.words)
     model.rare_kinds = model.kinds - (len(model.words) - marks)
     shared = spark.sparkContext.broadcast(model)
@@ -219,77 +432,29 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         at = np.flatnonzero((pair[1:] >= 0) & (pair[:-1] >= 0) & (rows[1:] == rows[:-1]))
         return pair[at] * len(with_pairs.value.words) + word[at + 1], rows[at]
     model.triples, model.n_triples = _table(_counted(training, triple_keys), model.least)
-    whole = spark.sparkContext.broadcast(model)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, int] = {}
-        for batch in batches:
-            for _, _, words, bounds in texts_to_words(batch.column(0)):
-                sequence, rows, token = framed(words, bounds)
-                kind, p = whole.value.estimates(sequence, rows, 1)
-                steps = np.round(np.log10(np.maximum(p[1:, token], 1e-30)) * STEPS_PER_DECADE).astype(np.int64)
-                cell, n = np.unique(np.concatenate([kind[None, token], steps]), axis=1, return_counts=True)
-                for c, m in zip(map(tuple, cell.T.tolist()), n.tolist()):
-                    found[c] = found.get(c, 0) + m
-        columns = np.array(list(found), np.int64).reshape(-1, 4).T
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(found.values()), pa.int64())],
-                                         ["kind", "s1", "s2", "s3", "n"])
-    met = (training.filter(~F.col("kept")).select("text")
-           .mapInArrow(cells, "kind bigint, s1 bigint, s2 bigint, s3 bigint, n bigint")
-           .groupBy("kind", "s1", "s2", "s3").agg(F.sum("n").alias("n")).toArrow())  # bounded by the steps, not by the texts
-    p = 10.0 ** (np.stack([met[s].to_numpy() for s in ("s1", "s2", "s3")]) / STEPS_PER_DECADE)
-    p0 = np.full((1, len(met)), 1 / (model.kinds + 1))
-    model.weights = fit_weights(met["kind"].to_numpy(), np.concatenate([p0, p]), met["n"].to_numpy())
-    return model, counts
+    return model, training
 
 
-def score(docs: DataFrame, model: Tables, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Tables, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(<key>, n_tokens, n_known, train_tokens, base_score, score)``, one row per input row.
 
-    ``score`` is the log10 probability of the whole text under the mixture, its end included. ``base_score`` is that of
-    single words with half a count added to each; words without an own estimate are joined with their counts. A null or empty
+    ``score`` is the log10 probability of the whole text under the mixture, its end included, with the counts of all n-grams of
+    ``training``. ``base_score`` is that of single words with half a count added to each. A null or empty
     text is its end alone. Rows are never merged; an empty table gives an empty table; without training texts every
     probability is 1. Other columns are ignored, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total = float(model.tokens[0] + 0.5 * (model.kinds + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        logs = np.log10((model.n_words[:, 0] + 0.5) / total)
-        for batch in batches:
-            for first, end, words, bounds in texts_to_words(batch.column(1)):
-                sequence, rows, token = framed(words, bounds)
-                n = end - first
-                log_p = np.log10(model.mixed(sequence, rows))
-                word, row = _find(model.words, sequence[token]), rows[token]
-                common = word >= 0
-                rare = sequence[token][~common].view(np.int64)
-                edges = np.searchsorted(row[~common], np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, n), pa.array(np.bincount(row, minlength=n)),
-                    pa.array(np.bincount(row[common], minlength=n)),
-                    pa.array(np.bincount(row[common], logs[word[common]], n).astype(float)),
-                    pa.array(np.bincount(row, log_p[token], n)),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(rare))],
-                    ["id", "n_tokens", "known", "base", "score", "rare"])
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens bigint, known bigint, base double, score double, rare array<bigint>")
-    scored = store(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("key")).join(counts.select("key", "n"), "key", "left")
-    count = F.coalesce("n", F.lit(0))
-    tail = rare.groupBy("row").agg(F.sum(F.log10((count + 0.5) / total)).alias("tail"), F.count_if(count > 0).alias("more"))
-    return scored.drop("rare").join(tail, "row", "left").select(
-        F.col("id").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(model.tokens[0])).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail", F.lit(0.0))).alias("base_score"), "score")
+    asked = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.lit(False).alias("learn"),
+                        F.lit(False).alias("kept"), F.lit(True).alias("scored"))
+    rows = asked.unionByName(training.select(
+        F.lit(None).cast(kind).alias("id"), "text", F.lit(True).alias("learn"), "kept", F.lit(False).alias("scored")))
+    runs, _, _ = resolved(rows)
+    return _scored(runs, key, kind, float(model.tokens[0]), model.kinds, model.weights)
 
 
 @register("op7_lm_scoring")
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     aside = held_out("doc_id", 5, 1)
-    model, counts = fit(docs, ~aside)
-    return score(docs, model, counts).select(
+    return fit_and_score(docs, ~aside).select(
         "doc_id", aside.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

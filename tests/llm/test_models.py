@@ -130,6 +130,39 @@ def test_base_scores_and_mixture(texts, clashing, spark):
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
+def test_scores_use_the_counts_of_all_ngrams(texts, clashing):
+    """Against plain counting of every word, pair and triple; most of them are met once or twice."""
+    draw = random.Random(8)
+    rows = {i: " ".join(draw.choice(["a b c", "b a", "a b", f"r{draw.randrange(60)}"]) for _ in range(draw.randrange(12))) for i in range(150)}
+    rows |= {900: None, 901: "only here"}
+    df, aside = clashing(texts(rows)).drop("score"), toxicity.held_out("doc_id", 5, 1)
+    model, training = lm.fit(df, ~aside, least_share=0.02)
+    got = {r.doc_id: r.score for r in lm.score(df, model, training).collect()}
+    tokens = {i: ["<", *brute.words(t), ">"] for i, t in rows.items()}
+    met = Counter()
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            met.update(tuple(t[j:j + n]) for n in (1, 2, 3) for j in range(len(t) - n + 1))
+    total = sum(n for g, n in met.items() if len(g) == 1 and g != ("<",))
+    kinds = sum(len(g) == 1 for g in met) - 1
+
+    def log_p(t):
+        out = 0.0
+        for j in range(1, len(t)):
+            c1, c2 = met[t[j - 1],], met[tuple(t[j - 2:j])] if j > 1 else 0
+            p = [1 / (kinds + 1), met[t[j],] / total]
+            p.append(met[t[j - 1], t[j]] / c1 if c1 else p[1])
+            p.append(met[tuple(t[j - 2:j + 1])] / c2 if c2 else p[2])
+            size = lm.FREQUENCY_BUCKETS
+            kind = 1 + size + int(math.log2(c2)) if c2 else 1 + int(math.log2(c1)) if c1 else 0
+            out += math.log10(sum(w * x for w, x in zip(model.weights[kind], p)))
+        return out
+    assert (model.tokens[0], model.kinds) == (total, kinds)
+    assert set(got) == set(rows) and all(abs(got[i] - log_p(t)) < 1e-9 * max(1, abs(got[i])) for i, t in tokens.items())
+    both = {r.doc_id: r.score for r in lm.fit_and_score(df, ~aside).collect()}
+    assert all(abs(both[i] - s) < 1e-9 * max(1, abs(s)) for i, s in got.items())
+
+
 def test_estimates_are_distributions(texts):
     """Over all known words, the end and one unknown word, each order adds up to 1 in every context."""
     rows = {i: " ".join(random.Random(i).choice("a b c d e".split()) for _ in range(12)) for i in range(60)} | {99: "rare1 rare2"}
