@@ -110,12 +110,24 @@ def candidates(x: DataFrame, y: DataFrame, least: Fraction) -> DataFrame:
 
 
 def neighbours(postings: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs ``(a, b)`` of each posting with the one before it and the first one among those of equal word and size."""
-    along = Window.partitionBy("word", "n").orderBy("first")
-    names = ["d1", "n", "at", "b1", "b2"]
-    packed = F.struct(*names)
-    met = postings.withColumns({"before": F.lag(packed).over(along), "leader": F.first(packed).over(along)}).select(
-        F.explode(F.array("before", "leader")).alias("x"), *[F.col(c).alias(f"y_{c}") for c in names])
+    """Pairs ``(a, b)`` of each posting with the one before it and the first one among those of equal word and size.
+
+    The postings are cut into sorted slices that ignore where a word ends, so a very common word spreads over many tasks. Only
+    the first word and size of a slice can have begun earlier, so what is carried over is one row per slice at most.
+    """
+    names, group, order = ["d1", "n", "at", "b1", "b2"], ["word", "n"], ["first", "d1"]
+    sliced = store(postings.repartitionByRange(*map(F.col, [*group, *order])).withColumn("slice", F.spark_partition_id()))
+    packed, place = F.struct(*names), F.struct(*order)
+    ends = sliced.groupBy(*group, "slice").agg(F.min_by(packed, place).alias("head"), F.max_by(packed, place).alias("tail"))
+    over = Window.partitionBy(*group).orderBy("slice")
+    carried = ends.select(F.col("word").alias("of_word"), F.col("n").alias("of_n"), F.col("slice").alias("of_slice"),
+                          F.lag("tail").over(over).alias("tail"), F.first("head").over(over).alias("head")).filter("tail IS NOT NULL")
+    along = Window.partitionBy("slice", *group).orderBy(*order)
+    local = sliced.withColumns({"before": F.lag(packed).over(along), "leader": F.first(packed).over(along)})
+    met = local.join(F.broadcast(carried), (F.col("slice") == F.col("of_slice")) & (F.col("word") == F.col("of_word"))
+                     & (F.col("n") == F.col("of_n")), "left")
+    met = met.select(F.explode(F.array(F.coalesce("before", "tail"), F.coalesce("head", "leader"))).alias("x"),
+                     *[F.col(c).alias(f"y_{c}") for c in names])
     met = met.filter("x IS NOT NULL").select(*[F.col(f"x.{c}").alias(f"x_{c}") for c in names], *[f"y_{c}" for c in names])
     return met.filter((F.col("x_d1") != F.col("y_d1")) & _close("x", "y", least)).select(
         F.col("x_d1").alias("a"), F.col("y_d1").alias("b")).distinct()
@@ -160,7 +172,9 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     distinct = store(rows.groupBy(*same).agg(
         F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("size"),
         *[F.first(c).alias(c) for c in ("b1", "b2", "prefix", "hot")]))
-    postings = distinct.select("d1", "n", "b1", "b2", "first", (F.size("prefix") - F.col("hot")).alias("cold"),
+    # A set can only match another one if one word more or less leaves them similar enough; shorter ones match equal sets alone.
+    wide = F.col("n") * least.denominator >= (F.col("n") + 1) * least.numerator
+    postings = distinct.filter(wide).select("d1", "n", "b1", "b2", "first", (F.size("prefix") - F.col("hot")).alias("cold"),
                                F.posexplode("prefix").alias("at", "word"))
     cold = postings.filter(F.col("at") < F.col("cold")).drop("cold", "first")
     hot = postings.filter(F.col("at") >= F.col("cold")).drop("cold")
@@ -194,4 +208,4 @@ def without_lines(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: s
 
 @register("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return later_lines(read(spark, folder, "documents"))
+    return later_lines(read(spark, folder, "documents"), least_words=1)

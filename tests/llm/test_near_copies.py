@@ -118,6 +118,29 @@ def test_later_lines_match_brute_force(texts, clashing, monkeypatch, hot):
                              frozenset(brute.words(place[kept].split("\n")[kept_at])), 8, 10)
 
 
+def test_short_lines_that_repeat_go_in_the_query(spark, texts, tmp_path):
+    rows = [(1, "Les.\n\nYes no"), (2, "les.\n\nno YES\nown"), (3, "Les.\nLes. Les."), (4, "a b c d"), (5, "a b c d e\nx y z")]
+    texts(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line) for r in lines.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == brute_lines(rows, least_words=1) == {(2, 0), (2, 2), (3, 0), (3, 1), (5, 0)}
+
+
+def test_neighbours_of_a_word_in_many_slices(spark):
+    """One word that most postings share is cut into slices; each posting still meets the one before it and the first."""
+    rows = [(7 if i % 10 else i, 9 + i % 2, 0, i * 7919 % 1009, 0, 0, (i % 300, i)) for i in range(1000)]
+    rows = [(w, n, at, d, b1, b2, first) for w, n, at, d, b1, b2, first in rows]
+    df = spark.createDataFrame(rows, "word int, n int, at int, d1 bigint, b1 bigint, b2 bigint, first struct<id:bigint,line:int>")
+    groups, want = {}, set()
+    for w, n, _, d, _, _, first in sorted(rows, key=lambda r: (r[6], r[3])):
+        mine = groups.setdefault((w, n), [])
+        want |= {(x, d) for x in (mine[:1] + mine[-1:])}
+        mine.append(d)
+    got = lines.neighbours(df, Fraction(8, 10))
+    assert {(r.a, r.b) for r in got.collect()} == want
+    assert "Window" in str(got._jdf.queryExecution().optimizedPlan()) and all(
+        "slice" in part for part in str(got._jdf.queryExecution().optimizedPlan()).split("windowspecdefinition(")[1:])
+
+
 def test_lines_are_taken_out(texts):
     df = texts({1: "a b c\nown line here", 2: "x\na b c\ny\n", 3: None})
     gone = lines.later_lines(df)
