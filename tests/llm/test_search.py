@@ -148,3 +148,29 @@ def test_minimizers_are_shared():
     first, second = set(a[at[at < 200]]), set(b[at[(at >= 200) & (at < 260)] - 200])
     assert len(first & second) >= 1 and ((at >= 260).sum() == 1)
     assert (np.diff(at[at < 200]) <= 16).all()
+
+
+def test_passages_with_many_substitutions_are_found(texts):
+    """Sixty shared words with another word in every twelfth place: every pair is compared."""
+    draw = random.Random(21)
+    def prose(n):
+        return [f"w{draw.randrange(50_000)}" for _ in range(n)]
+    rows = {}
+    for i in range(40):
+        shared = prose(72)
+        bent = [f"other{i}" if j % 12 == 11 else w for j, w in enumerate(shared)]
+        rows[2 * i], rows[2 * i + 1] = " ".join(prose(30) + shared + prose(30)), " ".join(prose(20) + bent + prose(40))
+    found = {r.doc_id for r in passages.repeated_passages(texts(rows)).collect()}
+    assert found == set(rows)
+
+
+def test_passage_quoted_in_parts_before_is_found(texts):
+    """Its seeds have their first places in many texts; the two that hold all of it still meet, and so do later places in a text."""
+    draw = random.Random(22)
+    def prose(n):
+        return [f"w{draw.randrange(50_000)}" for _ in range(n)]
+    whole = prose(60)
+    rows = {i: " ".join(prose(20) + whole[4 * i:4 * i + 11] + prose(20)) for i in range(13)}
+    rows |= {50: " ".join(prose(10) + whole + prose(10)), 60: " ".join(prose(30) + whole + prose(30) + whole)}
+    spans = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(texts(rows)).collect()}
+    assert spans == {(50, 10, 70), (60, 30, 90), (60, 120, 180)}
