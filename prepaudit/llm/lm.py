@@ -20,6 +20,7 @@ FREQUENCY_BUCKETS = 32
 STEPS_PER_DECADE = 16
 ROUNDS = 50
 MOST_KEYS = 1 << 21
+RUN_BYTES = 8 * 1024 * 1024
 LEAST_PARTS = 256
 PART_WORDS = 1 << 20
 ORDERS = 3
@@ -223,7 +224,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per run of texts: ids, flags (1 training, 2 kept, 4 scored), words as numbers in the run's vocabulary, bounds."""
     for batch in batches:
         flags = sum(np.array(batch.column(i).to_pylist(), np.uint8) << (i - 2) for i in (2, 3, 4))
-        for first, end, words, bounds in texts_to_words(batch.column(1)):
+        for first, end, words, bounds in texts_to_words(batch.column(1), RUN_BYTES):
             vocabulary, numbers = np.unique(words, return_inverse=True)
             mine = flags[first:end]
             lengths = np.diff(bounds) + 1
@@ -255,6 +256,16 @@ def _part_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by their place, so that those which are zero throughout are compressed away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(planes: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _dealt(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +273,10 @@ def _dealt(bits: int):
                 for order, (_, keys, _, n, k) in enumerate(_opened(*packed)[4]):
                     edges = _part_bounds(keys, bits)
                     parts = np.flatnonzero(np.diff(edges))
-                    blobs = [pa.array([x[edges[p]:edges[p + 1]].tobytes() for p in parts], pa.binary())
-                             for x in (keys, n.astype(np.uint32), k.astype(np.uint32))]
+                    steps = np.diff(keys, prepend=np.uint64(0))  # keys ascend, so a part needs its first one and the steps
+                    steps[edges[parts]] = keys[edges[parts]]
+                    blobs = [pa.array([_planes(x[edges[p]:edges[p + 1]]) for p in parts], pa.binary())
+                             for x in (steps, n.astype(np.uint32), k.astype(np.uint32))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array((parts + (order << bits)).astype(np.int32)), pa.array(np.full(len(parts), name, np.int64)), *blobs],
                         ["part", "slice", "keys", "n", "k"])
@@ -277,8 +290,9 @@ def _totals(bits: int):
     """What a part's n-grams count over all runs, for each run that lacks some of it; under slice -1 the number of training words."""
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        keys, n, k = ([np.frombuffer(x, kind) for x in table[c].to_pylist()]
+        keys, n, k = ([_numbers(x, kind) for x in table[c].to_pylist()]
                       for c, kind in (("keys", np.uint64), ("n", np.uint32), ("k", np.uint32)))
+        keys = [np.cumsum(x, dtype=np.uint64) for x in keys]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
         keys, n, k = map(np.concatenate, (keys, n, k))
         found, at = np.unique(keys, return_inverse=True)
@@ -332,7 +346,7 @@ def _settled(bits: int, kept_tokens: int):
 def resolved(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """Runs of texts with the counts of all their n-grams in all training texts; training and kept tokens; training words.
 
-    ``rows`` has ``id``, ``text``, ``learn``, ``kept`` and ``scored``. A run of about 2 MB of text counts its own words, pairs and
+    ``rows`` has ``id``, ``text``, ``learn``, ``kept`` and ``scored``. A run of about 8 MB of text counts its own words, pairs and
     triples, and sends each of them once to the part of its key's first bits. There the counts of all runs are added up. A run gets back
     only what other runs add to its own counts, so an n-gram that one run alone holds does not travel back, and a very
     common one moves once per run. Nothing is cut: every n-gram has its count.
