@@ -1,8 +1,10 @@
-"""Licences by TF-IDF cosine of lines to templates, and their inheritance along directories."""
+"""Licences by TF-IDF cosine of lines, word windows and whole texts to templates, and their inheritance along directories."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,15 @@ TEMPLATES = {
 }
 LEAST_COSINE = 0.75
 FILE_SHARE = 0.3
+LONG_WORDS = 64
+STRIDES = 8
+
+
+@cache
+def whole_texts() -> dict[str, str]:
+    """Whole licence texts by licence name, from the files beside this one."""
+    files = resources.files("prepaudit.llm").joinpath("license_texts").iterdir()
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files, key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
 def _lines(column: pa.Array):
@@ -45,14 +56,17 @@ def _lines(column: pa.Array):
 class Templates:
     """Term weights of the templates: terms in hash order, idf per term, one unit vector per template."""
 
-    def __init__(self, texts: Mapping[str, str]):
-        self.names = list(texts)
-        found = list(_lines(pa.array([" ".join(t.split()) for t in texts.values()], pa.string())))
+    def __init__(self, texts: Mapping[str, str], whole: Mapping[str, str] | None = None):
+        self.names = [*texts, *(whole or {})]
+        self.notices = len(texts)
+        given = [*texts.values(), *(whole or {}).values()]
+        found = list(_lines(pa.array([" ".join(t.split()) for t in given], pa.string())))
         words = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64)
         rows = np.concatenate([f[0] + f[3][row_numbers(f[4])] for f in found]) if found else np.zeros(0, int)
         self.terms, at = np.unique(words, return_inverse=True)
         self.counts = np.zeros((len(self.names), len(self.terms)))
         np.add.at(self.counts, (rows, at), 1.0)
+        self.sizes = self.counts.sum(axis=1).astype(np.int64)
         self.weigh(np.zeros(len(self.terms), np.int64), 0)
 
     def weigh(self, texts_with: np.ndarray, texts: int) -> None:
@@ -92,6 +106,44 @@ class Templates:
         return best, score
 
 
+    def spans(self, words: np.ndarray, row_bounds: np.ndarray, lines: np.ndarray,
+              least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end, best template and cosine of the spans of words that reach ``least``: lines, whole rows, and sliding windows.
+
+        A window is as long as a template and stays in a row; it begins at every word, or for long templates at every eighth of
+        its length. As a word that repeats only makes a span's norm greater, the sum over its places bounds the
+        cosine from above, and only spans whose bound reaches ``least`` are compared.
+        """
+        term = self.place(words)
+        known = np.flatnonzero(term >= 0)
+        idf = np.full(len(words), self.unseen)
+        idf[known] = self.idf[term[known]] if len(self.terms) else 0
+        norms = np.concatenate([[0], np.cumsum(idf * idf)])
+        sizes = np.diff(row_bounds)
+        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, size in enumerate(self.sizes):
+            dot = np.zeros(len(words) + 1)
+            dot[known + 1] = idf[known] * self.unit[i][term[known]]
+            dot = np.cumsum(dot)
+            stride = 1 if size < LONG_WORDS else int(size) // STRIDES
+            counts = np.where((sizes >= size) & (size > 0), (sizes - size) // stride + 1, 0)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = np.concatenate([lines[:-1], row_bounds[:-1], np.repeat(row_bounds[:-1], counts) + at * stride])
+            end = np.concatenate([lines[1:], row_bounds[1:], np.repeat(row_bounds[:-1], counts) + at * stride + size])
+            bound = (dot[end] - dot[begin]) / np.sqrt(np.maximum(norms[end] - norms[begin], 1e-12))
+            near = np.flatnonzero((bound >= least - 1e-6) & (end > begin))
+            begins.append(begin[near])
+            ends.append(end[near])
+        both = np.unique(np.stack([np.concatenate(begins), np.concatenate(ends)]), axis=1)
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for begin, end in zip(*(np.array_split(x, int((both[1] - both[0]).sum()) // (1 << 20) + 1) for x in both)):
+            bounds = np.concatenate([[0], np.cumsum(end - begin)])
+            best, score = self.cosines(words[np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], end - begin)], bounds)
+            hit = score >= least
+            found = [np.concatenate([f, x[hit]]) for f, x in zip(found, (begin, end, best, score))]
+        return tuple(found)
+
+
 def _texts_with(templates: Templates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(templates.terms), np.int64)
@@ -109,14 +161,16 @@ def _texts_with(templates: Templates):
 
 
 def own_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES,
-                 least: float = LEAST_COSINE) -> DataFrame:
+                 least: float = LEAST_COSINE, whole: Mapping[str, str] | None = None) -> DataFrame:
     """``docs`` with ``own_license``, ``own_score`` and ``own_share``.
 
-    Each line is a sparse TF-IDF vector of its words (cut at punctuation, A-Z in lower case); idf comes from all texts. The
-    best line at cosine ``least`` or more gives the licence (of equal ones the first line, the first template), and its share
-    of the text's words tells notices from licence files. Null and empty texts have no licence: null, 0 and 0.
+    Templates are short notices and ``whole`` licence texts (``whole_texts()`` if not given). Each line, each whole text and each
+    window of a template's length is a sparse TF-IDF vector of its words (cut at punctuation, A-Z in lower case); idf comes from all
+    texts. The best of them at cosine ``least`` or more gives the licence (of equal ones the first, then the first template), and its
+    share of the text's words tells notices from licence files; it is 1 where the text as a whole matches a whole licence text. Null and empty texts
+    have no licence: null, 0 and 0.
     """
-    known = Templates(templates)
+    known = Templates(templates, whole_texts() if whole is None else whole)
     body = docs.select(F.col(text).cast("string").alias("text"))
     rows = body.mapInArrow(_texts_with(known), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r.term: r.n for r in rows}  # one row per template word
@@ -133,13 +187,16 @@ def own_licenses(docs: DataFrame, text: str = "text", templates: Mapping[str, st
             names: list[str | None] = [None] * batch.num_rows
             scores, shares = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for first, end, words, line_rows, bounds in _lines(batch.column(at)):
-                best, score = known.cosines(words, bounds)
-                sizes = np.bincount(line_rows, np.diff(bounds), end - first)
-                for i in np.flatnonzero(score >= least):
-                    row = first + line_rows[i]
+                row_bounds = bounds[np.searchsorted(line_rows, np.arange(end - first + 1))]
+                begin, stop, best, score = known.spans(words, row_bounds, bounds, least)
+                mine = np.searchsorted(row_bounds, begin, "right") - 1
+                for i in np.lexsort((best, begin, mine)):
+                    row, low, high = first + mine[i], row_bounds[mine[i]], row_bounds[mine[i] + 1]
                     if score[i] > scores[row] + 1e-12:
                         names[row], scores[row] = known.names[best[i]], score[i]
-                        shares[row] = (bounds[i + 1] - bounds[i]) / sizes[line_rows[i]]
+                        shares[row] = max(shares[row] == 1, (stop[i] - begin[i]) / (high - low))
+                    if best[i] >= known.notices and (begin[i], stop[i]) == (low, high):
+                        shares[row] = 1
             fields = [batch.schema.field(i) for i in range(at)]
             arrays = [pa.array(names, pa.string()), pa.array(scores), pa.array(shares)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *arrays], schema=pa.schema(
@@ -162,8 +219,8 @@ def ancestors(folder: Column) -> Column:
 def scan(docs: DataFrame, path: str = "path", text: str = "text", file_share: float = FILE_SHARE, **options) -> DataFrame:
     """``docs`` with ``own_license``, ``own_score``, ``own_share``, ``license`` and ``license_folder``.
 
-    A text without a licence of its own inherits that of the nearest directory above it that holds a licence file, a text of which
-    the licence line is at least the share ``file_share``. Of several files in a directory the one
+    A text without a licence of its own inherits that of the nearest directory above it that holds a licence file, a text that as a
+    whole matches a licence text, or of which what matches is at least the share ``file_share``. Of several files in a directory the one
     with the highest cosine counts, then the least path, then the least licence name. ``license_folder`` is that directory,
     null where the licence is the text's own or there is none. A null path inherits nothing. Rows are kept as they
     are; an empty table gives an empty table.

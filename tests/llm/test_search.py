@@ -85,6 +85,23 @@ def test_own_licence_and_inheritance(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_texts_headers_and_wrapped_notices(spark):
+    """A whole licence text makes a licence file; a header with one, a wrapped notice and one inside a paragraph are found."""
+    whole = licenses.whole_texts()
+    prose = " ".join(f"word{i}" for i in range(400))
+    notice = licenses.TEMPLATES["MPL-2.0"].split()
+    rows = [("m/LICENSE", "Copyright (c) 2020 A. Person\n\n" + whole["MIT"]), ("m/a/x", prose),
+            ("g/COPYING", whole["GPL-3.0"]), ("g/y", prose), ("a/z", prose),
+            ("a/code", "\n".join("# " + line for line in whole["BSD-3-Clause"].splitlines()) + "\n" + prose + prose),
+            ("w/wrapped", prose + "\n" + "\n".join(" ".join(notice[i:i + 4]) for i in range(0, len(notice), 4)) + "\n" + prose),
+            ("w/inside", prose + " " + licenses.TEMPLATES["Apache-2.0"] + " " + prose), ("w/q", prose)]
+    got = {r.path: (r.own_license, r.license, r.license_folder) for r in
+           licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"m/LICENSE": ("MIT", "MIT", None), "m/a/x": (None, "MIT", "m"), "g/COPYING": ("GPL-3.0", "GPL-3.0", None),
+                   "g/y": (None, "GPL-3.0", "g"), "a/code": ("BSD-3-Clause", "BSD-3-Clause", None), "a/z": (None, None, None),
+                   "w/wrapped": ("MPL-2.0", "MPL-2.0", None), "w/inside": ("Apache-2.0", "Apache-2.0", None), "w/q": (None, None, None)}
+
+
 def test_cosine_is_that_of_the_definition():
     known = licenses.Templates({"a": "x y y", "b": "z"})
     known.weigh(np.array([1, 0, 2])[np.argsort(np.argsort(known.terms))] * 0 + 1, 9)
