@@ -20,7 +20,7 @@ FREQUENCY_BUCKETS = 32
 STEPS_PER_DECADE = 16
 ROUNDS = 50
 MOST_KEYS = 1 << 21
-RUN_BYTES = 8 * 1024 * 1024
+RUN_BYTES = 4 * 1024 * 1024
 LEAST_PARTS = 256
 PART_WORDS = 1 << 20
 ORDERS = 3
@@ -323,22 +323,27 @@ def _settled(bits: int, kept_tokens: int):
             order = part >> bits
             place = edges[order][part & ((1 << bits) - 1)] + np.frombuffer(at, np.uint32)
             orders[order][3][place], orders[order][4][place] = np.frombuffer(n, np.int64), np.frombuffer(k, np.int64)
-        counts = np.zeros((2, ORDERS, len(sequence)), np.int64)
-        for i, (at, _, place, n, k) in enumerate(orders):
-            counts[0, i, at], counts[1, i, at] = n[place], k[place]
-        scored = (flag & 4) > 0
-        wanted = scored[rows]
-        deleted = ((flag & 3) == 1)[rows] & token
-        kind, p = exact_estimates(counts[1], rows, kept_tokens, 0)
-        steps = np.round(np.log10(np.maximum(p[1:, deleted], 1e-30)) * STEPS_PER_DECADE).astype(np.int64)
-        cell, m = np.unique(np.concatenate([kind[None, deleted], steps]), axis=1, return_counts=True)
+        scored, deleted = (flag & 4) > 0, ((flag & 3) == 1)[rows]
+
+        def at_positions(column, wanted):
+            counts = np.zeros((ORDERS, np.count_nonzero(wanted)), np.int64)
+            for i, order in enumerate(orders):
+                full = np.zeros(len(sequence), np.int64)
+                full[order[0]] = order[column][order[2]]
+                counts[i] = full[wanted]
+            return counts
+        kind, p = exact_estimates(at_positions(4, deleted), rows[deleted], kept_tokens, 0)
+        kind, p = kind[token[deleted]], p[:, token[deleted]]
+        steps = np.round(np.log10(np.maximum(p[1:], 1e-30)) * STEPS_PER_DECADE).astype(np.int64)
+        cell, m = np.unique(np.concatenate([kind[None], steps]), axis=1, return_counts=True)
         ids = given["ids"].combine_chunks().flatten().filter(pa.array(scored))
         lengths = np.bincount(rows, minlength=len(flag))[scored]
+        counts = at_positions(3, scored[rows])
         cells = pa.StructArray.from_arrays([*map(pa.array, cell), pa.array(m)], ["kind", "s1", "s2", "s3", "n"])
         return pa.table({
             "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
             "lengths": pa.array([lengths.astype(np.int64).tobytes()], pa.binary()),
-            **{f"n{i + 1}": pa.array([counts[0, i, wanted].tobytes()], pa.binary()) for i in range(ORDERS)},
+            **{f"n{i + 1}": pa.array([counts[i].tobytes()], pa.binary()) for i in range(ORDERS)},
             "cells": pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)})
     return run
 
@@ -346,7 +351,7 @@ def _settled(bits: int, kept_tokens: int):
 def resolved(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """Runs of texts with the counts of all their n-grams in all training texts; training and kept tokens; training words.
 
-    ``rows`` has ``id``, ``text``, ``learn``, ``kept`` and ``scored``. A run of about 8 MB of text counts its own words, pairs and
+    ``rows`` has ``id``, ``text``, ``learn``, ``kept`` and ``scored``. A run of about 4 MB of text counts its own words, pairs and
     triples, and sends each of them once to the part of its key's first bits. There the counts of all runs are added up. A run gets back
     only what other runs add to its own counts, so an n-gram that one run alone holds does not travel back, and a very
     common one moves once per run. Nothing is cut: every n-gram has its count.
