@@ -232,7 +232,7 @@ def impute_regression(spark, folder):
     items = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     holes = items.withColumns({"l_quantity": F.when(F.col("l_tax") > 0, F.col("l_quantity")),
                                "l_extendedprice": F.when(F.col("l_tax") < 0.08, F.col("l_extendedprice"))})
-    return impute.impute_regression(holes, ["l_quantity", "l_extendedprice", "l_tax"], rounds=1)
+    return impute.impute_regression(holes, ["l_quantity", "l_extendedprice", "l_tax"])
 
 
 @query("label_encode", """

@@ -179,3 +179,16 @@ def test_rollup_to_a_constant_loses_all_detail(spark):
     df = spark.createDataFrame([("a", "all"), ("b", "all")], "c string, r string")
     got = {r["side"]: (r["distinct_values"], round(r["entropy"], 6)) for r in profile.granularity(df, "c", "r").collect()}
     assert got == {"before": (2, 0.693147), "after": (1, 0.0)}
+
+
+def test_the_regression_query_iterates(spark, tmp_path, monkeypatch):
+    """The registered query leaves the number of rounds to the operator, which goes through the columns more than once."""
+    import inspect
+
+    from prepaudit.plans import tabular
+    spark.createDataFrame([(1, 1, 2.0, 3.0, 0.05)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    original, given = impute.impute_regression, {}
+    monkeypatch.setattr(tabular.impute, "impute_regression", lambda df, columns, **options: given.update(options) or df)
+    tabular.impute_regression(spark, str(tmp_path))
+    assert given.get("rounds", inspect.signature(original).parameters["rounds"].default) >= 2
