@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "lm", "passages", "parsing", "secrets", "toxicity",
+    "bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "lm", "passages", "parsing", "periods",
+    "secrets", "toxicity",
 ]
 
 
