@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "bpe", "decontaminate", "exact", "jaccard", "licenses", "lines", "lm", "passages", "parsing", "periods",
-    "secrets", "toxicity",
+    "search", "secrets", "toxicity",
 ]
 
 
