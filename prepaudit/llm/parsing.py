@@ -33,8 +33,8 @@ from prepaudit.llm.shared import read, register
 
 LENGTH = 50
 KMER = 26
-SLICE_BYTES = 2 * 1024 * 1024
-BUCKET_PHRASES = 1 << 19
+SLICE_BYTES = 4 * 1024 * 1024
+BUCKET_PHRASES = 1 << 18
 PARTITION_BYTES = 64 * 1024 * 1024
 HOT_SLICES = 1 << 16
 CHUNK_BYTES = 256 * 1024
