@@ -36,7 +36,8 @@ KMER = 26
 SLICE_BYTES = 4 * 1024 * 1024
 BUCKET_PHRASES = 1 << 18
 PARTITION_BYTES = 64 * 1024 * 1024
-HOT_SLICES = 1 << 16
+BLOCK_PHRASES = 1 << 16
+HOT_SLICES = 1 << 10
 CHUNK_BYTES = 256 * 1024
 
 _BASE = int(salts(1, 97)[0])
@@ -237,7 +238,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _dictionary(length: int, kmer: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("values", pa.binary()), ("ids", pa.binary()),
+    schema = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("groups", pa.binary()), ("values", pa.binary()), ("ids", pa.binary()),
                         ("sizes", pa.binary()), ("bytes", pa.binary())])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, facts: pa.Table) -> pa.Table:
@@ -250,38 +251,38 @@ def _dictionary(length: int, kmer: int, buckets: int):
             split = _among(short, hot)
             home = np.repeat(np.where(split, 0, bucket_of(found.trigger, buckets).astype(np.int64) + 1), np.where(split, found.count, 1))
             found = single_strings(found, split, rolling, length)
-            home = np.where(home > 0, home - 1, bucket_of(found.value, buckets).astype(np.int64))
+            single = home == 0
+            home = np.where(single, bucket_of(found.value, buckets).astype(np.int64), home - 1)
+            group = np.where(single, found.value, found.trigger).astype(np.uint32)
             owner = ids[first + found.row]
             order = np.lexsort((owner, found.value))
             order = order[_starts(found.value[order])]
             size = found.count[order] + length - 1
             inside = np.arange(int(size.sum())) + np.repeat(found.at[order] - (np.cumsum(size) - size), size)
-            parts.append((home[order], found.value[order], owner[order], size, data[inside]))
+            parts.append((home[order], group[order], found.value[order], owner[order], size, data[inside]))
         if not parts:
             return schema.empty_table()
-        home, value, owner, size, raw = (np.concatenate(x) for x in zip(*parts))
+        home, group, value, owner, size, raw = (np.concatenate(x) for x in zip(*parts))
         begin = np.cumsum(size) - size
         order = np.lexsort((owner, value, home))
         order = order[np.append(True, (value[order][1:] != value[order][:-1]) | (home[order][1:] != home[order][:-1]))[:len(order)]]
-        home, value, owner, size, begin = home[order], value[order], owner[order], size[order], begin[order]
+        home, group, value, owner, size, begin = home[order], group[order], value[order], owner[order], size[order], begin[order]
         cut, out = np.append(_starts(home), len(home)), []
         for a, b in zip(cut[:-1], cut[1:]):
             inside = np.arange(int(size[a:b].sum())) + np.repeat(begin[a:b] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b])
-            out.append((int(home[a]), key[0].as_py(), value[a:b].tobytes(), owner[a:b].tobytes(), size[a:b].astype(np.uint32).tobytes(), raw[inside].tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, schema)], schema=schema)
+            out.append((int(home[a]), key[0].as_py(), group[a:b].tobytes(), value[a:b].tobytes(), owner[a:b].tobytes(), size[a:b].astype(np.uint32).tobytes(), raw[inside].tobytes()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 7, schema)], schema=schema)
     return run
 
 
 def suffix_order(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes that begin at ``starts`` by their first ``length`` bytes, and which of them, in that order, differ from the one before."""
-    padded = np.append(raw, np.zeros(8, np.uint8))
-    eight = np.zeros(len(raw) + 1, np.uint64)
-    for j in range(8):
-        eight = eight << np.uint64(8) | padded[j:j + len(raw) + 1]
     words = []
     for j in range(0, length, 8):
-        word = eight[np.minimum(starts + j, len(raw))]
-        words.append(word if length - j >= 8 else word >> np.uint64(8 * (8 - length + j)))
+        word = np.zeros(len(starts), np.uint64)
+        for t in range(j, min(j + 8, length)):
+            word = word << np.uint64(8) | raw[starts + t]
+        words.append(word)
     order = np.lexsort(words[::-1])
     fresh = np.ones(len(order), bool)
     fresh[1:] = False
@@ -290,44 +291,63 @@ def suffix_order(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.n
     return order, fresh
 
 
+def _bytes_of(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All rows of a binary column, one after the other."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
+
+
+def lesser_starts(raw: np.ndarray, value: np.ndarray, owner: np.ndarray, begin: np.ndarray, size: np.ndarray,
+                  length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of phrases that begin in a document less than the phrase's own: the phrase's number and the string's place in it.
+
+    ``value``, ``owner``, ``begin`` and ``size`` tell phrases, first byte and length in ``raw``, by value and owner.
+    """
+    # The dictionary: every phrase once, with the least document that holds it.
+    first = _starts(value)
+    entry = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(value))))
+    count = size[first] - length + 1
+    upto = np.cumsum(count) - count
+    suffix = np.repeat(np.arange(len(first)), count)
+    place = np.arange(int(count.sum())) - np.repeat(upto, count)
+    ranked, fresh = suffix_order(raw, begin[first][suffix] + place, length)
+    group = np.flatnonzero(fresh)
+    least = np.empty(len(ranked), np.int64)
+    least[ranked] = np.repeat(np.minimum.reduceat(owner[first][suffix][ranked], group), np.diff(np.append(group, len(ranked))))
+    many = count[entry]
+    mine = np.repeat(np.arange(len(entry)), many)
+    inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    hit = least[upto[entry][mine] + inside] < owner[mine]
+    return mine[hit], inside[hit]
+
+
 def _matches(length: int):
     schema = pa.schema([("slice", pa.int64()), ("values", pa.binary()), ("runs", pa.binary())])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = table.select(["slice", "values", "ids", "sizes", "bytes"]).to_pylist()
-        value = np.concatenate([np.frombuffer(r["values"], np.uint64) for r in rows])
-        owner = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-        size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows]).astype(np.int64)
-        raw = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
-        sender = np.repeat(np.arange(len(rows)), [len(r["values"]) // 8 for r in rows])
+        senders = table.column("slice").to_numpy()
+        held = [len(x.as_buffer()) // 8 for x in table.column("values")]
+        sender = np.repeat(np.arange(len(held)), held)
+        group, value = _bytes_of(table.column("groups"), np.uint32), _bytes_of(table.column("values"), np.uint64)
+        owner, size = _bytes_of(table.column("ids"), np.int64), _bytes_of(table.column("sizes"), np.uint32).astype(np.int64)
+        raw = _bytes_of(table.column("bytes"), np.uint8)
         begin = np.cumsum(size) - size
-        # The dictionary: every phrase once, with the least document that holds it.
-        order = np.lexsort((owner, value))
-        head = _starts(value[order])
-        entry = np.zeros(len(value), np.int64)
-        entry[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-        first = order[head]
-        count = size[first] - length + 1
-        suffix = np.repeat(np.arange(len(first)), count)
-        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        ranked, fresh = suffix_order(raw, begin[first][suffix] + place, length)
-        group = np.flatnonzero(fresh)
-        least = np.empty(len(ranked), np.int64)
-        lows = np.minimum.reduceat(owner[first][suffix][ranked], group)
-        least[ranked] = np.repeat(lows, np.diff(np.append(group, len(ranked))))
-        # Every sender learns which strings of its phrases begin in a lesser document, as runs of strings.
-        many = count[entry]
-        mine = np.repeat(np.arange(len(entry)), many)
-        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        hit = least[(np.cumsum(count) - count)[entry][mine] + inside] < owner[mine]
-        mine, inside = mine[hit], inside[hit]
-        opened = np.append(True, (mine[1:] != mine[:-1]) | (inside[1:] != inside[:-1] + 1))[:len(mine)]
-        head = np.flatnonzero(opened)
-        last = np.append(head[1:], len(mine))[:len(head)] - 1
-        runs = np.stack([inside[head], inside[last] + 1], 1).astype(np.uint32)
-        who, values = sender[mine[head]], value[mine[head]]
-        cut = np.append(_starts(who), len(who))
-        out = [(rows[who[a]]["slice"], values[a:b].tobytes(), runs[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        order = np.lexsort((owner, value, group))
+        group, value, owner, size, begin, sender = (x[order] for x in (group, value, owner, size, begin, sender))
+        heads = np.append(_starts(group), len(group))
+        found, low = [], 0
+        while low < len(group):  # equal strings have one group, so a few groups at a time will do
+            high = int(heads[np.searchsorted(heads, min(low + BLOCK_PHRASES, len(group)), "left")])
+            mine, inside = lesser_starts(raw, value[low:high], owner[low:high], begin[low:high], size[low:high], length)
+            head = np.flatnonzero(np.append(True, (mine[1:] != mine[:-1]) | (inside[1:] != inside[:-1] + 1))[:len(mine)])
+            last = np.append(head[1:], len(mine))[:len(head)] - 1
+            found.append(np.stack([low + mine[head], inside[head], inside[last] + 1]))
+            low = high
+        # Every sender learns its hits as runs of strings.
+        which, start, end = np.concatenate(found, axis=1)
+        order = np.argsort(sender[which], kind="stable")
+        which, runs = which[order], np.stack([start[order], end[order]], 1).astype(np.uint32)
+        cut = np.append(_starts(sender[which]), len(which))
+        out = [(int(senders[sender[which[a]]]), value[which[a:b]].tobytes(), runs[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 3, schema)], schema=schema)
     return run
 
@@ -420,7 +440,7 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         _sends(length, kmer, buckets), "bucket bigint, slice bigint, base bigint, width int, triggers binary, values binary, ids binary")
     facts = sends.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_facts(hot), FACTS).repartition(parts, "slice")
     entries = texts.groupBy("slice").cogroup(facts.groupBy("slice")).applyInArrow(
-        _dictionary(length, kmer, buckets), "bucket bigint, slice bigint, values binary, ids binary, sizes binary, bytes binary")
+        _dictionary(length, kmer, buckets), "bucket bigint, slice bigint, groups binary, values binary, ids binary, sizes binary, bytes binary")
     matched = entries.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_matches(length), "slice bigint, values binary, runs binary")
     told = facts.unionByName(matched, allowMissingColumns=True)  # with all columns, so that the shuffle of facts serves twice
     found = texts.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(
