@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from prepaudit.operators import linear, metrics, parity, relevance, sample, train, weights
+from prepaudit.operators import linear, metrics, parity, private, relevance, sample, train, weights
 from prepaudit.plans.inputs import SEED, fine_uniform_sql, labelled, rounded, scored, table, wide_table
 from prepaudit.plans.registry import query
 
@@ -130,6 +130,15 @@ def fair_train_constrained(spark, folder):
         (F.max("rate") - F.min("rate")).alias("parity_gap"), (F.sum("wrong") / F.sum("n")).alias("error")))
 
 
+@query("dp_forest")
+def dp_forest(spark, folder):
+    """Private forest (epsilon 1, seeded as the result is compared) for good documents of at least the mean length; bounds are stated, not read."""
+    rows = scored(spark, folder).withColumn("y", ((F.col("quality") == 1) & (F.col("pred") == 1)).cast("int"))
+    model = private.fit(rows.filter(_train()), {"n_chars": (0, 8000), "toxic": (0, 1)}, "y", "doc_id", epsilon=1.0, trees=10, depth=6, seed=SEED)
+    judged = model.transform(rows.filter(~_train())).select("y", F.col("prediction").cast("int").alias("p"))
+    return rounded(metrics.classification_report(judged, "y", "p"))
+
+
 # A seed, as the result is compared; the library draws without one.
 @query("dp_counts", f"""
     WITH c AS (SELECT lang, source, count(*)::DOUBLE AS n, {fine_uniform_sql("lang, source")} - 0.5::DOUBLE AS u
