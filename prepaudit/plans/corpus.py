@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prepaudit.functions import code, text
-from prepaudit.operators import cases, pairs, runs
+from prepaudit.operators import cases, nearpairs, pairs, runs
 from prepaudit.plans.inputs import (LEFT_SCRIPT, PAIRS_SQL, RUNS_SQL, SCRIPTS_SQL, WHITE_SQL, document_pairs, event_runs, lines_sql,
                                     rounded, script_pairs, strip_sql, table, words_sql)
 from prepaudit.plans.registry import query
@@ -90,6 +90,12 @@ def pair_ngram_similarity(spark, folder):
     return rounded(pairs.char_similarity(document_pairs(spark, folder), 3))
 
 
+@query("near_pairs_lsh")
+def near_pairs_lsh(spark, folder):
+    """Documents that are near copies, with their class's least document and the Dice coefficient of 5-grams with it."""
+    return rounded(nearpairs.near_classes(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text"))
+
+
 def _size_sql(column: str, side: str) -> str:
     return (f"len({lines_sql(column)})::INT AS lines_{side}, len({words_sql(column)})::INT AS words_{side}, "
             f"len(regexp_extract_all({column}, '[.!?]+'))::INT AS sentences_{side}")
