@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepaudit.functions.rows import stacked
+from prepaudit.operators import gram
 from prepaudit.operators.distributed import running_total, settle
 
 
@@ -116,6 +117,13 @@ def shift_check(df: DataFrame, score: str, train: Column, threshold: float = 0.1
     return means.withColumns({"gap": gap, "shifted": gap > F.lit(float(threshold))})
 
 
+def shift_check_kernel(df: DataFrame, columns: Sequence[str], label: str, train: Column, threshold: float = 0.1, **options) -> DataFrame:
+    """The same with scores of a kernel ridge regression fitted on the train rows (``gram.fourier_scores``)."""
+    a, b = gram.fourier_scores(df, columns, label, train, **options)
+    gap = abs(a - b)
+    return df.sparkSession.createDataFrame([(a, b, gap, gap > threshold)], "train_mean double, test_mean double, gap double, shifted boolean")
+
+
 def noise_robustness(df: DataFrame, y: str, clean: str, noisy: str) -> DataFrame:
     """Accuracy of the predictions on clean and on noisy features."""
     return df.agg(F.avg(_hit(y, clean)).alias("accuracy_clean"), F.avg(_hit(y, noisy)).alias("accuracy_noisy")

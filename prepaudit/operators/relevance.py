@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepaudit.functions.hashing import digest
 from prepaudit.functions.rows import stacked
+from prepaudit.operators import gram
 from prepaudit.operators.clean import first_rows
 from prepaudit.operators.distributed import settle
 
@@ -49,21 +50,22 @@ def keep_selected(df: DataFrame, features: Sequence[str], chosen: DataFrame) ->
     return df.drop(*[c for c in features if c not in stay])
 
 
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(a, b, corr)`` for the given pairs in one pass."""
-    found = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                     for i, (a, b) in enumerate(pairs)])
-    rows = stacked(*[{"a": a, "b": b, "corr": F.col(f"c{i}")} for i, (a, b) in enumerate(pairs)])
-    return found.select(F.inline(rows))
+def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> list[tuple[str, str, float | None]]:
+    """``(a, b, corr)`` of a left and a right column each, from one pass; None where a column does not vary."""
+    found = gram.correlations(df, left, right)
+    return [(a, b, None if math.isnan(x) else x) for a, row in zip(left, found.tolist()) for b, x in zip(right, row)]
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return correlations(df, list(combinations(columns, 2)))
+    """``(a, b, corr)`` for every two columns, the one named first as ``a``."""
+    place = {c: i for i, c in enumerate(columns)}
+    rows = [r for r in correlations(df, columns, columns) if place[r[0]] < place[r[1]]]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
 def proxies(df: DataFrame, protected: Sequence[str], others: Sequence[str], threshold: float = 0.8) -> DataFrame:
     """Columns (already encoded) that correlate with a protected one beyond the threshold."""
-    found = correlations(df, [(a, b) for a in protected for b in others])
+    found = df.sparkSession.createDataFrame(correlations(df, protected, others), "a string, b string, corr double")
     strongest = found.groupBy(F.col("b").alias("feature")).agg(F.max(F.abs("corr")).alias("strongest"))
     return strongest.withColumn("proxy", F.coalesce(F.col("strongest") > F.lit(float(threshold)), F.lit(False)))
 

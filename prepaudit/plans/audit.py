@@ -206,6 +206,11 @@ def shift_check(spark, folder):
     return rounded(metrics.shift_check(scored(spark, folder), "pred", train()))
 
 
+@query("shift_check_kernel")
+def shift_check_kernel(spark, folder):
+    return rounded(metrics.shift_check_kernel(scored(spark, folder), ["n_chars", "toxic"], "quality", train()))
+
+
 @query("noise_robustness", f"""
     WITH {SCORED_SQL}, noisy AS (SELECT quality, pred, (n_chars + 300.0::DOUBLE
         * {gaussian_sql('doc_id', f'{SEED}/n_chars')} >= (SELECT avg(n_chars) FROM scored WHERE split = 'train'))::INT
