@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from prepaudit.operators import linear, metrics, parity, private, relevance, sample, train, weights
+from prepaudit.operators import forest, linear, metrics, parity, private, relevance, sample, train, weights
 from prepaudit.plans.inputs import SEED, fine_uniform_sql, labelled, rounded, scored, table, wide_table
 from prepaudit.plans.registry import query
 
@@ -78,6 +78,14 @@ def grid_search(spark, folder):
     return rounded(linear.grid_search(_labelled_folds(spark, folder), ["n_chars"], ["lang"], "y", "fold", GRID, 5, fill="median"))
 
 
+@query("grid_search_forest")
+def grid_search_forest(spark, folder):
+    """All 108 points of trees, depth, split and leaf size on five folds."""
+    folds = sample.stratified_folds(labelled(spark, folder), "doc_id", "quality", 5, SEED).withColumns(
+        {"half": F.col("n_chars") % 2, "rest": F.col("n_chars") % 7})
+    return rounded(forest.grid_search(folds, ["n_chars", "toxic", "half", "rest"], "quality", "fold", "doc_id"))
+
+
 @query("cv_refit")
 def cv_refit(spark, folder):
     folds = _labelled_folds(spark, folder)
