@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prepaudit.functions import lexical
 from prepaudit.functions.text import not_in, rule_tags, strip
 
 # fixed values: preprocessing tags and the substrings that must all occur
@@ -47,11 +48,13 @@ def _listed(names: Column) -> Column:
 
 
 def imports(code: Column) -> Column:
-    """``a.b`` for ``import a.b`` and ``m.x`` for ``from m import x``, in text order, repeats kept.
+    """``a.b`` for ``import a.b`` and ``m.x`` for ``from m import x``, in text order, repeats kept; none if strings or brackets are left open.
 
-    Found by line patterns, so text that only looks like an import counts too.
+    Only code counts: strings, docstrings and comments are passed over, and several statements may share a line. A null text gives null.
     """
-    found = F.arrays_zip(*[F.regexp_extract_all(code, F.lit(IMPORT_LINE), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)])
+    alone = F.regexp_replace(F.regexp_replace(lexical.code_only(code), ";", "\n"), r":[ \t]+(?=(?:import|from)[ \t])", ":\n")
+    alone = F.when(code.isNotNull(), F.coalesce(alone, F.lit("")))
+    found = F.arrays_zip(*[F.regexp_extract_all(alone, F.lit(IMPORT_LINE), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)])
 
     def of(hit):
         module, names, plain = hit["g1"], hit["g2"], hit["g3"]

@@ -103,7 +103,7 @@ def train(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], lab
             # What predicting 1 instead of 0 saves, by cell: the label's error, and the multipliers' price of the group.
             worth = np.array([[-1.0, 1.0]] * len(groups)) - (pull / share)[:, None] + pull.sum()
             weight = np.abs(worth).ravel() * n / max((np.abs(worth) * cells).sum(), 1e-300)
-            found = fit_all(design, [Problem(weight, (worth.ravel() > 0).astype(int), 1 / (c * n))], starts=start, max_iter=15, tolerance=1e-4)[0]
+            found = fit_all(design, [Problem(weight, (worth.ravel() > 0).astype(int), 1 / (c * n))], starts=start, max_iter=10, tolerance=1e-3)[0]
             said = found.positives.reshape(-1, 2)
             wrong = (said[:, 0].sum() + (cells[:, 1] - said[:, 1]).sum()) / n
             over = said.sum(1) / np.maximum(cells.sum(1), 1) - said.sum() / n
