@@ -15,6 +15,8 @@ import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,23 +138,11 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     by = list(by)
     group = [*by, "feature"]
     edges = [min(1.0, max(0.0, p + side * BRACKET)) for p in probabilities for side in (-1, 1)]
-    sketched = df.groupBy(*by).agg(*[x for c in columns for x in (
-        F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias(f"e_{c}"),
-        F.count(c).alias(f"n_{c}"))])
-    brackets = sketched.select(*by, F.inline(stacked(
-        *[{"feature": c, "__edges": F.col(f"e_{c}"), "__total": F.col(f"n_{c}")} for c in columns])))
-    long = df.select(*by, F.inline(stacked(*[{"feature": c, "value": F.col(c).cast("double")} for c in columns])))
-    tagged = attach(long.filter(F.col("value").isNotNull()), brackets, group)
-    value = F.col("value")
-
-    def side(i):
-        low, high = F.get("__edges", F.lit(2 * i)), F.get("__edges", F.lit(2 * i + 1))
-        return F.when(value < low, -1).when(value > high, 1).otherwise(0)
-    sides = tagged.select(*group, "value", "__total", F.inline(stacked(
-        *[{"__i": i, "__side": side(i)} for i in range(len(probabilities))])))
-    cells = sides.groupBy(*group, "__i", "__side", F.when(F.col("__side") == 0, value).alias("__value")).agg(
-        F.count("*").alias("__n"), F.min("value").alias("__least"), F.max("value").alias("__most"),
-        F.max("__total").alias("__total"))
+    wide = df.select(*by, *[F.col(c).cast("double").alias(f"__v{j}") for j, c in enumerate(columns)])
+    sketched = settle(wide.groupBy(*by).agg(*[x for j in range(len(columns)) for x in (
+        F.percentile_approx(f"__v{j}", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias(f"__e{j}"),
+        F.count(f"__v{j}").alias(f"__n{j}"))]))
+    cells = _cells(wide, sketched, list(columns), len(probabilities)) if not by else _cells_by(wide, sketched, columns, probabilities, by)
     ranked = running_total(cells, [*group, "__i"], ["__side", "__value"], __upto="__n")
     picked = settle(_pick_quantiles(ranked, group, probabilities))
     if picked.filter(reduce(lambda a, b: a | b, [F.col(f"q{i}").isNull() for i in range(len(probabilities))])).limit(1).count():
@@ -160,6 +150,72 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     return picked
 
 
+def _cells(wide: DataFrame, sketched: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """For whole columns: each task counts below, above and (by value) inside every bracket, and sends no other rows."""
+    told = sketched.first()
+    names = ["feature", "__i", "__side", "__value", "__n", "__least", "__most", "__total"]
+    brackets = [(told[f"__e{j}"] or [], int(told[f"__n{j}"])) for j in range(len(columns))]
+
+    def run(batches):
+        outside, inside = {}, {}
+        for batch in batches:
+            for j, (edges, _) in enumerate(brackets):
+                v = batch.column(f"__v{j}").drop_null().to_numpy(zero_copy_only=False)
+                for i in range(n) if len(v) and edges else ():
+                    below, within = v < edges[2 * i], (v >= edges[2 * i]) & (v <= edges[2 * i + 1])
+                    for side, some in ((-1, below), (1, ~(below | within))):  # NaN is above all, as in every order of Spark's
+                        if some.any():
+                            known = outside.setdefault((j, i, side), [0, np.inf, -np.inf])
+                            known[0] += int(some.sum())
+                            known[1], known[2] = min(known[1], float(np.sort(v[some])[0])), max(known[2], float(v[some].max()))
+                    held = inside.setdefault((j, i), [])
+                    held.append(np.unique(v[within] + 0.0, return_counts=True))
+                    if len(held) > 64:
+                        inside[j, i] = [_united(held)]
+        rows = [(columns[j], i, side, None, k, least if side > 0 else None, most if side < 0 else None, brackets[j][1])
+                for (j, i, side), (k, least, most) in outside.items()]
+        for (j, i), held in inside.items():
+            rows += [(columns[j], i, 0, v, k, v, v, brackets[j][1]) for v, k in zip(*(x.tolist() for x in _united(held)))]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        for k in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 10_000]), kinds)], names)
+    found = wide.mapInArrow(run, "feature string, __i int, __side int, __value double, __n bigint, __least double, __most double, __total bigint")
+    return found.groupBy("feature", "__i", "__side", "__value").agg(
+        F.sum("__n").alias("__n"), F.min("__least").alias("__least"), F.max("__most").alias("__most"), F.max("__total").alias("__total"))
+
+
+def _united(parts: list) -> tuple:
+    values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(at, np.concatenate([k for _, k in parts]), len(values)).astype(np.int64)
+
+
+def _cells_by(wide: DataFrame, sketched: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The same within groups, whose brackets are joined to the rows."""
+    group, tagged = [*by, "feature"], attach(wide, sketched, by)
+    places = [(j, c, i) for j, c in enumerate(columns) for i in range(len(probabilities))]
+
+    def low(j, i):
+        return F.get(f"__e{j}", F.lit(2 * i))
+
+    def high(j, i):
+        return F.get(f"__e{j}", F.lit(2 * i + 1))
+    # What lies outside a bracket is counted on the wide row, in one aggregation; only values inside become rows.
+    counted = tagged.groupBy(*by).agg(*[x for j, _, i in places for x in (
+        F.count_if(F.col(f"__v{j}") < low(j, i)).alias(f"__b{j}_{i}"), F.max(F.when(F.col(f"__v{j}") < low(j, i), F.col(f"__v{j}"))).alias(f"__m{j}_{i}"),
+        F.count_if(F.col(f"__v{j}") > high(j, i)).alias(f"__a{j}_{i}"), F.min(F.when(F.col(f"__v{j}") > high(j, i), F.col(f"__v{j}"))).alias(f"__l{j}_{i}"))],
+        *[F.max(f"__n{j}").alias(f"__n{j}") for j in range(len(columns))])
+    none = F.lit(None).cast("double")
+    outside = counted.select(*by, F.inline(stacked(*[{
+        "feature": c, "__i": i, "__side": side, "__value": none, "__n": F.col(f"__{n}{j}_{i}"),
+        "__least": F.col(f"__l{j}_{i}") if side > 0 else none, "__most": F.col(f"__m{j}_{i}") if side < 0 else none, "__total": F.col(f"__n{j}")}
+        for j, c, i in places for side, n in ((-1, "b"), (1, "a"))]))).filter(F.col("__n") > 0)
+    near = F.inline(stacked(*[{"feature": c, "__i": i, "__value": F.when(F.col(f"__v{j}").between(low(j, i), high(j, i)), F.col(f"__v{j}")),
+                      "__total": F.col(f"__n{j}")} for j, c, i in places]))
+    inside = tagged.select(*by, near).filter(F.col("__value").isNotNull()).groupBy(*group, "__i", "__value").agg(
+        F.count("*").alias("__n"), F.max("__total").alias("__total"))
+    return outside.unionByName(inside.withColumns({"__side": F.lit(0), "__least": F.col("__value"), "__most": F.col("__value")}))
+
+
 def quantiles_by_counting(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                           by: Sequence[str] = ()) -> DataFrame:
     """The same from the running count of all distinct values."""
