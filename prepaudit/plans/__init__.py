@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prepaudit.plans import audit, corpus, runlog, sampling, tabular, training  # noqa: F401
+from prepaudit.plans import audit, corpus, files, runlog, sampling, tabular, training  # noqa: F401
 from prepaudit.plans.registry import QUERIES, SQL
 
 

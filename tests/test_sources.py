@@ -60,3 +60,26 @@ def test_run_store_scan_and_append(spark, tmp_path):
     for _ in range(2):
         runstore.append_records(runstore.scan_metrics(spark, store), kept, "run_metrics")
     assert runstore.read_records(spark, kept, "run_metrics").count() == 4
+
+
+def test_one_large_map_is_read_by_many_tasks(spark, tmp_path):
+    entries = {f"k{i}": {"name": f'a "quoted", {{braced}}\n  "k": line {i}', "n": i, "more": {"x": [1, 2]}} for i in range(20_000)}
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(entries, indent=2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        df = tables.json_map(spark, str(path), "name: string, n: int")
+        assert df.rdd.getNumPartitions() > 4
+        assert {r["key"]: (r["name"], r["n"]) for r in df.collect()} == {k: (v["name"], v["n"]) for k, v in entries.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for text, found in (("{}", 0), ('{"a": {"n": 1}, "b": {"n": 2}}', 2), ('{\n  "a": {\n    "n": 1\n  }\n}\n', 1)):
+        path.write_text(text)
+        assert tables.json_map(spark, str(path), "n: int").count() == found
+
+
+def test_maps_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(i, f'n "{i}"\n', i / 3) for i in range(50)], "id int, name string, x double").repartition(3)
+    tables.write_json_map(df, str(tmp_path / "maps"), "id")
+    back = tables.json_map(spark, str(tmp_path / "maps"), "name: string, x: double", "id")
+    assert sorted((int(r["id"]), r["name"], r["x"]) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
