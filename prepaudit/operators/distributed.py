@@ -27,6 +27,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ROWS_PER_SLICE = 65_536
 ACCURACY = 10_000
 BRACKET = 3 / ACCURACY
+DIGITS_AT_ONCE = 3
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -279,20 +280,30 @@ def hash_cutoffs(df: DataFrame, key: str, by: Sequence[str], seed, **ranks: Colu
     digits = 1
     while largest > ROWS_PER_SLICE * 16 ** digits / 16:  # more digits for larger groups: a slice stays small
         digits += 1
+    wanted = F.inline(stacked(*[{"__name": name, "__rank": r.cast("bigint")} for name, r in ranks.items()]))
+    # A few digits at a time: cells are cumulated only where a wanted rank lies, at most 16 ** DIGITS_AT_ONCE of one group or cell in a task.
+    held, known = None, 0
+    while known < digits:
+        width = min(digits, known + DIGITS_AT_ONCE)
+        rows = keyed.withColumn("__parent", F.substring("__hash", 1, known) if known else F.lit(""))
+        if held is not None:
+            rows = attach(rows, held.select(*by, "__parent").distinct(), [*by, "__parent"])
+        sizes = rows.groupBy(*by, "__parent", F.substring("__hash", 1, width).alias("__prefix")).agg(F.count("*").alias("__size"))
+        whole = Window.partitionBy(*by, "__parent")
+        upto = whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
+        cells = sizes.withColumns({"n": F.sum("__size").over(whole), "__upto": F.sum("__size").over(upto)})
+        if held is None:
+            asked = cells.select(*by, "__prefix", "__size", "__upto", wanted)
+        else:
+            asked = attach(cells, held.groupBy(*by, "__parent").agg(F.collect_list(F.struct("__name", "__rank")).alias("__asked")), [*by, "__parent"]).select(
+                *by, "__prefix", "__size", "__upto", F.inline("__asked"))
+        local = F.col("__rank") - (F.col("__upto") - F.col("__size"))
+        held = settle(asked.withColumn("__local", local).filter(F.col("__local").between(1, F.col("__size"))).select(
+            *by, F.col("__prefix").alias("__parent"), F.col("__local").alias("__rank"), "__name"))
+        known = width
+    targets = held.groupBy(*by, F.col("__parent").alias("__prefix")).agg(
+        F.collect_list(F.struct(F.col("__rank").alias("__local"), "__name")).alias("__wanted"))
     keyed = keyed.withColumn("__prefix", F.substring("__hash", 1, digits))
-    sizes = keyed.groupBy(*by, "__prefix").agg(F.count("*").alias("__size"))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = stacked(*[{"__name": name, "__rank": r.cast("bigint")} for name, r in ranks.items()])
-    targets = (
-        sizes.withColumns({"n": F.sum("__size").over(whole), "__upto": F.sum("__size").over(upto)})
-        .select(*by, "__prefix", "__size", "__upto", F.inline(wanted))
-        .withColumn("__local", F.col("__rank") - (F.col("__upto") - F.col("__size")))
-        .filter(F.col("__local").between(1, F.col("__size")))
-        .select(*by, "__prefix", F.struct("__local", "__name").alias("__wanted"))
-        .groupBy(*by, "__prefix")
-        .agg(F.collect_list("__wanted").alias("__wanted"))
-    )
     near = attach(keyed, targets, [*by, "__prefix"])
     rank = F.row_number().over(Window.partitionBy(*by, "__prefix").orderBy("__hash", "__key"))
     hits = near.withColumn("__at", rank).select(*by, "__hash", "__key", "__at", F.inline("__wanted"))

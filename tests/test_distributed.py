@@ -97,6 +97,19 @@ def test_hash_cutoffs_find_the_row_at_a_rank(hot):
         assert r["k"] == r["n"] // 2 and r["z"] == 0
 
 
+def test_cutoffs_refined_level_by_level(spark, monkeypatch):
+    """Many digits, one at a time, find the rows that one look at all of them would."""
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "a").otherwise(F.when(F.col("id") % 2 > 0, "b")).alias("g"))
+    asked = {"first": F.lit(1), "half": F.floor(F.col("n") / 2), "last": F.col("n"), "beyond": F.col("n") + 1}
+
+    def cuts():
+        return sorted(map(str, d.hash_cutoffs(df, "id", ["g"], 7, **asked).collect()))
+    plain = cuts()
+    monkeypatch.setattr(d, "ROWS_PER_SLICE", 1)
+    monkeypatch.setattr(d, "DIGITS_AT_ONCE", 1)
+    assert cuts() == plain and len(plain) == 3
+
+
 def test_repeat_rows_cuts_long_runs(spark):
     df = spark.createDataFrame([(1, 0), (2, 3), (3, 25)], "id long, t long")
     got = d.repeat_rows(df, "t", "copy", keys=["id"], run=10).collect()
