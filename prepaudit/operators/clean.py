@@ -109,7 +109,9 @@ def indicator(column: Column, value) -> Column:
 
 
 def map_values(column: Column, mapping: Mapping) -> Column:
-    """Look a value up; an unmapped one becomes null."""
+    """Look a value up; an unmapped one becomes null, so that an empty mapping gives nulls only."""
+    if not mapping:
+        return F.lit(None)
     (first_key, first_value), *rest = mapping.items()
     found = F.when(column == F.lit(first_key), F.lit(first_value))
     for key, value in rest:

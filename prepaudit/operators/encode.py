@@ -33,12 +33,34 @@ def ordinal_encode(df: DataFrame, column: str, codes: DataFrame, output: str, un
     return attach(df, codes, column, "left").withColumn(output, code).drop("code" if output != "code" else "")
 
 
-def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values, for encoders that make each of them a column.
+#: A category column with more values than this is not spread over columns.
+WIDEST = 4096
 
-    As many as a table has columns. Where categories grow with the rows, ``one_hot_sparse`` keeps them in a table.
+
+def category_lists(df: DataFrame, columns: Sequence[str], widest: int | None = None) -> dict[str, list | None]:
+    """Sorted distinct values of every column, None for one that has more than ``widest``; from two jobs for any number of columns.
+
+    Values are collected only where a sketch finds few, so the driver never holds more than a table has columns.
+    """
+    widest = WIDEST if widest is None else widest
+    if not columns:
+        return {}
+    told = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    few = [c for i, c in enumerate(columns) if told[f"n{i}"] <= 1.2 * widest]
+    found = df.agg(*[F.collect_set(c).alias(f"v{i}") for i, c in enumerate(few)]).first() if few else []
+    lists = {c: sorted(values) for c, values in zip(few, found)}
+    return {c: lists[c] if c in lists and len(lists[c]) <= widest else None for c in columns}
+
+
+def categories(df: DataFrame, column: str, widest: int | None = None) -> list:
+    """Sorted distinct values, for encoders that make each of them a column; an error where they are more than ``widest``.
+
+    Where categories grow with the rows, ``one_hot_sparse`` keeps them in a table.
     """
-    return sorted(r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().collect())
+    found = category_lists(df, [column], widest)[column]
+    if found is None:
+        raise ValueError(f"{column} has more than {WIDEST if widest is None else widest} values: encode it by one_hot_sparse")
+    return found
 
 
 def one_hot_sparse(df: DataFrame, column: str, codes: DataFrame, output: str) -> DataFrame:
@@ -64,8 +86,11 @@ def one_hot(df: DataFrame, column: str, values: Sequence, drop_first: bool = Fal
 
 def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = False) -> DataFrame:
     """Indicators from the categories that this frame itself holds."""
+    found = category_lists(df, columns)
     for c in columns:
-        df = one_hot(df, c, categories(df, c), drop_first)
+        if found[c] is None:
+            raise ValueError(f"{c} has more than {WIDEST} values: encode it by one_hot_sparse")
+        df = one_hot(df, c, found[c], drop_first)
     return df
 
 
@@ -111,20 +136,28 @@ class Features:
     drop_first: bool = False
     remainder: str = "drop"
     keep: Sequence[str] = field(default_factory=list)
+    widest: int = WIDEST
 
 
 def featurise(df: DataFrame, spec: Features, train: Column | None = None) -> DataFrame:
-    """Impute, scale and encode by column group, everything fitted on the train rows only."""
+    """Impute, scale and encode by column group, everything fitted on the train rows only.
+
+    A category column with more than ``widest`` values becomes one column, ``<column>__place``: the place of the row's 1 among
+    the sorted values, null for an unknown one.
+    """
     fills: Mapping = {**{c: spec.fill_numeric for c in spec.numeric},
                       **{c: spec.fill_categorical for c in spec.categorical}}
     filled = impute(df, fills, train)
     scaled = scale(filled, spec.numeric, spec.scaler, train) if spec.scaler else filled
     known = scaled if train is None else scaled.filter(train)
     out = scaled
-    made = []
+    made, lists = [], category_lists(known, spec.categorical, spec.widest)
     for c in spec.categorical:
         before = set(out.columns)
-        out = one_hot(out, c, categories(known, c), spec.drop_first)
+        if lists[c] is None:
+            out = one_hot_sparse(out, c, label_codes(known, c), f"{c}__place").drop(c)
+        else:
+            out = one_hot(out, c, lists[c], spec.drop_first)
         made += [x for x in out.columns if x not in before]
     if spec.remainder == "passthrough":
         return out

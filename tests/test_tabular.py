@@ -190,3 +190,18 @@ def test_the_regression_query_iterates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tabular.impute, "impute_regression", lambda df, columns, **options: given.update(options) or df)
     tabular.impute_regression(spark, str(tmp_path))
     assert given.get("rounds", inspect.signature(original).parameters["rounds"].default) >= 2
+
+
+def test_wide_categories_stay_one_column(spark):
+    df = spark.createDataFrame([(i, f"v{i % 9}", "a" if i % 2 else "b", i < 30) for i in range(40)], "id int, wide string, small string, known boolean")
+    spec = encode.Features(numeric=[], categorical=["wide", "small"], scaler=None, keep=["id"], widest=5)
+    out = encode.featurise(df, spec, F.col("known"))
+    assert out.columns == ["id", "wide__place", "small_a", "small_b"]
+    assert {r["wide__place"] for r in out.collect()} == set(range(9))
+    assert encode.category_lists(df, ["wide", "small"], 5) == {"wide": None, "small": ["a", "b"]}
+    with pytest.raises(ValueError, match="more than 5"):
+        encode.categories(df, "wide", 5)
+
+
+def test_empty_mapping_gives_nulls(spark):
+    assert spark.range(2).select(clean.map_values(F.col("id"), {}).alias("x")).filter("x IS NOT NULL").count() == 0
