@@ -57,7 +57,7 @@ def test_members_of_one_group_that_do_not_all_link(texts):
 def test_many_near_copies_list_few_pairs(texts, monkeypatch):
     """A thousand near copies of one text cost a few pairs each, not all pairs."""
     draw, listed, verify = random.Random(5), [], jaccard.verify
-    monkeypatch.setattr(jaccard, "verify", lambda pairs, *rest: listed.append(pairs.count()) or verify(pairs, *rest))
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, **rest: listed.append(pairs.count()) or verify(pairs, **rest))
     base, rows = [f"w{j}" for j in range(200)], {}
     for i in range(1000):
         copy = list(base)
