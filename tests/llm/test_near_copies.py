@@ -54,32 +54,6 @@ def test_members_of_one_group_that_do_not_all_link(texts):
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
-def test_many_near_copies_list_few_pairs(texts, monkeypatch):
-    """A thousand near copies of one text cost a few pairs each, not all pairs."""
-    draw, listed, verify = random.Random(5), [], jaccard.verify
-    monkeypatch.setattr(jaccard, "verify", lambda pairs, **rest: listed.append(pairs.count()) or verify(pairs, **rest))
-    base, rows = [f"w{j}" for j in range(200)], {}
-    for i in range(1000):
-        copy = list(base)
-        for _ in range(draw.randrange(3)):
-            copy[draw.randrange(200)] = f"own{i}"
-        rows[i] = " ".join(copy)
-    found = jaccard.near_copies(texts(rows), width=3, least=Fraction(9, 10)).collect()
-    assert {r.component_id for r in found} == {0} and len(found) == 1000
-    assert sum(listed) < 10_000
-
-
-def test_neighbours_of_a_shingle_in_many_slices(spark):
-    """A shingle that most postings share is cut into slices; each posting meets the one before it, and single ones are left out."""
-    rows = [(7 if i % 10 else i, 9 + i % 2, 0, i * 7919 % 1009) for i in range(1, 1000)]
-    df = spark.createDataFrame([(*r, r[3], r[3]) for r in rows], "value bigint, n bigint, at int, id bigint, c bigint, g bigint")
-    best, shared = jaccard.neighbours(df, Fraction(8, 10))
-    hot = sorted((n, i) for value, n, _, i in rows if value == 7)
-    assert {(r.a, r.b) for r in best.collect()} == {(x[1], y[1]) for x, y in zip(hot, hot[1:])}
-    kept = [r.value for r in shared.collect()]
-    assert kept.count(7) == len(hot) and len(kept) - len(hot) <= 32
-
-
 def test_repeated_and_missing_ids(texts):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(5, long), (5, long), (None, long), (7, long + " end"), (9, "own words here")]
