@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from prepaudit.llm.kernel import binaries, lists, mix, ordered, row_numbers, row_sets, shingles, texts_to_words
 from prepaudit.llm.shared import broadcast_if_small, components, read, register, store
 
-SAMPLE_SHARE = 8
 COMMON_SHINGLES = 1 << 20
 BINS_PER_OCTAVE = 8
+#: Shingles are counted by their first bits, in slices of bins.
+COUNT_BITS, SLICE_BITS = 24, 14
+#: A bin met less often than this is not common.
+LEAST_COMMON = 16
 PAIRS_AT_A_TIME = 500
 
 
@@ -45,11 +48,6 @@ def levels(values: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nda
     return np.where(common[at] == values, step[at], 0)
 
 
-def rarest_first(values: np.ndarray, bounds: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rows' values in the order (level of the count, hash)."""
-    return values[ordered(values, row_numbers(bounds), levels(values, common, counts))]
-
-
 def first_of(values: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first ``kept`` values of each row, and their bounds."""
     out = np.concatenate([[0], np.cumsum(kept)])
@@ -59,13 +57,14 @@ def first_of(values: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> tuple[
 def _sets(width: int, least: Fraction, shared):
     """Map texts to shingle sets: size, 128-bit digest, and the prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
+        steps = shared.value
         for batch in batches:
             for first, end, words, word_bounds in texts_to_words(batch.column(1)):
                 values, bounds = row_sets(*shingles(words, word_bounds, width))
                 n = np.diff(bounds)
                 halves = digests(values, bounds)
-                prefix = first_of(rarest_first(values, bounds, common, counts), bounds,
+                step = steps[values >> np.uint64(64 - COUNT_BITS)].astype(np.int64)
+                prefix = first_of(values[ordered(values, row_numbers(bounds), step)], bounds,
                                   np.where(n > 0, prefix_size(n, least), 0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), *map(pa.array, halves),
@@ -74,14 +73,27 @@ def _sets(width: int, least: Fraction, shared):
 
 
 def _count(width: int):
+    """Occurrences of shingles by bin, a row per slice of bins that a task met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((1 << (COUNT_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint32)
         for batch in batches:
             for _, _, words, bounds in texts_to_words(batch.column(0)):
-                found, n = np.unique(row_sets(*shingles(words, bounds, width))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["shingle", "n"])
+                values = row_sets(*shingles(words, bounds, width))[0]
+                np.add.at(counts.reshape(-1), values >> np.uint64(64 - COUNT_BITS), np.uint32(1))
+        for i in np.flatnonzero(counts.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts[i].tobytes()], pa.binary())], ["slice", "counts"])
     return run
 
 
+def _steps(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A slice's counts over all tasks, as steps."""
+    total = np.zeros(1 << SLICE_BITS, np.uint64)
+    for raw in table.column("counts"):
+        total += np.frombuffer(raw.as_buffer(), np.uint32)
+    step = np.minimum(255, np.log2(np.maximum(total, 1)) * BINS_PER_OCTAVE).astype(np.uint8)
+    return pa.table({"slice": table.column("slice").slice(0, 1), "steps": pa.array([step.tobytes()], pa.binary())})
+
+
 def _packed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +151,20 @@ def common_values(counted: DataFrame, value: str, most: int) -> tuple[np.ndarray
     return values[order], n[order]
 
 
-def common_shingles(docs: DataFrame, width: int, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of every ``share``-th text, ``(id, text)``."""
-    some = docs.filter(F.pmod(F.xxhash64(F.lit("shingles"), "id"), F.lit(share)) == 0)
-    counted = some.select("text").mapInArrow(_count(width), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return common_values(store(counted.filter("n > 1")), "shingle", most)
+def common_shingles(docs: DataFrame, width: int, most: int) -> np.ndarray:
+    """For every bin of shingles the step of its count over all texts, ``(id, text)``; 0 where it is not common.
+
+    At most ``most`` bins are common. A task holds and sends one counter per bin, and a byte per bin reaches the driver, however many texts there are.
+    """
+    steps = np.zeros((1 << (COUNT_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
+    found = docs.select("text").mapInArrow(_count(width), "slice int, counts binary").groupBy("slice").applyInArrow(_steps, "slice int, steps binary")
+    for row in found.collect():
+        steps[row["slice"]] = np.frombuffer(row["steps"], np.uint8)
+    steps = steps.reshape(-1)
+    at_least = np.cumsum(np.bincount(steps, minlength=256)[::-1])[::-1]  # bins at this step or above
+    cut = max(int(np.log2(LEAST_COMMON) * BINS_PER_OCTAVE), int(np.count_nonzero(at_least > most)))
+    steps[steps < cut] = 0
+    return steps
 
 
 def candidate_groups(groups: DataFrame, least: Fraction) -> DataFrame:
@@ -161,16 +182,16 @@ def candidate_groups(groups: DataFrame, least: Fraction) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
-                least: Fraction = Fraction(8, 10), share: int = SAMPLE_SHARE, most: int = COMMON_SHINGLES) -> DataFrame:
+                least: Fraction = Fraction(8, 10), share: int = 1, most: int = COMMON_SHINGLES) -> DataFrame:
     """``(<key>, n_shingles, component_id)``, one row per input row.
 
     Words are runs of anything but ASCII white space with A-Z in lower case; a text's set holds its distinct
     runs of ``width`` words, and a shorter text's whole sequence. Two texts link if the Jaccard similarity of
     their sets is at least ``least``; the component is the least id reached over links.
 
-    Shingles have one order, (step of the count, hash), rare ones first. Any one order makes the prefix filter exact, so the counts may
-    come from every ``share``-th text and keep only the ``most`` most frequent shingles: that bounds what the tasks
-    are given and costs no link. Equal sets are one set from the start. Sets of equal size and equal prefix then form a group; groups
+    Shingles have one order, (step of the count, hash), rare ones first. All texts are counted (``share`` admits no other value than 1), by the
+    first bits of a shingle's hash, and the ``most`` most frequent bins are told apart: that bounds what the tasks are given, and as any one order makes
+    the prefix filter exact, it costs no link. Equal sets are one set from the start. Sets of equal size and equal prefix then form a group; groups
     that share a prefix shingle and pass the length and positional filters are expanded, and member pairs
     are verified on their whole sets.
 
@@ -178,8 +199,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows that repeat an id are one document, linked through each of its texts. An empty table gives an
     empty table; other columns are ignored, whatever their names.
     """
+    if share != 1:
+        raise ValueError("all texts are counted")
     body = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(body, width, share, most))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(body, width, most))
     sets = store(body.mapInArrow(_sets(width, least, shared),
                                  _typed(body, "id", "id KEY, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")))
     some = sets.filter((F.col("n") > 0) & F.col("id").isNotNull())

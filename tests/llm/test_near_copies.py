@@ -148,3 +148,12 @@ def test_lines_are_taken_out(texts):
     out = {r.doc_id: r.text for r in lines.without_lines(df, gone).collect()}
     assert out == {1: "a b c\nown line here", 2: "x\ny\n", 3: None}
     assert lines.later_lines(texts([])).count() == 0
+
+
+def test_shingles_of_all_texts_are_counted(spark, texts):
+    """The order of shingles follows their counts over every text, not over some of them."""
+    rows = {i: f"a b c w{i} x{i}" for i in range(500)}
+    steps = jaccard.common_shingles(texts(rows).selectExpr("doc_id AS id", "text"), 3, jaccard.COMMON_SHINGLES)
+    assert np.flatnonzero(steps).size == 1 and steps.max() == int(np.log2(500) * jaccard.BINS_PER_OCTAVE)
+    with pytest.raises(ValueError):
+        jaccard.near_copies(texts(rows), share=8)
