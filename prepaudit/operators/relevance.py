@@ -76,16 +76,17 @@ def permutation_importance(df: DataFrame, key: str, label: str, features: Sequen
 
     In each repeat the rows form one ring in digest order, and each row takes the feature of the next one. The rows are cut
     into sorted slices; the last row of a slice takes the first values of the next slice, of which there are as many
-    as slices. All features and repeats share one shuffle.
+    as slices. All features and repeats share one shuffle, in which a row is its digest in 16 bytes, its label and its features.
     """
     runs = settle(
         df.select(key, label, *features, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("__run"))
-        .withColumn("__h", digest(seed, key, "__run"))
-        .repartitionByRange("__run", "__h", key)
+        .withColumn("__h", F.unhex(digest(seed, key, "__run")))
+        .select("__run", "__h", *dict.fromkeys([label, *features]))
+        .repartitionByRange("__run", "__h")
         .withColumn("__slice", F.spark_partition_id()))
     values = F.struct(*[F.col(c) for c in features])
-    ring = Window.partitionBy("__slice", "__run").orderBy("__h", key)
-    firsts = runs.groupBy("__run", "__slice").agg(F.min_by(values, F.struct("__h", key)).alias("__first"))
+    ring = Window.partitionBy("__slice", "__run").orderBy("__h")
+    firsts = runs.groupBy("__run", "__slice").agg(F.min_by(values, "__h").alias("__first"))
     around = Window.partitionBy("__run").orderBy("__slice")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = firsts.select(F.col("__run").alias("__of"), F.col("__slice").alias("__at"), F.coalesce(

@@ -237,3 +237,13 @@ def test_forests_fit_both_kinds(people):
         stages = [train.assembler(["x"]), train.forest(label, trees=5, depth=5, regression=regression)]
         predicted = train.fit_predict(stages, df, on).filter(~on)
         assert metrics.regression_metrics(predicted, label, "prediction").first()["r2"] > 0.9
+
+
+def test_permutation_moves_short_rows(spark, monkeypatch):
+    """What is sorted and written per repeat holds the digest's 16 bytes and the features; the key stays behind."""
+    kept, settle = [], relevance.settle
+    monkeypatch.setattr(relevance, "settle", lambda df: kept.append(dict(df.dtypes)) or settle(df))
+    df = spark.range(200).selectExpr("concat('a long key ', id) AS k", "cast(id % 2 AS double) AS y", "cast(id % 2 AS double) AS x")
+    found = relevance.permutation_importance(df, "k", "y", ["x"], lambda given: given["x"], 3, 1).first()
+    assert 0.3 < found["importance"] < 0.7
+    assert kept == [{"__run": "int", "__h": "binary", "y": "double", "x": "double", "__slice": "int"}]
