@@ -16,6 +16,8 @@ from prepaudit.operators.distributed import attach, scalars, settle
 from prepaudit.sources.tables import parquet
 
 SEED = 42
+#: Script pairs of a task: reading a script costs far more than its row in a scan.
+SCRIPTS_AT_ONCE = 1 << 16
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -23,10 +25,14 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def wide_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """For work that multiplies rows or parses text: one small file, whose scan is fewer tasks than cores, is dealt out to them."""
+def wide_table(spark: SparkSession, folder: str, name: str, *columns: str, most_rows: int | None = None) -> DataFrame:
+    """For work that multiplies rows or parses text: one small file, whose scan is fewer tasks than cores, is dealt out to them.
+
+    With ``most_rows``, so is a table whose scan has fewer tasks than it takes for each to have about that many rows.
+    """
     df, cores = table(spark, folder, name, *columns), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+    wanted = max(min(cores, 64), -(-df.count() // most_rows) if most_rows else 0)
+    return df.repartition(max(cores, wanted)) if df.rdd.getNumPartitions() < wanted else df
 
 
 def digest_sql(key: str, seed=SEED) -> str:
@@ -147,7 +153,7 @@ SCRIPTS_SQL = f'scripts AS (SELECT o_orderkey AS "case", {LEFT_SCRIPT} AS "left"
 
 
 def script_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    orders = wide_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = wide_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", most_rows=SCRIPTS_AT_ONCE)
     return orders.select(F.col("o_orderkey").alias("case"), F.expr(LEFT_SCRIPT).alias("left"),
                          F.expr(RIGHT_SCRIPT).alias("right"))
 

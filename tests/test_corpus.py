@@ -220,3 +220,13 @@ def test_attempts_are_numbered_and_capped(spark):
     got = {r["case"]: (r["succeeded_at"], r["tried"]) for r in
            runs.attempts_to_success(events, "case", ["at"], F.col("ok")).collect()}
     assert got == {"a": (3, 4), "b": (None, 5)}
+
+
+def test_script_pairs_are_dealt_out_by_rows(spark, tmp_path, monkeypatch):
+    """One row group is one task of a scan; reading its scripts is dealt out to as many tasks as its rows need."""
+    from prepaudit.plans import inputs
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority").coalesce(1).write.parquet(
+        str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(inputs, "SCRIPTS_AT_ONCE", 20)
+    sizes = [len(x) for x in inputs.script_pairs(spark, str(tmp_path)).select("case").rdd.glom().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 50 and max(sizes) <= 40
