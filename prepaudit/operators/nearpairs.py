@@ -2,7 +2,8 @@
 
 Equal texts are one. A text's n-grams, repeats told apart by their number, are hashed into ``bands * rows`` bins of which each keeps its least hash; texts
 that agree in all bins of a band meet in that band's bucket. No bucket is listed as pairs: its members are compared with its least one; those that
-match it have found their class there, the others go on among themselves until a bucket has no two left.
+match it have found their class there, the others go on among themselves until a bucket has no two left. What is left of a bucket in its
+last rounds is few: all pairs of those are compared at once and a task takes the turns, so the number of jobs does not follow the members.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from prepaudit.operators.forest import mixed
 
 GRAM = 5
 BANDS, ROWS = 32, 6
+#: A bucket of no more members is finished at once.
+SMALL_BUCKET = 32
 
 
 def elements(text: str, n: int) -> np.ndarray:
@@ -62,6 +65,21 @@ def _buckets(n: int, bands: int, rows: int):
     return run
 
 
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of buckets from their matching pairs, ``(leader, rep)`` in order: the least one left leads, and those that match it leave with it."""
+    for batch in batches:
+        links = []
+        for pairs in batch.column(0).to_pylist():
+            gone = set()
+            for pair in pairs:
+                if pair["leader"] not in gone and pair["rep"] not in gone:
+                    links.append((pair["rep"], pair["leader"]))
+                    # a leader's own pairs come in a row, so leaving at once takes nothing from it
+                    gone.add(pair["rep"])
+        kind = batch.schema.field(0).type.value_type.field("rep").type
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], kind) for i in (0, 1)], ["rep", "leader"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, least)``: the least id that each end of the links ``a``, ``b`` reaches.
 
@@ -100,17 +118,28 @@ def near_classes(df: DataFrame, key: str, text: str, least: float = 0.8, n: int
 
     def side(name: str) -> DataFrame:
         return texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        scored = pairs.distinct().join(side("rep"), "rep").join(side("leader"), "leader").select(
+            "rep", "leader", multiset.dice_of_grams(F.col("rep_text"), F.col("leader_text"), n).alias("dice"))
+        return settle(scored.filter(F.col("dice") >= least).select("rep", "leader"))
+
+    def with_links(matched: DataFrame) -> DataFrame:
+        return matched if links is None else links.unionByName(matched)
     while True:
-        leaders = open_.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1").drop("size")
-        met = settle(open_.join(leaders, "bucket").filter("rep != leader"))
-        if met.isEmpty():
+        leaders = open_.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+        met = settle(open_.join(leaders, "bucket"))
+        few, many = met.filter(F.col("size") <= SMALL_BUCKET).select("rep", "bucket"), met.filter((F.col("size") > SMALL_BUCKET) & (F.col("rep") != F.col("leader")))
+        if not few.isEmpty():
+            every = settle(few.join(few.select("bucket", F.col("rep").alias("leader")), "bucket").filter("leader < rep"))
+            found = every.join(matching(every.select("rep", "leader")), ["rep", "leader"]).groupBy("bucket").agg(
+                F.sort_array(F.collect_list(F.struct("leader", "rep"))).alias("pairs"))
+            links = with_links(settle(found.select("pairs").mapInArrow(_turns, f"rep {kind}, leader {kind}").distinct()))
+        if many.isEmpty():
             break
-        pairs = met.select("rep", "leader").distinct()
-        scored = pairs.join(side("rep"), "rep").join(side("leader"), "leader").select(
-            "rep", "leader", multiset.dice_of_grams(F.col("rep_text"), F.col("leader_text"), n).alias("dice"))
-        matched = settle(scored.filter(F.col("dice") >= least).select("rep", "leader"))
-        links = matched if links is None else links.unionByName(matched)
-        open_ = settle(met.join(matched, ["rep", "leader"], "left_anti").select("rep", "bucket"))
+        matched = matching(many.select("rep", "leader"))
+        links = with_links(matched)
+        open_ = settle(many.join(matched, ["rep", "leader"], "left_anti").select("rep", "bucket"))
     if links is None:
         links = member.select(F.col("rep"), F.col("rep").alias("leader")).limit(0)
     classes = components(links.select(F.col("rep").alias("a"), F.col("leader").alias("b")))

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from prepaudit.operators import nearpairs
 from prepaudit.operators.nearpairs import components, elements, near_classes, signature
 
 
@@ -88,3 +89,26 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i + 1, i) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(200, 200)]
     found = {r["id"]: r["least"] for r in components(spark.createDataFrame(links, "a int, b int")).collect()}
     assert found == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, 200: 200}
+
+
+def test_small_buckets_take_their_turns_at_once(spark, monkeypatch):
+    """The same links and classes as one leader a round, from a number of rounds that does not follow the members of a small bucket."""
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(120)) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        letters = list(base[i % 6])
+        for _ in range(rnd.randrange(12)):
+            letters[rnd.randrange(120)] = rnd.choice("abcdefgh")
+        rows.append((i, "".join(letters)))
+    df, rounds, settle = spark.createDataFrame(rows, "id long, text string"), [], nearpairs.settle
+    found = {}
+    for small in (1, nearpairs.SMALL_BUCKET):
+        kept = []
+        monkeypatch.setattr(nearpairs, "SMALL_BUCKET", small)
+        monkeypatch.setattr(nearpairs, "settle", lambda x: kept.append(x.columns) or settle(x))
+        # coarse bands, so that texts that are not alike meet
+        found[small] = sorted(map(tuple, nearpairs.near_classes(df, "id", "text", bands=4, rows=1).collect()))
+        rounds.append(sum(c == ["bucket", "rep", "leader", "size"] for c in kept))
+    assert found[1] == found[32] and len(found[1]) > 40
+    assert rounds[1] < rounds[0]
