@@ -196,7 +196,7 @@ def test_scoring_of_nothing(texts):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries()) == list(range(1, 14))
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
