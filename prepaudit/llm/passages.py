@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prepaudit.llm.decontaminate import best_segment
-from prepaudit.llm.kernel import binaries, row_numbers, shingles, texts_to_words
+from prepaudit.llm.kernel import binaries, mix, row_numbers, shingles, texts_to_words
 from prepaudit.llm.shared import broadcast_if_small, read, register, store
 
 KMER = 6
@@ -22,6 +23,9 @@ LEAST_MATCH = 20
 LEAST_WORDS = 45
 REACH = 32
 BRIDGE = 3
+MOST_MEET = 32
+HOT_BITS = 25
+GRAM = 20
 
 
 def minimizers(hashes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
@@ -73,7 +77,54 @@ def _seeds(kmer: int, window: int):
     return run
 
 
-def linked(seeds: DataFrame) -> DataFrame:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by seed those whose seed comes again, and those with the first and the last seed."""
+    first, ahead, open_row = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if open_row is None else [open_row, batch]).combine_chunks().to_batches()[0]
+        seed = rows.column(0).to_numpy()
+        first = seed[0] if first is None else first
+        again = np.append(False, seed[1:] == seed[:-1])
+        again[0] = seed[0] == ahead if ahead is not None else False
+        kept = (again | np.append(again[1:], False) | (seed == first))[:-1]
+        ahead = seed[-2] if len(seed) > 1 else ahead
+        open_row = rows.slice(len(seed) - 1)
+        yield rows.slice(0, len(seed) - 1).filter(pa.array(kept))
+    if open_row is not None:
+        yield open_row
+
+
+def _point(x, y):
+    return F.struct(x.alias("at"), y.alias("other_at"))
+
+
+def _crossed(at: Column, more: Column, other_at: Column, other_more: Column) -> Column:
+    """Points of two texts with a seed: all places of one meet the other's first one and the other way round, and both in their order."""
+    return F.concat(F.transform(F.concat(F.array(at), more), lambda m: _point(m, other_at)),
+                    F.transform(other_more, lambda o: _point(at, o)),
+                    F.transform(F.slice(more, 1, F.least(F.size(more), F.size(other_more))), lambda m, i: _point(m, F.get(other_more, i))))
+
+
+def linked(seeds: DataFrame, most: int = MOST_MEET) -> tuple[DataFrame, DataFrame]:
+    """``(id, other, points)`` of texts that share a seed, and the seeds that more than ``most`` texts hold.
+
+    All texts with a seed meet each other if they are ``most`` at the utmost, so rows grow with the texts. With a more frequent seed they
+    meet two each (``linked_in_line``); ``linked_by_grams`` finds the equal passages of the others.
+    """
+    shared = store(seeds.repartition("seed").sortWithinPartitions("seed", "id", "at").mapInArrow(_shared, seeds.schema))
+    hot = store(shared.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("seed"))
+    few = broadcast_if_small(hot)
+    held = (shared.join(few, "seed", "left_anti").groupBy("seed").agg(F.collect_list(F.struct("id", "at", "more")).alias("held"))
+            .filter(F.size("held") > 1).select(F.sort_array("held").alias("held")))
+    each = held.select("held", F.posexplode("held").alias("i", "x")).select("x", F.explode(F.slice("held", F.lit(1), F.col("i"))).alias("y"))
+    met = each.filter("x.id != y.id").select("x.id", F.col("y.id").alias("other"), _crossed(
+        F.col("x.at"), F.col("x.more"), F.col("y.at"), F.col("y.more")).alias("points"))
+    return met.unionByName(linked_in_line(shared.join(few, "seed", "left_semi"))), hot
+
+
+def linked_in_line(seeds: DataFrame) -> DataFrame:
     """``(id, other, points)``: each text's places of a seed against those of the first text and of the text before it with that seed.
 
     Sorted slices ignore where a seed ends, so one that very many texts hold spreads over many tasks; what is carried over is
@@ -93,19 +144,79 @@ def linked(seeds: DataFrame) -> DataFrame:
     met = local.join(F.broadcast(carried), (F.col("slice") == F.col("of")) & (F.col("seed") == F.col("of_seed")), "left").select(
         "id", "at", "more", F.coalesce("before", "tail").alias("before"), F.coalesce("head", "leader").alias("leader"))
 
-    def point(x, y):
-        return F.struct(x.alias("at"), y.alias("other_at"))
-    mine = F.concat(F.array("at"), "more")
-    to_first = F.transform(mine, lambda m: point(m, F.col("leader.at")))
-    crossed = F.concat(F.transform(mine, lambda m: point(m, F.col("before.at"))),
-                       F.transform(F.col("before.more"), lambda o: point(F.col("at"), o)),
-                       F.transform(F.slice("more", 1, F.least(F.size("more"), F.size("before.more"))),
-                                   lambda m, i: point(m, F.get(F.col("before.more"), i))))
+    to_first = F.transform(F.concat(F.array("at"), "more"), lambda m: _point(m, F.col("leader.at")))
+    crossed = _crossed(F.col("at"), F.col("more"), F.col("before.at"), F.col("before.more"))
     both = F.array(F.struct(F.col("before.id").alias("other"), crossed.alias("points")),
                    F.struct(F.col("leader.id").alias("other"), F.when(F.col("leader.id") != F.col("before.id"), to_first).alias("points")))
     return met.filter("before IS NOT NULL").select("id", F.inline(both)).filter("points IS NOT NULL AND id != other")
 
 
+def seed_bits(seeds: DataFrame) -> np.ndarray:
+    """A flag for each value of the first ``HOT_BITS`` bits of seeds: 4 MB, however many seeds there are."""
+    bit = F.shiftrightunsigned("seed", 64 - HOT_BITS)
+    rows = seeds.groupBy(F.bitmap_bucket_number(bit + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits")).collect()
+    flags = np.zeros(1 << HOT_BITS >> 3, np.uint8)
+    for row in rows:
+        at = (row.bucket - 1) * len(row.bits)
+        flags[at:at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return flags
+
+
+def _grams(kmer: int, window: int, flags: Broadcast):
+    """``(key, id, at, size)``: the runs of ``GRAM`` words that begin or end with a flagged seed, and longer ones short of the next such run."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, words, word_bounds in texts_to_words(batch.column(1)):
+                hashes, bounds = shingles(words, word_bounds, kmer)
+                at = minimizers(hashes, bounds, window)
+                bit = (hashes[at] >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+                at = at[(flags.value[bit >> 3] >> (bit & 7) & 1) > 0]
+                row = row_numbers(bounds)[at]
+                place = at - bounds[row]
+                step = np.where(row[1:] == row[:-1], np.diff(place), 2 * window)
+                ahead, behind = (np.minimum(x, 2 * window) for x in (np.append(step, 2 * window), np.append(2 * window, step)))
+                powers = np.cumprod(np.append(np.uint64(1), np.full(len(words), base)), dtype=np.uint64)
+                sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1], dtype=np.uint64))
+                back = np.cumprod(np.append(np.uint64(1), np.full(len(words), inverse)), dtype=np.uint64)
+                n = np.diff(word_bounds)
+                for more in range(2 * window if len(at) else 0):
+                    size, right, left = GRAM + more, ahead > more, behind > more
+                    begin = np.concatenate([place[right], place[left] + kmer - size])
+                    rows = np.concatenate([row[right], row[left]])
+                    inside = (begin >= 0) & (begin + size <= n[rows])
+                    low = np.unique(word_bounds[rows[inside]] + begin[inside])
+                    of = row_numbers(word_bounds)[low]
+                    keys = mix((sums[low + size] - sums[low]) * back[low] + np.uint64(size))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(first + of)),
+                         pa.array((low - word_bounds[of]).astype(np.int32)), pa.array(np.full(len(low), size, np.int32))],
+                        ["key", "id", "at", "size"])
+    return run
+
+
+def linked_by_grams(given: DataFrame, hot: DataFrame, kmer: int = KMER, window: int = WINDOW) -> DataFrame:
+    """``(id, other, points)``: texts that share a run of ``GRAM`` words and more at a seed of ``hot`` meet the first one with it.
+
+    Runs that begin with a seed are ``GRAM`` words long, or longer by less than the way to the next flagged seed, ``2 * window`` at the
+    utmost; runs that end with one likewise. So an equal passage ends with such a run, begins with one, and those between overlap:
+    every word of it lies in a run that its text shares with the first text that holds it, whichever that is, and rows grow with the
+    places. Of two other seeds in a row the texts with the passage meet anyway.
+    """
+    kind = given.schema["id"].dataType.simpleString()
+    flags = given.sparkSession.sparkContext.broadcast(seed_bits(hot))
+    grams = store(given.mapInArrow(_grams(kmer, window, flags), f"key bigint, id {kind}, at int, size int"))
+    place = F.struct("id", "at")
+    ends = grams.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head.id != tail.id")
+    met = grams.join(ends, "key").withColumn("to", F.when(F.col("id") != F.col("head.id"), F.col("head")).otherwise(F.col("tail")))
+    last = F.col("size") - kmer
+    return met.select("id", F.col("to.id").alias("other"), F.array(
+        _point(F.col("at"), F.col("to.at")), _point(F.col("at") + last, F.col("to.at") + last)).alias("points"))
+
+
 def chain(matches: Sequence[tuple[int, int]], kmer: int = KMER, gap_cost: float = GAP_COST) -> list[list[tuple[int, int]]]:
     """Disjoint collinear chains of ``(at, other_at)`` matches, best first.
 
@@ -240,12 +351,14 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["id", "other", "start", "end", "other_start", "other_end"])
 
 
-def aligned_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kmer: int = KMER, window: int = WINDOW) -> DataFrame:
-    """``(id, start, end, other, other_start, other_end)``: aligned passages, in words, each against the first text with its seeds and the one before it."""
+def aligned_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kmer: int = KMER, window: int = WINDOW,
+                  most: int = MOST_MEET) -> DataFrame:
+    """``(id, start, end, other, other_start, other_end)``: aligned passages, in words, of texts that share seeds."""
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("id").isNotNull())
     seeds = given.mapInArrow(_seeds(kmer, window), f"seed bigint, id {kind}, at int, more array<int>")
-    pairs = linked(seeds).groupBy("id", "other").agg(F.flatten(F.collect_list("points")).alias("points")).filter(
+    met, hot = linked(seeds, most)
+    pairs = met.unionByName(linked_by_grams(given, hot, kmer, window)).groupBy("id", "other").agg(F.flatten(F.collect_list("points")).alias("points")).filter(
         F.size("points") >= LEAST_SEEDS)
     chains = store(pairs.mapInArrow(_chains, f"id {kind}, other {kind}, first int, last int, other_first int, other_last int, "
                                              "anchors binary"))

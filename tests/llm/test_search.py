@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from prepaudit.llm import decontaminate, licenses, passages
 from tests.llm import brute
@@ -191,3 +192,38 @@ def test_passage_quoted_in_parts_before_is_found(texts):
     rows |= {50: " ".join(prose(10) + whole + prose(10)), 60: " ".join(prose(30) + whole + prose(30) + whole)}
     spans = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(texts(rows)).collect()}
     assert spans == {(50, 10, 70), (60, 30, 90), (60, 120, 180)}
+
+
+def test_passage_is_found_though_quotes_lie_between(texts):
+    """The first text and the text before hold parts only; with many quotes its seeds are held by more texts than meet each other."""
+    draw = random.Random(23)
+    def prose(n):
+        return [f"w{draw.randrange(50_000)}" for _ in range(n)]
+    whole = prose(60)
+    for quotes in (1, 40):
+        rows = {50_000: " ".join(prose(10) + whole + prose(10)), 190_000: " ".join(prose(30) + whole + prose(5))}
+        for before in rows.copy():
+            for i in range(15 * quotes):
+                rows[before - 1 - i] = " ".join(prose(20) + whole[i % 15 * 3:i % 15 * 3 + 17] + prose(20))
+        spans = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(texts(rows)).collect()}
+        assert spans == {(50_000, 10, 70), (190_000, 30, 90)}
+
+
+def test_fuzzy_passage_is_found_though_quotes_lie_between(texts):
+    draw = random.Random(24)
+    def prose(n):
+        return [f"w{draw.randrange(50_000)}" for _ in range(n)]
+    whole = prose(72)
+    bent = [f"other{j}" if j % 12 == 11 else w for j, w in enumerate(whole)]
+    rows = {50: " ".join(prose(10) + whole + prose(10)), 190: " ".join(prose(30) + bent + prose(5))}
+    for before in rows.copy():
+        for i in range(6):
+            rows[before - 1 - i] = " ".join(prose(20) + whole[12 * i:12 * i + 11] + prose(20))
+    assert {r.doc_id for r in passages.repeated_passages(texts(rows)).collect()} == {50, 190}
+
+
+def test_rows_whose_seed_comes_again_are_kept_across_batches():
+    seeds = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_arrays([pa.array(seeds[i:i + size], pa.int64())], ["seed"]) for i in range(0, 10, size)]
+        assert [x for b in passages._shared(iter(batches)) for x in b.column(0).to_pylist()] == [1, 2, 2, 4, 4, 4, 6, 6]
