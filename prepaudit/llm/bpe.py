@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from prepaudit.llm.shared import read, register, store
 MAP_SLOTS = 4096
 FOLD_BYTES = 48
 DICTIONARY_WORDS = 1 << 17
-COUNTER_WORDS = 1 << 17
-CACHE_WORDS = 1 << 17
+COUNTER_WORDS = 1 << 19
+CACHE_WORDS = 1 << 19
+NO_RANK = 1 << 30
 ROWS_AT_A_TIME = 1000
 BINS_PER_OCTAVE = 8
 #: Fixed value: the pattern for which texts may be cut at spaces first, see ``pieces_of``.
@@ -142,8 +144,71 @@ def _merge_long(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+class Merges:
+    """Merges of many words at a time: a rank for each pair of ids, and one step of all words in each round."""
+
+    def __init__(self, ranks: Mapping[bytes, int]):
+        self.ranks = dict(ranks)
+        found = sorted((self.ranks[w[:i]] << 32 | self.ranks[w[i:]], rank) for w, rank in self.ranks.items()
+                       for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks)
+        self.pairs = np.array([k for k, _ in found], np.int64)
+        self.rank = np.array([r for _, r in found], np.int64)
+        self.bytes = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.of_bytes = np.full((256, 256), NO_RANK)
+        for w, rank in self.ranks.items():
+            if len(w) == 2:
+                self.of_bytes[w[0], w[1]] = rank
+
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(len(left), NO_RANK)
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.rank[at], NO_RANK)
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids (int32, as bytes) of words, as ``merge_word`` gives them."""
+        short = [i for i, w in enumerate(words) if 1 < len(w) <= FOLD_BYTES and w not in self.ranks]
+        out = [b""] * len(words)
+        for i in set(range(len(words))).difference(short):
+            out[i] = array("i", merge_word(words[i], self.ranks)).tobytes()
+        if not short:
+            return out
+        sizes = np.array([len(words[i]) for i in short])
+        data = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+        ids = self.bytes[data]
+        if (ids < 0).any():
+            raise KeyError("a byte without a rank")
+        word = np.repeat(np.arange(len(short)), sizes)
+        rank = np.full(len(ids), NO_RANK)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self.of_bytes[data[inner], data[inner + 1]]
+        done = []
+        while len(ids):
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), heads)
+            more = (least >> 32) < NO_RANK
+            going = np.repeat(more, np.diff(np.append(heads, len(ids))))
+            done.append((word[~going], ids[~going]))
+            at = least[more] & 0xFFFFFFFF
+            ids[at] = least[more] >> 32
+            going[at + 1] = False
+            at = (np.cumsum(going) - 1)[at]
+            ids, word, rank = ids[going], word[going], rank[going]
+            rank[at] = NO_RANK  # what is joined with the word's end has no pair behind it
+            for i in (at[at + 1 < len(ids)], at[at > 0] - 1):
+                i = i[word[i] == word[i + 1]]
+                rank[i] = self.of_pairs(ids[i], ids[i + 1])
+        word, flat = (np.concatenate(x) for x in zip(*done))
+        flat = flat[np.argsort(word, kind="stable")].astype(np.int32).tobytes()
+        edges = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(short)))]) * 4
+        for i, low, high in zip(short, edges[:-1].tolist(), edges[1:].tolist()):
+            out[i] = flat[low:high]
+        return out
+
+
 #: A space between two other white-space characters: there, cutting at spaces would change the matches.
-_RUN = re.compile(r"\s \s")
+_RUN = re.compile(r" (?<=\s.)(?=\s)")
 
 
 def pieces_of(text: str) -> list[str] | None:
@@ -188,17 +253,38 @@ def count_words(docs: DataFrame, text: str, pattern: str, spaces: bool = True) -
 
 
 class Pieces(dict):
-    """Ids (as bytes) of pieces behind a space; the first ``CACHE_WORDS`` that come are kept."""
+    """Ids of pieces that are kept, and of others those of the texts at hand."""
 
-    def __init__(self, encode_text):
-        super().__init__()
-        self.encode_text = encode_text
+    own: Mapping[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.encode_text(" " + piece)
-        if len(self) < CACHE_WORDS:
-            self[piece] = found
-        return found
+        return self.own[piece]
+
+
+class Vocabulary:
+    """Ids (as bytes) of words and of pieces behind a space; a worker keeps the first ``CACHE_WORDS`` pieces that come to its tasks."""
+
+    def __init__(self, words: dict[str, bytes], ranks: Mapping[bytes, int]):
+        self.words, self.merges, self.pieces = words, Merges(ranks), Pieces()
+
+    def encode(self, texts: list[str], pattern: str, spaces: bool) -> list[bytes]:
+        """Ids of each text: its rarer words are merged together, and pieces that are not kept are encoded once."""
+        find, words, kept = regex.compile(pattern).findall, self.words, self.pieces
+        cuts = [pieces_of(text) if spaces else None for text in texts]
+        heads = [find(text if cut is None else cut[0]) for text, cut in zip(texts, cuts)]
+        fresh = list(set().union(*[cut[1:] for cut in cuts if cut is not None]).difference(kept))
+        parts = [find(" " + piece) for piece in fresh]
+        rare = list({w for part in (heads, parts) for found in part for w in found if w not in words})
+        merged = dict(zip(rare, self.merges.ids([w.encode() for w in rare])))
+
+        def joined(found: list[str]) -> bytes:
+            return b"".join([words.get(w) or merged[w] for w in found])
+        own = kept.own = dict(zip(fresh, map(joined, parts)))
+        kept.update(islice(own.items(), max(0, CACHE_WORDS - len(kept))))
+
+        def ids(found: list[str], cut: list[str] | None) -> bytes:
+            return joined(found) + b"".join(map(kept.__getitem__, (cut or ())[1:]))
+        return list(map(ids, heads, cuts))
 
 
 def dictionary(words: DataFrame, ranks: Mapping[bytes, int], most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -234,27 +320,15 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
     table = known.select("word", "ids").toArrow().combine_chunks()
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
     edges, flat = columns[1].offsets.to_numpy(), columns[1].values.to_numpy().astype(np.int32)
-    shared = spark.sparkContext.broadcast((
-        {word: flat[edges[i]:edges[i + 1]].tobytes() for i, word in enumerate(columns[0].to_pylist())}, dict(ranks)))
+    shared = spark.sparkContext.broadcast(Vocabulary(
+        {word: flat[edges[i]:edges[i + 1]].tobytes() for i, word in enumerate(columns[0].to_pylist())}, ranks))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = shared.value
-        find = regex.compile(pattern).findall
-
-        def match_by_match(body: str) -> bytes:
-            return b"".join([words[w] if w in words else array("i", merge_word(w.encode(), own)).tobytes()
-                             for w in find(body)])
-        known_pieces = Pieces(match_by_match)
-
-        def ids(body: str | None) -> bytes:
-            cut = pieces_of(body or "") if spaces else None
-            if cut is None:
-                return match_by_match(body or "")
-            return match_by_match(cut[0]) + b"".join([known_pieces[piece] for piece in cut[1:]])
+        vocabulary = shared.value
         at = None
         for batch in (b.slice(i, ROWS_AT_A_TIME) for b in batches for i in range(0, b.num_rows, ROWS_AT_A_TIME)):
             at = batch.schema.get_field_index(inner) if at is None else at
-            encoded = [ids(x.as_py()) for x in batch.column(at)]
+            encoded = vocabulary.encode([x or "" for x in batch.column(at).to_pylist()], pattern, spaces)
             bounds = np.zeros(len(encoded) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in encoded], out=bounds[1:])
             column = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(encoded), np.int32)))

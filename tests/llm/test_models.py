@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -73,6 +74,24 @@ def toxic_table(spark, n=1500):
             spark.createDataFrame(marks + [(marks[0][0], marks[0][1]), (None, 1), (9001, None)], "doc_id long, toxic int"), dict(rows))
 
 
+def test_many_words_are_merged_at_a_time(ranks):
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abceinorstéñß日😀\n '", k=draw.randrange(1, 25))).encode() for _ in range(3000)] + [b"", b"a" * 48, b"ab" * 60]
+    merges = bpe.Merges(ranks)
+    assert merges.ids(words) == [np.array(bpe.merge_word(w, ranks), np.int32).tobytes() for w in words]
+    assert merges.ids([]) == [] and bpe.Merges({b"a": 0, b"b": 1}).ids([b"abba"]) == [np.array([0, 1, 1, 0], np.int32).tobytes()]
+
+
+def test_pieces_beyond_the_kept_ones_are_encoded(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 2)
+    texts, vocabulary = ["one two  three", "two five\n six", "", "seven two one"], bpe.Vocabulary({}, ranks)
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    for spaces in (True, False, True):
+        found = [np.frombuffer(x, np.int32).tolist() for x in vocabulary.encode(texts, public_tokenizers.PATTERN, spaces)]
+        assert found == [[i for w in find(t) for i in bpe.merge_word(w.encode(), ranks)] for t in texts]
+    assert len(vocabulary.pieces) == 2
+
+
 def test_toxic_texts_are_told_apart_on_the_held_out_fold(spark, clashing):
     docs, labels, rows = toxic_table(spark)
     aside = toxicity.held_out("doc_id", 4, 2)
