@@ -262,17 +262,34 @@ def chain(matches: Sequence[tuple[int, int]], kmer: int = KMER, gap_cost: float
     return chains
 
 
+def straight(bounds: np.ndarray, at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of each row in ascending order, once each, their bounds, and whether ``chain`` gives them as one chain.
+
+    It does where all lie on one diagonal, so near to each other that every one of them adds to the score.
+    """
+    row = row_numbers(bounds)
+    order = np.lexsort((other, at, row))
+    row, points = row[order], np.stack([at[order], other[order]], axis=1).astype(np.int32)
+    joined = row[1:] == row[:-1]
+    once = np.append(True, ~joined | (points[1:] != points[:-1]).any(axis=1))[:len(row)]
+    row, points = row[once], points[once]
+    step = np.diff(points, axis=0)
+    near = (step[:, 0] == step[:, 1]) & (2 * GAP_COST * (step[:, 0] - KMER) < KMER - GAP_COST)
+    bent = np.bincount(row[1:][(row[1:] == row[:-1]) & ~near], minlength=len(bounds) - 1)
+    return points, np.searchsorted(row, np.arange(len(bounds))), bent == 0
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chain: the two ids and the anchors, as int32 pairs."""
     for batch in batches:
         rows, anchors = [], []
         column = batch.column(2)
         offsets = column.offsets.to_numpy()
-        flat = column.values
-        at, other = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        at, other = (column.values.field(i).to_numpy()[offsets[0]:offsets[-1]] for i in (0, 1))
+        points, bounds, whole = straight(offsets - offsets[0], at, other)
         for row in range(batch.num_rows):
-            low, high = offsets[row], offsets[row + 1]
-            for found in chain(list(zip(at[low:high].tolist(), other[low:high].tolist()))):
+            mine = points[bounds[row]:bounds[row + 1]]
+            for found in [mine] if whole[row] else chain(list(map(tuple, mine.tolist()))):
                 if len(found) >= LEAST_SEEDS:
                     rows.append(row)
                     anchors.append(np.array(found, np.int32))

@@ -222,6 +222,27 @@ def test_fuzzy_passage_is_found_though_quotes_lie_between(texts):
     assert {r.doc_id for r in passages.repeated_passages(texts(rows)).collect()} == {50, 190}
 
 
+def test_points_in_one_line_are_one_chain():
+    draw = random.Random(25)
+    rows = []
+    for _ in range(400):
+        at, shift = draw.randrange(50), draw.randrange(50)
+        points = []
+        for _ in range(draw.randrange(1, 12)):
+            at += draw.choice([0, 1, 3, 6, 20, 34, 35, 36, 60]) if draw.random() < 0.3 else draw.randrange(1, 30)
+            shift += draw.random() < 0.05
+            points.append((at, at + shift))
+        rows.append(draw.sample(points, len(points)))
+    bounds = np.cumsum([0] + [len(r) for r in rows])
+    found, edges, whole = passages.straight(bounds, *np.array([p for r in rows for p in r]).T)
+    assert 50 < whole.sum() < 350
+    for i, row in enumerate(rows):
+        points = list(map(tuple, found[edges[i]:edges[i + 1]].tolist()))
+        assert points == sorted(set(row))
+        if whole[i]:
+            assert passages.chain(row) == [points]
+
+
 def test_rows_whose_seed_comes_again_are_kept_across_batches():
     seeds = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
     for size in (1, 2, 3, 10):
