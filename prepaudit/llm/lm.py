@@ -24,6 +24,8 @@ RUN_BYTES = 4 * 1024 * 1024
 LEAST_PARTS = 256
 PART_WORDS = 1 << 20
 ORDERS = 3
+#: Orders that are counted in one shuffle; its files are gone before the next one's come.
+SHARED_SHUFFLES = ((0, 1), (2,))
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
@@ -231,19 +233,22 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = [int(lengths[(mine & f) > 0].sum()) for f in (1, 2)]
             ids = batch.column(0).slice(first, end - first)
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *([pa.array([x.tobytes()], pa.binary()) for x in (
-                    mine, bounds.astype(np.int64), vocabulary, numbers.astype(np.uint32))]),
+                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *([pa.array([_packed(x)], pa.binary()) for x in (
+                    mine, bounds.astype(np.int64), np.diff(vocabulary, prepend=np.uint64(0)), numbers.astype(np.uint32))]),
                  *[pa.array([t], pa.int64()) for t in (len(words) + len(ids), *tokens)]],
                 ["ids", "flags", "bounds", "vocabulary", "numbers", "size", "n", "k"])
 
 
-def _opened(flags: bytes, bounds: bytes, vocabulary: bytes, numbers: bytes):
-    """A run's framed words, their rows, what is a token, flags by row, and per order ``(positions, keys, places, n, k)``."""
-    words = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(numbers, np.uint32)]
-    flag = np.frombuffer(flags, np.uint8)
-    sequence, rows, token = framed(words, np.frombuffer(bounds, np.int64))
+def _opened(flags: bytes, bounds: bytes, vocabulary: bytes, numbers: bytes, wanted: tuple[int, ...] = tuple(range(ORDERS))):
+    """A run's framed words, their rows, what is a token, flags by row, and per wanted order ``(positions, keys, places, n, k)``."""
+    vocabulary, = _unpacked(vocabulary, np.uint64)
+    numbers, = _unpacked(numbers, np.uint32)
+    flag, = _unpacked(flags, np.uint8)
+    bounds, = _unpacked(bounds, np.int64)
+    sequence, rows, token = framed(np.cumsum(vocabulary, dtype=np.uint64)[numbers], bounds)
     orders = []
-    for at, keys in ngrams(sequence, rows):
+    found_by_order = ngrams(sequence, rows)
+    for at, keys in (found_by_order[i] for i in wanted):
         found, place = np.unique(keys, return_inverse=True)
         mine = flag[rows[at]]
         orders.append((at, found, place, *(np.bincount(place, (mine & f) > 0, len(found)).astype(np.int64) for f in (1, 2))))
@@ -256,45 +261,53 @@ def _part_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers by their place, so that those which are zero throughout are compressed away."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, compressed: the bytes of their numbers by place, so that those which are zero throughout cost nothing."""
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() for x in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _numbers(planes: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _unpacked(packed: bytes, *kinds) -> list[np.ndarray]:
+    kinds = [np.dtype(kind) for kind in kinds]
+    size = int.from_bytes(packed[:8], "little")
+    raw = np.frombuffer(pa.decompress(memoryview(packed)[8:], size, codec="zstd", asbytes=True), np.uint8)
+    planes = raw.reshape(sum(kind.itemsize for kind in kinds), -1) if size else raw.reshape(sum(kind.itemsize for kind in kinds), 0)
+    out = []
+    for kind in kinds:
+        out.append(np.ascontiguousarray(planes[:kind.itemsize].T).view(kind).ravel())
+        planes = planes[kind.itemsize:]
+    return out
 
 
-def _dealt(bits: int):
+def _dealt(bits: int, wanted: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, *packed in zip(*(batch.column(c).to_pylist() for c in ("slice", "flags", "bounds", "vocabulary", "numbers"))):
-                for order, (_, keys, _, n, k) in enumerate(_opened(*packed)[4]):
+                for order, (_, keys, _, n, k) in zip(wanted, _opened(*packed, wanted)[4]):
                     edges = _part_bounds(keys, bits)
                     parts = np.flatnonzero(np.diff(edges))
                     steps = np.diff(keys, prepend=np.uint64(0))  # keys ascend, so a part needs its first one and the steps
                     steps[edges[parts]] = keys[edges[parts]]
-                    blobs = [pa.array([_planes(x[edges[p]:edges[p + 1]]) for p in parts], pa.binary())
-                             for x in (steps, n.astype(np.uint32), k.astype(np.uint32))]
+                    columns = steps, n.astype(np.uint32), (n - k).astype(np.uint32)
+                    blobs = pa.array([_packed(*(x[edges[p]:edges[p + 1]] for x in columns)) for p in parts], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((parts + (order << bits)).astype(np.int32)), pa.array(np.full(len(parts), name, np.int64)), *blobs],
-                        ["part", "slice", "keys", "n", "k"])
+                        [pa.array((parts + (order << bits)).astype(np.int32)), pa.array(np.full(len(parts), name, np.int64)), blobs],
+                        ["part", "slice", "counts"])
     return run
 
 
-REPLY = "slice bigint, part int, at binary, n binary, k binary"
+REPLY = "slice bigint, part int, kinds bigint, counts binary"
 
 
 def _totals(bits: int):
     """What a part's n-grams count over all runs, for each run that lacks some of it; under slice -1 the number of training words."""
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        keys, n, k = ([_numbers(x, kind) for x in table[c].to_pylist()]
-                      for c, kind in (("keys", np.uint64), ("n", np.uint32), ("k", np.uint32)))
+        keys, n, rest = zip(*(_unpacked(x, np.uint64, np.uint32, np.uint32) for x in table["counts"].to_pylist()))
         keys = [np.cumsum(x, dtype=np.uint64) for x in keys]
         edges = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-        keys, n, k = map(np.concatenate, (keys, n, k))
+        keys, n, rest = map(np.concatenate, (keys, n, rest))
+        k = n - rest
         found, at = np.unique(keys, return_inverse=True)
         sums = [np.bincount(at, x, len(found)).astype(np.int64) for x in (n, k)]
         open_at = np.flatnonzero((sums[0][at] != n) | (sums[1][at] != k))
@@ -303,13 +316,15 @@ def _totals(bits: int):
         out = []
         for i in np.flatnonzero(np.diff(cuts)):
             mine = open_at[cuts[i]:cuts[i + 1]]
-            out.append((names[i], (mine - edges[i]).astype(np.uint32).tobytes(), *(x[at[mine]].tobytes() for x in sums)))
+            places = np.diff(mine - edges[i], prepend=0).astype(np.uint32)
+            total, kept = (x[at[mine]] for x in sums)
+            out.append((names[i], None, _packed(places, total, total - kept)))
         if part >> bits == 0:
             kinds = np.count_nonzero((sums[0] > 0) & (found != BEGIN))
-            out.append((-1, b"", np.array([kinds], np.int64).tobytes(), b""))
-        columns = list(zip(*out)) or [()] * 4
+            out.append((-1, int(kinds), None))
+        columns = list(zip(*out)) or [()] * 3
         return pa.table({"slice": pa.array(columns[0], pa.int64()), "part": pa.array([part] * len(out), pa.int32()),
-                         **{c: pa.array(x, pa.binary()) for c, x in zip(("at", "n", "k"), columns[1:])}})
+                         "kinds": pa.array(columns[1], pa.int64()), "counts": pa.array(columns[2], pa.binary())})
     return run
 
 
@@ -319,10 +334,11 @@ def _settled(bits: int, kept_tokens: int):
         packed = [given[c][0].as_py() for c in ("flags", "bounds", "vocabulary", "numbers")]
         sequence, rows, token, flag, orders = _opened(*packed)
         edges = [_part_bounds(o[1], bits) for o in orders]
-        for part, at, n, k in zip(*(replies[c].to_pylist() for c in ("part", "at", "n", "k"))):
+        for part, counts in zip(*(replies[c].to_pylist() for c in ("part", "counts"))):
             order = part >> bits
-            place = edges[order][part & ((1 << bits) - 1)] + np.frombuffer(at, np.uint32)
-            orders[order][3][place], orders[order][4][place] = np.frombuffer(n, np.int64), np.frombuffer(k, np.int64)
+            places, n, rest = _unpacked(counts, np.uint32, np.int64, np.int64)
+            place = edges[order][part & ((1 << bits) - 1)] + np.cumsum(places, dtype=np.int64)
+            orders[order][3][place], orders[order][4][place] = n, n - rest
         scored, deleted = (flag & 4) > 0, ((flag & 3) == 1)[rows]
 
         def at_positions(column, wanted):
@@ -342,8 +358,8 @@ def _settled(bits: int, kept_tokens: int):
         cells = pa.StructArray.from_arrays([*map(pa.array, cell), pa.array(m)], ["kind", "s1", "s2", "s3", "n"])
         return pa.table({
             "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-            "lengths": pa.array([lengths.astype(np.int64).tobytes()], pa.binary()),
-            **{f"n{i + 1}": pa.array([counts[i].tobytes()], pa.binary()) for i in range(ORDERS)},
+            "lengths": pa.array([_packed(lengths.astype(np.int64))], pa.binary()),
+            **{f"n{i + 1}": pa.array([_packed(counts[i])], pa.binary()) for i in range(ORDERS)},
             "cells": pa.ListArray.from_arrays(pa.array([0, len(cells)], pa.int32()), cells)})
     return run
 
@@ -352,7 +368,7 @@ def resolved(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """Runs of texts with the counts of all their n-grams in all training texts; training and kept tokens; training words.
 
     ``rows`` has ``id``, ``text``, ``learn``, ``kept`` and ``scored``. A run of about 4 MB of text counts its own words, pairs and
-    triples, and sends each of them once to the part of its key's first bits. There the counts of all runs are added up. A run gets back
+    triples, and sends each of them once to the part of its key's first bits, triples after the others. There the counts of all runs are added up. A run gets back
     only what other runs add to its own counts, so an n-gram that one run alone holds does not travel back, and a very
     common one moves once per run. Nothing is cut: every n-gram has its count.
     """
@@ -363,9 +379,12 @@ def resolved(rows: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     size, *tokens = runs.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "n", "k")]).first()
     bits = int(np.ceil(np.log2(max(LEAST_PARTS, size / PART_WORDS))))
     packed = runs.select("slice", "flags", "bounds", "vocabulary", "numbers")
-    dealt = packed.mapInArrow(_dealt(bits), "part int, slice bigint, keys binary, n binary, k binary")
-    replies = store(dealt.groupBy("part").applyInArrow(_totals(bits), REPLY))
-    kinds = sum(np.frombuffer(r.n, np.int64)[0] for r in replies.filter("slice = -1").select("n").collect())  # one row per part
+    replies = None
+    for wanted in SHARED_SHUFFLES:
+        dealt = packed.mapInArrow(_dealt(bits, wanted), "part int, slice bigint, counts binary")
+        found = store(dealt.groupBy("part").applyInArrow(_totals(bits), REPLY))
+        replies = found if replies is None else replies.unionByName(found)
+    kinds = replies.filter("slice = -1").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     settled = runs.drop("size", "n", "k").groupBy("slice").cogroup(replies.filter("slice >= 0").groupBy("slice")).applyInArrow(
         _settled(bits, tokens[1]), f"ids array<{kind}>, lengths binary, n1 binary, n2 binary, n3 binary, "
                                    "cells array<struct<kind:bigint,s1:bigint,s2:bigint,s3:bigint,n:bigint>>")
@@ -387,7 +406,7 @@ def _scored(runs: DataFrame, key: str, kind: str, tokens: float, kinds: int, wei
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column(0).slice(i, 1).flatten()
-                lengths, *counts = (np.frombuffer(batch.column(j)[i].as_py(), np.int64) for j in range(1, 5))
+                lengths, *counts = (_unpacked(batch.column(j)[i].as_py(), np.int64)[0] for j in range(1, 5))
                 n = len(lengths)
                 rows = np.repeat(np.arange(n), lengths)
                 context, p = exact_estimates(np.stack(counts), rows, tokens, kinds)

@@ -198,6 +198,39 @@ def test_estimates_are_distributions(texts):
         assert np.allclose(sums, 1, atol=1e-9)
 
 
+def test_packed_numbers_come_back():
+    draw = np.random.default_rng(3)
+    for size in (0, 1, 5, 3000):
+        keys = draw.integers(0, 1 << 63, size).astype(np.uint64)
+        n, k = draw.integers(0, 1 << 32, size).astype(np.uint32), draw.integers(-9, 9, size)
+        got = lm._unpacked(lm._packed(keys, n, k), np.uint64, np.uint32, np.int64)
+        assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(got, (keys, n, k)))
+
+
+def test_counts_of_ngrams_are_sent_in_little_room():
+    """A run's sorted 64-bit keys and their small counts take less than 7.5 bytes each; 16 bytes before any compression."""
+    keys = np.sort(np.random.default_rng(4).integers(0, 1 << 62, 100_000).astype(np.uint64))
+    steps, ones = np.diff(keys, prepend=np.uint64(0)), np.ones(len(keys), np.uint32)
+    assert len(lm._packed(steps, ones, ones * 0)) < 7.5 * len(keys)
+
+
+def test_each_shuffle_of_ngrams_is_gone_before_the_next(texts, spark, monkeypatch):
+    """Words and pairs are dealt in one shuffle, triples in the next; a stored table leaves no shuffle files behind it."""
+    dealt = []
+    monkeypatch.setattr(lm, "_dealt", lambda bits, wanted, f=lm._dealt: dealt.append(wanted) or f(bits, wanted))
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        names = manager.getAllFiles()
+        return {name for i in range(names.size()) if (name := names.apply(i).getName()).startswith("shuffle_")}
+    before = files()
+    lm.resolved(texts({i: f"a b c {i}" for i in range(20)}).select(
+        F.col("doc_id").alias("id"), "text", F.lit(True).alias("learn"), F.lit(True).alias("kept"), F.lit(True).alias("scored")))
+    assert dealt == [(0, 1), (2,)]
+    # what is left are the few rows of the two sums that the driver asks for
+    assert len({x.split("_")[1] for x in files() - before if x.endswith(".data")}) <= 2
+
+
 def test_weights_recover_a_mixture():
     draw = np.random.default_rng(5)
     p = draw.random((4, 20_000))
