@@ -41,8 +41,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts, and give them as decoded from their ids."""
-    found = encoded_documents(docs)
-    return found.withColumns({"text": F.col("decoded").cast("string"), "n_tokens": F.size("ids").cast("bigint")}).drop("decoded")
+    found = encoded_documents(docs, keep_text=False)
+    found = found.withColumns({"text": F.col("decoded").cast("string"), "n_tokens": F.size("ids").cast("bigint")})
+    kept = [c for c in docs.columns if c not in ("ids", "decoded", "n_tokens")]
+    return found.select(*kept, "ids", "n_tokens")
 
 
 STAGES = [

@@ -24,10 +24,10 @@ from prepaudit.llm.shared import read, register, store
 MAP_SLOTS = 4096
 FOLD_BYTES = 48
 DICTIONARY_WORDS = 1 << 17
-COUNTER_WORDS = 1 << 19
-CACHE_WORDS = 1 << 19
+COUNTER_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 NO_RANK = 1 << 30
-ROWS_AT_A_TIME = 1000
+ROWS_AT_A_TIME = 500
 BINS_PER_OCTAVE = 8
 #: Fixed value: the pattern for which texts may be cut at spaces first, see ``pieces_of``.
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -228,13 +228,13 @@ def count_words(docs: DataFrame, text: str, pattern: str, spaces: bool = True) -
         find, seen, pieces = regex.compile(pattern).findall, Counter(), Counter()
 
         def flush():
-            for piece, n in pieces.items():
+            while pieces:  # each piece goes as its words come, so both counters are never held whole
+                piece, n = pieces.popitem()
                 for word in find(" " + piece):
                     seen[word] += n
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                              ["word", "n"])
             seen.clear()
-            pieces.clear()
             return out
         for batch in batches:
             for body in batch.column(0):
@@ -302,7 +302,7 @@ def dictionary(words: DataFrame, ranks: Mapping[bytes, int], most: int = DICTION
 
 
 def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str = "text",
-           output: str = "ids", most: int = DICTIONARY_WORDS) -> DataFrame:
+           output: str = "ids", most: int = DICTIONARY_WORDS, keep_text: bool = True) -> DataFrame:
     """Add ``output`` (``array<int>``), the ids of each whole text, without special tokens.
 
     Words are the matches of ``pattern``. They are counted over all texts; the most
@@ -312,7 +312,8 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
     Under ``SPACE_PATTERN`` texts are cut at spaces first and pieces seen before are looked up whole.
 
     A null or empty text gives an empty array. Rows are kept as they are, repeated or not; an empty
-    table gives an empty table. A column already called ``output`` is replaced.
+    table gives an empty table. A column already called ``output`` is replaced. Without ``keep_text`` the text is left out of
+    the result, so tasks are sent it once and do not send it back.
     """
     spark = docs.sparkSession
     spaces = pattern == SPACE_PATTERN
@@ -336,7 +337,7 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, text: str
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(
                 [f for i, f in enumerate(batch.schema) if i != at] + [pa.field(output, pa.list_(pa.int32()))]))
     inner = "__text"
-    rest_of = [c for c in docs.columns if c != output]
+    rest_of = [c for c in docs.columns if c != output and (keep_text or c != text)]
     given = docs.select(*[F.col(f"`{c}`") for c in rest_of], F.col(text).cast("string").alias(inner))
     schema = StructType([*given.drop(inner).schema.fields, StructField(output, ArrayType(IntegerType()))])
     return given.mapInArrow(look_up, schema)
@@ -348,18 +349,19 @@ def decode(ids: Column, ranks: Mapping[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def encoded_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` and ``decoded``."""
+def encoded_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text",
+                      keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, and without ``text`` unless ``keep_text``."""
     import public_tokenizers
 
     ranks = read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = encode(docs, ranks, pattern or public_tokenizers.PATTERN, text)
+    found = encode(docs, ranks, pattern or public_tokenizers.PATTERN, text, keep_text=keep_text)
     return found.withColumn("decoded", decode(F.col("ids"), ranks))
 
 
 @register("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    found = encoded_documents(read(spark, folder, "documents").select("doc_id", "text"))
+    found = encoded_documents(read(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -92,6 +92,29 @@ def test_pieces_beyond_the_kept_ones_are_encoded(ranks, monkeypatch):
     assert len(vocabulary.pieces) == 2
 
 
+def test_tasks_are_sent_each_text_once(texts, clashing, ranks):
+    """Without keep_text the text neither comes back from the tasks nor goes to them twice; ids, rows and other columns are the same."""
+    docs = clashing(texts(odd_texts()))
+    slim = bpe.encoded_documents(docs, keep_text=False)
+    assert slim.columns == [c for c in bpe.encoded_documents(docs).columns if c != "text"]
+    plan = slim._jdf.queryExecution().optimizedPlan()
+    while not plan.nodeName().startswith("MapInArrow"):
+        plan = plan.children().apply(0)
+    assert sum(c.split("#")[0] in ("text", "__text") for c in plan.children().apply(0).output().mkString(",").split(",")) == 1
+    whole = {r.doc_id: (r.ids, r.decoded) for r in bpe.encoded_documents(docs).collect()}
+    assert {r.doc_id: (r.ids, r.decoded) for r in slim.collect()} == whole
+
+
+def test_words_of_counted_pieces_are_whole(texts, monkeypatch):
+    """However often a counter is emptied, all words are counted."""
+    rows = odd_texts()
+    plain = {r.word: r.n for r in bpe.count_words(texts(rows), "text", public_tokenizers.PATTERN, False).collect()}
+    for most in (1 << 18, 3):
+        monkeypatch.setattr(bpe, "COUNTER_WORDS", most)
+        found = bpe.count_words(texts(rows), "text", public_tokenizers.PATTERN, public_tokenizers.PATTERN == bpe.SPACE_PATTERN)
+        assert {r.word: r.n for r in found.collect()} == plain
+
+
 def test_toxic_texts_are_told_apart_on_the_held_out_fold(spark, clashing):
     docs, labels, rows = toxic_table(spark)
     aside = toxicity.held_out("doc_id", 4, 2)
