@@ -1,13 +1,13 @@
-"""Near copies by a grouped prefix join over word shingles."""
+"""Near copies by a prefix join over word shingles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prepaudit.llm.kernel import binaries, lists, mix, ordered, row_numbers, row_sets, shingles, texts_to_words
@@ -20,6 +20,11 @@ COUNT_BITS, SLICE_BITS = 24, 14
 #: A bin met less often than this is not common.
 LEAST_COMMON = 16
 PAIRS_AT_A_TIME = 500
+#: Sets that share a shingle all meet if they are no more than this.
+MOST_MEET = 32
+SKETCH = [f"s{i}" for i in range(8)]
+ROWS_AT_A_TIME = 1024
+REACH = 16
 
 
 def prefix_size(n, least: Fraction):
@@ -39,6 +44,17 @@ def digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return halves[0], halves[1]
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """For each row the parities of its values by their last 9 bits, in eight longs."""
+    bits, parts = 64 * len(SKETCH), [np.zeros((0, len(SKETCH)), np.int64)]
+    for first in range(0, len(bounds) - 1, ROWS_AT_A_TIME):
+        own = bounds[first:first + ROWS_AT_A_TIME + 1]
+        last = (values[own[0]:own[-1]] & np.uint64(bits - 1)).astype(np.int64)
+        counts = np.bincount(row_numbers(own) * bits + last, minlength=(len(own) - 1) * bits)
+        parts.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(-1, len(SKETCH)))
+    return list(np.ascontiguousarray(np.concatenate(parts).T))
+
+
 def levels(values: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """0 for values that are not common, else a step of their count, 255 at the utmost."""
     if not len(common):
@@ -55,7 +71,9 @@ def first_of(values: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> tuple[
 
 
 def _sets(width: int, least: Fraction, shared):
-    """Map texts to shingle sets: size, 128-bit digest, and the prefix."""
+    """Map texts to shingle sets: size, 128-bit digest, sketch, the prefix, and how many at its end may be in more than ``MOST_MEET`` sets."""
+    often = int(np.log2(MOST_MEET) * BINS_PER_OCTAVE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = shared.value
         for batch in batches:
@@ -64,11 +82,13 @@ def _sets(width: int, least: Fraction, shared):
                 n = np.diff(bounds)
                 halves = digests(values, bounds)
                 step = steps[values >> np.uint64(64 - COUNT_BITS)].astype(np.int64)
-                prefix = first_of(values[ordered(values, row_numbers(bounds), step)], bounds,
-                                  np.where(n > 0, prefix_size(n, least), 0))
+                order, kept = ordered(values, row_numbers(bounds), step), np.where(n > 0, prefix_size(n, least), 0)
+                prefix, out = first_of(values[order], bounds, kept)
+                hot = np.append(0, np.cumsum(first_of(step[order] >= often, bounds, kept)[0]))[out]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), *map(pa.array, halves),
-                     lists(*prefix)], ["id", "n", "d1", "d2", "prefix"])
+                     pa.array(np.diff(hot).astype(np.int32)), *map(pa.array, sketches(values, bounds)), lists(prefix, out)],
+                    ["id", "n", "d1", "d2", "hot", *SKETCH, "prefix"])
     return run
 
 
@@ -81,7 +101,8 @@ def _count(width: int):
                 values = row_sets(*shingles(words, bounds, width))[0]
                 np.add.at(counts.reshape(-1), values >> np.uint64(64 - COUNT_BITS), np.uint32(1))
         for i in np.flatnonzero(counts.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts[i].tobytes()], pa.binary())], ["slice", "counts"])
+            packed = pa.compress(counts[i].tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counts"])
     return run
 
 
@@ -89,7 +110,7 @@ def _steps(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """A slice's counts over all tasks, as steps."""
     total = np.zeros(1 << SLICE_BITS, np.uint64)
     for raw in table.column("counts"):
-        total += np.frombuffer(raw.as_buffer(), np.uint32)
+        total += np.frombuffer(pa.decompress(raw.as_buffer(), decompressed_size=4 << SLICE_BITS, codec="zstd"), np.uint32)
     step = np.minimum(255, np.log2(np.maximum(total, 1)) * BINS_PER_OCTAVE).astype(np.uint8)
     return pa.table({"slice": table.column("slice").slice(0, 1), "steps": pa.array([step.tobytes()], pa.binary())})
 
@@ -154,31 +175,74 @@ def common_values(counted: DataFrame, value: str, most: int) -> tuple[np.ndarray
 def common_shingles(docs: DataFrame, width: int, most: int) -> np.ndarray:
     """For every bin of shingles the step of its count over all texts, ``(id, text)``; 0 where it is not common.
 
-    At most ``most`` bins are common. A task holds and sends one counter per bin, and a byte per bin reaches the driver, however many texts there are.
+    At most ``most`` bins are common beside those met ``MOST_MEET`` times and more. A task holds and sends one counter per bin, and a byte per bin reaches the driver, however many texts there are.
     """
     steps = np.zeros((1 << (COUNT_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
     found = docs.select("text").mapInArrow(_count(width), "slice int, counts binary").groupBy("slice").applyInArrow(_steps, "slice int, steps binary")
     for row in found.collect():
         steps[row["slice"]] = np.frombuffer(row["steps"], np.uint8)
-    steps = steps.reshape(-1)
-    at_least = np.cumsum(np.bincount(steps, minlength=256)[::-1])[::-1]  # bins at this step or above
-    cut = max(int(np.log2(LEAST_COMMON) * BINS_PER_OCTAVE), int(np.count_nonzero(at_least > most)))
+    at_least = np.cumsum(sum(np.bincount(s, minlength=256) for s in steps)[::-1])[::-1]  # bins at this step or above
+    cut = min(int(np.log2(MOST_MEET) * BINS_PER_OCTAVE),
+              max(int(np.log2(LEAST_COMMON) * BINS_PER_OCTAVE), int(np.count_nonzero(at_least > most))))
     steps[steps < cut] = 0
-    return steps
+    return steps.reshape(-1)
+
+
+def _field(of: str) -> Callable[[str], Column]:
+    return lambda name: F.col(f"{name}{of}")
+
+
+def _alike(least: Fraction, a=_field("a"), b=_field("b")) -> Column:
+    """Sketches differ in no more bits than the sets differ in shingles, so this loses no pair."""
+    apart = sum(F.bit_count(a(c).bitwiseXOR(b(c))) for c in SKETCH)
+    return apart * (least.denominator + least.numerator) <= (a("n") + b("n")) * (least.denominator - least.numerator)
+
+
+def _close(least: Fraction, a=_field("a"), b=_field("b")) -> Column:
+    """Length and positional filter of two postings."""
+    num, den, na, nb = least.numerator, least.denominator, a("n"), b("n")
+    left = 1 + F.least(na - 1 - a("at"), nb - 1 - b("at"))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (left * (den + num) >= (na + nb) * num)
+
 
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("shingle", *[F.col(c).alias(f"{c}{name}") for c in rows.columns if c != "shingle"])
 
-def candidate_groups(groups: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs ``(ga, gb)`` of groups that share a prefix shingle and pass the length and the positional filter."""
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("at", "shingle"))
-    x = postings.select("shingle", *[F.col(c).alias(f"{c}a") for c in ("g", "n", "at")])
-    y = postings.select("shingle", *[F.col(c).alias(f"{c}b") for c in ("g", "n", "at")])
-    num, den = least.numerator, least.denominator
-    left = 1 + F.least(F.col("na") - 1 - F.col("ata"), F.col("nb") - 1 - F.col("atb"))
+
+def candidate_pairs(postings: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs ``(ga, gb)`` of sets whose postings ``(g, n, at, shingle)`` meet and pass the length and the positional filter."""
     # The smaller set comes first, so a pair appears once, and a partner is at most 1 / least times as large.
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ga") < F.col("gb")))
-    return (x.join(y, "shingle").filter(ordered & (F.col("na") * den >= F.col("nb") * num)
-                                        & (left * (den + num) >= (F.col("na") + F.col("nb")) * num))
-            .select("ga", "gb").distinct())
+    return _side(postings, "a").join(_side(postings, "b"), "shingle").filter(ordered & _close(least)).select("ga", "gb").distinct()
+
+
+def neighbours(postings: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs ``(ga, gb)`` of each posting with the nearest two that may be similar, of the ``REACH`` before it in its shingle and slice and the first.
+
+    Sorted slices ignore where a shingle ends, so a very common one spreads over many tasks; as the slices of the two orders
+    differ, one links what the other has cut. This only saves work: ``open_pairs`` gives all pairs that are left.
+    """
+    found, packed = [], F.struct(*[c for c in postings.columns if c != "shingle"])
+    for order in ([F.col("n"), F.col("g")], [F.xxhash64("g"), F.col("g"), F.col("n")]):
+        sliced = postings.repartitionByRange(F.col("shingle"), *order).withColumn("slice", F.spark_partition_id())
+        along = Window.partitionBy("slice", "shingle").orderBy(*order)
+        met = sliced.withColumns({"before": F.collect_list(packed).over(along.rowsBetween(-REACH, -1)), "leader": F.first(packed).over(along)})
+        near = F.filter(F.concat(F.reverse("before"), F.array("leader")), lambda x: (x["g"] != F.col("g")) & _close(least, x.getField, F.col)
+                        & _alike(least, x.getField, F.col))
+        found.append(met.select(F.explode(F.slice(near, 1, 2)).alias("x"), F.col("g").alias("gb")).select(F.col("x.g").alias("ga"), "gb"))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def open_pairs(postings: DataFrame, tops: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs ``(ga, gb)`` of postings that meet, pass all filters and do not hang together by ``tops`` yet."""
+    of = tops.select(F.col("id").alias("g"), "component")
+    placed = store(postings.join(broadcast_if_small(store(of)), "g", "left").withColumn("top", F.coalesce("component", "g")).drop("component"))
+    mixed = store(placed.groupBy("shingle").agg(F.min("top").alias("low"), F.max("top").alias("high"))
+                  .filter(F.col("low") != F.col("high")).select("shingle"))
+    rest = placed.join(broadcast_if_small(mixed), "shingle", "left_semi")
+    a, b = _side(rest, "a"), _side(rest, "b")
+    apart = (a["shingle"] == b["shingle"]) & (F.col("ga") < F.col("gb")) & (F.col("topa") != F.col("topb"))
+    return a.join(b, apart & _close(least) & _alike(least)).select("ga", "gb").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
@@ -190,10 +254,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     their sets is at least ``least``; the component is the least id reached over links.
 
     Shingles have one order, (step of the count, hash), rare ones first. All texts are counted (``share`` admits no other value than 1), by the
-    first bits of a shingle's hash, and the ``most`` most frequent bins are told apart: that bounds what the tasks are given, and as any one order makes
-    the prefix filter exact, it costs no link. Equal sets are one set from the start. Sets of equal size and equal prefix then form a group; groups
-    that share a prefix shingle and pass the length and positional filters are expanded, and member pairs
-    are verified on their whole sets.
+    first bits of a shingle's hash; any one order makes the prefix filter exact, so counts cost no link. Equal sets are one set from the
+    start. Sets that share a prefix shingle meet under length and positional filters if ``MOST_MEET`` share it at the utmost. With a more
+    frequent one they meet their neighbours first, and then only sets that do not hang together. What meets is compared by sketches,
+    which rule a pair out but never a similar one, and verified on whole sets.
 
     Texts without words link with nothing. A null text counts as empty. A null id links with nothing and has a null component;
     rows that repeat an id are one document, linked through each of its texts. An empty table gives an
@@ -204,20 +268,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     body = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(body, width, most))
     sets = store(body.mapInArrow(_sets(width, least, shared),
-                                 _typed(body, "id", "id KEY, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")))
+                                 _typed(body, "id", f"id KEY, n bigint, d1 bigint, d2 bigint, hot int, {', '.join(f'{c} bigint' for c in SKETCH)}, prefix array<bigint>")))
     some = sets.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    # Only ids move until the copies and the other members of groups are known; prefixes stay where they are.
+    # Only ids move until the copies are known; prefixes stay where they are.
     copies = _all_but_first(some.select("id", "n", "d1", "d2"), ["n", "d1", "d2"])
-    one = some.join(broadcast_if_small(copies.drop("head")), ["id", "n", "d1", "d2"], "left_anti")
-    marked = one.select("id", "n", "prefix", F.xxhash64("prefix").alias("h1"), F.hash("prefix").alias("h2"))
-    members = _all_but_first(marked.drop("prefix"), ["n", "h1", "h2"])
-    groups = marked.join(broadcast_if_small(members.drop("head")), ["id", "n", "h1", "h2"], "left_anti")
-    pairs = store(candidate_groups(groups.withColumnRenamed("id", "g"), least))
-    members = members.select("head", "id")
-    edges = verify(_sorted_pairs(pairs.unionByName(members.toDF("ga", "gb"))), body, width, least)
+    one = some.join(broadcast_if_small(copies.drop("head")), ["id", "n", "d1", "d2"], "left_anti").withColumnRenamed("id", "g")
+    postings = one.select("g", "n", *SKETCH, (F.size("prefix") - F.col("hot")).alias("cold"), F.posexplode("prefix").alias("at", "shingle"))
+    late = postings.filter(F.col("at") >= F.col("cold")).drop("cold")
+    hot = store(late.groupBy("shingle").agg(F.count("*").alias("met")).filter(F.col("met") > MOST_MEET).select("shingle"))
+    few = broadcast_if_small(hot)
+    often = store(late.join(few, "shingle"))
+    met = store(candidate_pairs(postings.select("g", "n", "at", "shingle").join(few, "shingle", "left_anti"), least))
+    known = one.select("g", "n", *SKETCH)
+    a, b = (known.select(*[F.col(c).alias(f"{c}{name}") for c in known.columns]) for name in ("a", "b"))
+    pairs = met.join(a, "ga").join(b, "gb").filter(_alike(least)).select("ga", "gb").unionByName(neighbours(often, least))
+    edges = verify(store(_sorted_pairs(pairs)), body, width, least)
     tops = components(edges)
-    if not members.isEmpty():
-        rest = store(expand(pairs, members, tops))
+    rest = store(_sorted_pairs(open_pairs(often, tops, least)))
+    if not rest.isEmpty():
         edges = edges.unionByName(verify(rest, body, width, least))
         tops = components(edges)
     heads = copies.select(*[F.col(c).alias(f"__{c}") for c in ("id", "d1", "d2")], F.col("head"))
@@ -239,42 +307,6 @@ def _sorted_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def expand(pairs: DataFrame, members: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs of ids that heads have not settled, from pairs of groups ``(ga, gb)`` and members ``(head, id)``.
-
-    Groups were first compared by their heads, and members with their head. Ids that this has put into one
-    component need no comparison, so all members of two groups meet only if their heads do not hang together; else
-    only members that do not hang together with their head meet the others.
-    """
-    of = broadcast_if_small(store(tops))
-
-    def placed(df: DataFrame, column: str, name: str) -> DataFrame:
-        found = of.select(F.col("id").alias("__id"), F.col("component").alias("__at"))
-        return df.join(found, F.col(column) == F.col("__id"), "left").withColumn(
-            name, F.coalesce("__at", column)).drop("__id", "__at")
-    heads = members.select("head").distinct()
-    every = members.unionByName(heads.select("head", F.col("head").alias("id")))
-    known = store(placed(placed(every, "id", "own"), "head", "top"))
-    outside = known.filter(F.col("own") != F.col("top"))
-    left = known.select("head", F.col("id").alias("a"), F.col("own").alias("own_a"))
-    right = outside.select("head", F.col("id").alias("b"), F.col("own").alias("own_b"))
-    found = left.join(right, "head").filter(F.col("own_a") != F.col("own_b")).select("a", "b")
-
-    def side(df: DataFrame, group: str, name: str, table: DataFrame, how: str) -> DataFrame:
-        m = table.select(F.col("head").alias("__head"), F.col("id").alias(f"__{name}"), F.col("own").alias(f"__own_{name}"))
-        return df.join(broadcast_if_small(m), F.col(group) == F.col("__head"), how).drop("__head").withColumns(
-            {name: F.coalesce(f"__{name}", group), f"own_{name}": F.coalesce(f"__own_{name}", f"top_{name}")}).drop(
-            f"__{name}", f"__own_{name}")
-    both = store(placed(placed(pairs, "ga", "top_a"), "gb", "top_b"))
-    apart, together = both.filter(F.col("top_a") != F.col("top_b")), both.filter(F.col("top_a") == F.col("top_b"))
-    for df, tables, hows in ((apart, (known, known), ("left", "left")), (together, (outside, known), ("inner", "left")),
-                             (together, (known, outside), ("left", "inner"))):
-        met = side(side(df, "ga", "a", tables[0], hows[0]), "gb", "b", tables[1], hows[1])
-        met = met.filter((F.col("own_a") != F.col("own_b")) & ~((F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb"))))
-        found = found.unionByName(met.select("a", "b"))
-    return _sorted_pairs(found)
-
-
 def verify(candidates: DataFrame, body: DataFrame, width: int, least: Fraction) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose texts, ``(id, text)``, are similar enough, on whole sets."""
     ids = store(candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct())

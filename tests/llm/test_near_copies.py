@@ -54,6 +54,36 @@ def test_members_of_one_group_that_do_not_all_link(texts):
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
+def test_a_large_family_of_near_copies_lists_few_pairs(texts, monkeypatch):
+    """What is verified grows with the family, not with its pairs, and texts that only share its words stay apart."""
+    draw, asked, verify = random.Random(5), [], jaccard.verify
+    rows = {}
+    for i in range(400):
+        own = [f"z{j}" for j in range(60)]
+        own[draw.randrange(60)] = f"own{i}"
+        rows[i] = " ".join(own[:30] + [f"far{i}v{j}" for j in range(30)] if i % 20 == 0 else own)
+
+    def counted(candidates, *options):
+        asked.append(candidates.count())
+        return verify(candidates, *options)
+    monkeypatch.setattr(jaccard, "verify", counted)
+    found = jaccard.near_copies(texts(rows), width=1, least=Fraction(8, 10))
+    assert {r.doc_id: r.component_id for r in found.collect()} == brute.components(rows.items(), 1, 8, 10)
+    assert sum(asked) < 20 * len(rows)
+
+
+def test_sketches_differ_no_more_than_the_sets():
+    draw = np.random.default_rng(3)
+    values, bounds = kernel.row_sets(draw.integers(0, 2**64, 9000, dtype=np.uint64), np.array([0, 0, 2000, 2000, 5000, 9000]))
+    found = np.stack(jaccard.sketches(values, bounds), axis=1)
+    want = np.zeros((5, 512), np.uint8)
+    for row in range(5):
+        for v in values[bounds[row]:bounds[row + 1]].tolist():
+            want[row, v % 512] ^= 1
+    assert (np.packbits(want, axis=1).view(np.int64) == found).all()
+    assert all((x == 0).all() for x in jaccard.sketches(np.zeros(0, np.uint64), np.zeros(1, np.int64)))
+
+
 def test_repeated_and_missing_ids(texts):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(5, long), (5, long), (None, long), (7, long + " end"), (9, "own words here")]
