@@ -42,12 +42,29 @@ def minimizers(hashes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarra
     padded[spread] = hashes
     place = np.zeros(len(padded), np.int64)
     place[spread] = np.arange(len(hashes))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, window)
     rows = row_numbers(bounds)
     within = np.arange(len(hashes)) - bounds[:-1][rows]
     begins = spread[within <= np.maximum(n[rows] - window, 0)]
-    picked = np.concatenate([windows[chunk].argmin(axis=1) + chunk for chunk in np.array_split(begins, len(begins) // 65536 + 1)])
-    return np.unique(place[picked])
+    size = len(padded) - window + 1
+    least, picked = padded[:size].copy(), np.zeros(size, np.int32)
+    for step in range(1, window):
+        value = padded[step:step + size]
+        picked[value < least] = step
+        np.minimum(least, value, out=least)
+    found = np.zeros(len(hashes), bool)
+    found[place[begins + picked[begins]]] = True
+    return np.flatnonzero(found)
+
+
+def by_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Stable order by (row, value); one sort of packed keys does it, unless two different values agree in the bits that fit."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    bits = max(1, int(rows.max()).bit_length())
+    packed = (rows.astype(np.uint64) << np.uint64(64 - bits)) | (values >> np.uint64(bits))
+    order = np.argsort(packed, kind="stable")
+    packed, found = packed[order], values[order]
+    return np.lexsort((values, rows)) if ((packed[1:] == packed[:-1]) & (found[1:] != found[:-1])).any() else order
 
 
 def _seeds(kmer: int, window: int):
@@ -60,7 +77,7 @@ def _seeds(kmer: int, window: int):
                 row = row_numbers(bounds)[at]
                 at, row = at[~short[row]], row[~short[row]]
                 place = at - bounds[row]
-                order = np.lexsort((place, hashes[at], row))
+                order = by_row(hashes[at], row)  # places stay in order
                 h, r = hashes[at][order], row[order]
                 place = place[order]
                 # Of places in a row, as in a run of one word, the first and the last count.
@@ -182,14 +199,14 @@ def _grams(kmer: int, window: int, flags: Broadcast):
                 powers = np.cumprod(np.append(np.uint64(1), np.full(len(words), base)), dtype=np.uint64)
                 sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1], dtype=np.uint64))
                 back = np.cumprod(np.append(np.uint64(1), np.full(len(words), inverse)), dtype=np.uint64)
-                n = np.diff(word_bounds)
+                n, rows_of = np.diff(word_bounds), row_numbers(word_bounds)
                 for more in range(2 * window if len(at) else 0):
                     size, right, left = GRAM + more, ahead > more, behind > more
                     begin = np.concatenate([place[right], place[left] + kmer - size])
                     rows = np.concatenate([row[right], row[left]])
                     inside = (begin >= 0) & (begin + size <= n[rows])
                     low = np.unique(word_bounds[rows[inside]] + begin[inside])
-                    of = row_numbers(word_bounds)[low]
+                    of = rows_of[low]
                     keys = mix((sums[low + size] - sums[low]) * back[low] + np.uint64(size))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(first + of)),

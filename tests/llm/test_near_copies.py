@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prepaudit.llm import jaccard, kernel, lines
+from prepaudit.llm import jaccard, kernel, lines, passages
 from tests.llm import brute
 
 
@@ -187,3 +187,23 @@ def test_shingles_of_all_texts_are_counted(spark, texts):
     assert np.flatnonzero(steps).size == 1 and steps.max() == int(np.log2(500) * jaccard.BINS_PER_OCTAVE)
     with pytest.raises(ValueError):
         jaccard.near_copies(texts(rows), share=8)
+
+
+def test_seeds_are_sorted_by_row_and_hash_with_places_in_order():
+    draw = np.random.default_rng(4)
+    for most in (4, 2**64 - 1):  # small hashes agree in the bits that fit
+        values, rows = draw.integers(0, most, 5000, dtype=np.uint64), np.sort(draw.integers(0, 50, 5000))
+        assert (passages.by_row(values, rows) == np.lexsort((values, rows))).all()
+    assert not len(passages.by_row(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+
+
+@pytest.mark.parametrize("window", [1, 2, 6])
+def test_minimizers_are_the_first_least_of_each_window(window):
+    draw = np.random.default_rng(window)
+    bounds = np.append(0, np.cumsum(draw.integers(0, 12, 60)))
+    hashes = draw.integers(0, 5, bounds[-1], dtype=np.uint64)
+    want = set()
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for at in range(low, max(high - window + 1, low + (high > low))):
+            want.add(min(range(at, min(at + window, high)), key=lambda i: (hashes[i], i)))
+    assert passages.minimizers(hashes, bounds, window).tolist() == sorted(want)
