@@ -112,3 +112,29 @@ def test_small_buckets_take_their_turns_at_once(spark, monkeypatch):
         rounds.append(sum(c == ["bucket", "rep", "leader", "size"] for c in kept))
     assert found[1] == found[32] and len(found[1]) > 40
     assert rounds[1] < rounds[0]
+
+
+def test_many_leaders_of_a_bucket_take_their_turns_at_once(spark, monkeypatch):
+    """Texts that share a passage meet in large buckets without being alike; the number of rounds does not follow them."""
+    rnd = random.Random(5)
+    shared = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join([*shared, *(f"v{rnd.randrange(10**6)}" for _ in range(70))]) for _ in range(240)]
+    rows = [*enumerate(texts), *((1000 + i, texts[i] + " x") for i in range(0, 240, 4))]
+    kept, settle = [], nearpairs.settle
+    monkeypatch.setattr(nearpairs, "settle", lambda x: kept.append(x.columns) or settle(x))
+    found = near_classes(spark.createDataFrame(rows, "id int, text string").repartition(4), "id", "text", bands=6, rows=1).collect()
+    assert sorted((r["id"], r["class_id"]) for r in found) == sorted((i + add, i) for i in range(0, 240, 4) for add in (0, 1000))
+    assert sum(c == ["bucket", "rep", "leader", "size"] for c in kept) <= 5
+
+
+def test_marks_rule_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 100, 1000, 20_000):
+        for common, kept in ((0.8, True), (0.82, True), (0.5, size < 1000)):  # of two equally large sets this is their Dice coefficient
+            same, told = round(size * common + 0.49), []
+            for _ in range(20):
+                a = rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)
+                b = np.append(a[:same], rng.integers(0, 2**63, size - same).astype(np.uint64) * np.uint64(2))
+                marks = [np.frombuffer(nearpairs.marks_of(x), np.uint64)[None] for x in (a, b)]
+                told.append(nearpairs.may_be_similar(*marks, 0.8)[0])
+            assert all(told) if kept and common >= 0.8 else size < 1000 or not any(told)
