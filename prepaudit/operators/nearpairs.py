@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepaudit.functions import multiset
-from prepaudit.operators.distributed import settle
+from prepaudit.operators.distributed import broadcast_if_small, settle, store
 from prepaudit.operators.forest import mixed
 
 GRAM = 5
@@ -199,21 +199,25 @@ def near_classes(df: DataFrame, key: str, text: str, least: float = 0.8, n: int
     rows without an id or text, or with an empty one, have no near copies.
     """
     given = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL AND text != ''").dropDuplicates(["id"])
-    digest = settle(given.select("id", F.sha2("text", 256).alias("digest")))
+    digest = store(given.select("id", F.sha2("text", 256).alias("digest")))
     copies = digest.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
     member = settle(digest.join(copies, "digest").select("id", "rep", "times"))
-    texts = settle(given.join(member.filter("id = rep").select("id"), "id", "left_semi"))
+    texts = store(given.join(member.filter("id = rep").select("id"), "id", "left_semi"))
     kind = df.schema[key].dataType.simpleString()
-    signed = settle(texts.mapInArrow(_signed(n, bands, rows), f"rep {kind}, keys array<bigint>, grams bigint, marks binary"))
+    signed = store(texts.mapInArrow(_signed(n, bands, rows), f"rep {kind}, keys array<bigint>, grams bigint, marks binary"))
     open_, links, turn = signed.select("rep", F.explode("keys").alias("bucket")), None, 0
 
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+    def dice(pairs: DataFrame, one: str, other: str, name: str) -> DataFrame:
+        """The coefficient of every different pair. Only texts that are in one are moved, and shuffle files go at once."""
+        ids = settle(pairs.select(F.col(one).alias("id")).unionByName(pairs.select(F.col(other).alias("id"))).distinct())
+        some = texts.join(broadcast_if_small(ids), "id", "left_semi")
+        found = pairs.distinct()
+        for side in (one, other):
+            found = found.join(some.select(F.col("id").alias(side), F.col("text").alias(f"{side}_text")), side)
+        return store(found.select(one, other, multiset.dice_of_grams(F.col(f"{one}_text"), F.col(f"{other}_text"), n).alias(name)))
 
     def matching(pairs: DataFrame) -> DataFrame:
-        scored = pairs.distinct().join(side("rep"), "rep").join(side("leader"), "leader").select(
-            "rep", "leader", multiset.dice_of_grams(F.col("rep_text"), F.col("leader_text"), n).alias("dice"))
-        return settle(scored.filter(F.col("dice") >= least).select("rep", "leader"))
+        return dice(pairs, "rep", "leader", "dice").filter(F.col("dice") >= least).select("rep", "leader")
 
     while True:
         leaders = open_.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
@@ -222,7 +226,7 @@ def near_classes(df: DataFrame, key: str, text: str, least: float = 0.8, n: int
             break
         members = met.join(signed, "rep").select("bucket", "rep", "grams", "marks").repartition("bucket").sortWithinPartitions("bucket", "rep")
         # At first a large bucket asks its least one only, so that many copies of one text list no pairs; then more and more at once.
-        pairs = settle(members.mapInArrow(_candidates(least, SMALL_BUCKET, 4 ** turn - 1), f"bucket bigint, rep {kind}, leader {kind}, last {kind}"))
+        pairs = store(members.mapInArrow(_candidates(least, SMALL_BUCKET, 4 ** turn - 1), f"bucket bigint, rep {kind}, leader {kind}, last {kind}"))
         found = pairs.join(matching(pairs.select("rep", "leader")), ["rep", "leader"]).groupBy("bucket").agg(
             F.sort_array(F.collect_list(F.struct("leader", "rep"))).alias("pairs"))
         taken = settle(found.mapInArrow(_turns, f"bucket bigint, rep {kind}, leader {kind}"))
@@ -239,6 +243,5 @@ def near_classes(df: DataFrame, key: str, text: str, least: float = 0.8, n: int
     placed = placed.filter("linked OR times > 1")
     # Each different text is compared with its class's least one once.
     other = settle(placed.select("rep", "class").distinct())
-    similar = other.join(side("rep"), "rep").join(side("class"), "class").select(
-        "rep", multiset.dice_of_grams(F.col("rep_text"), F.col("class_text"), n).alias("similarity"))
+    similar = dice(other, "rep", "class", "similarity").select("rep", "similarity")
     return placed.join(similar, "rep").select(F.col("id").alias(key), F.col("class").alias("class_id"), "similarity")
